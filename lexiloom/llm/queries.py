@@ -6,17 +6,53 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiloom.llm._shared import table
+from lexiloom.llm import language_id, pieces, simhash, toxicity
+from lexiloom.llm._shared import fold_of, table
 from lexiloom.llm.token_counts import token_counts
 
 
+def _identified(documents: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    return language_id.identify(documents, language_id.fit(documents.where(fold_of() != 0)), keep=keep)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _identified(table(spark, sf_dir, "documents"), ("doc_id",))
+    return found.select("doc_id", (fold_of() == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
+
+
+def toxic_field(spark: SparkSession, sf_dir: str, documents: DataFrame) -> toxicity.Field:
+    """A field learned from the labelled rows of ``documents`` outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(fold_of() != 0).select("doc_id", "toxic")
+    return toxicity.fit(documents.select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = toxicity.score(documents, toxic_field(spark, sf_dir, documents))
+    return found.select("doc_id", (fold_of() == 0).alias("held_out"), "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_token_counts": op2_token_counts,
+    "op4_simhash": op4_simhash,
+    "op5_toxicity": op5_toxicity,
+    "op6_pieces": op6_pieces,
 }
 
 SQL: dict[str, str] = {}
