@@ -1,15 +1,16 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels mark documents; the field learns from labelled tokens. A logistic model
-over the words of a bounded sample of labelled documents finds the words that
-make a document toxic, and these words' tokens are labelled toxic. The field has
-two states, emission weights for those words and one for all others, and
-transition weights; it is fitted by gradient ascent on the likelihood of the
-labelled lines. Over a text, forward-backward gives each token's marginal. Runs
-of other words share one transfer matrix, whose powers are known in closed form,
-so only the tokens with weights of their own are visited one by one; the result
-is that of the whole chain. A logistic calibration turns a document's largest
-marginal and its expected number of toxic tokens into its score.
+over the words of a bounded sample of labelled documents, and over these words'
+beginnings and ends, finds the features that make a document toxic; in toxic
+documents, tokens with such a feature are labelled toxic. The field has two states, an emission
+weight for each feature and for all words, and transition weights; it is fitted
+by gradient ascent on the likelihood of the labelled lines. Over a text,
+forward-backward gives each token's marginal. Runs of words without a feature
+share one transfer matrix, whose powers are known in closed form, so only the
+tokens with features are visited one by one; the result is that of the whole
+chain. A logistic calibration turns a document's largest marginal, and its
+expected number and share of toxic tokens, into its score.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ PIECE = 1 << 20
 
 @dataclass
 class Field:
-    words: dict[str, int] = field(default_factory=dict)  # number of each word with a weight; all others share 0
+    features: dict[str, int] = field(default_factory=dict)  # numbers of the features; 0 is that of every word
     emit: np.ndarray = field(default_factory=lambda: np.zeros((1, 2)))
     move: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     first: np.ndarray = field(default_factory=lambda: np.zeros(2))
-    line: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0]))  # of the score: constant, largest marginal, log count
+    line: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0, 0.0]))  # of the score: constant, largest marginal, log count, root of the share
 
 
 def _sigmoid(x):
@@ -59,51 +60,69 @@ def tokens_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def toxic_words(docs: list[tuple[str, int]], most: int = 2000) -> dict[str, int]:
-    """Words whose presence makes a document toxic, numbered from 1."""
+def features_of(word: str) -> list[str]:
+    """The word, its beginnings of 3 to 8 letters and its ends of 4 to 6."""
+    n = len(word)
+    return [word, *["^" + word[:k] for k in range(3, min(9, n))], *["$" + word[-k:] for k in range(4, min(7, n))]]
+
+
+def toxic_features(docs: list[tuple[str, int]], most: int = 1000) -> dict[str, int]:
+    """Features whose presence makes a document toxic, numbered from 1."""
     seen: dict[str, int] = {}
     for text, label in docs:
         seen[text] = max(label, seen.get(text, 0))
     lines: set[str] = set()
-    df = (Counter(), Counter())
+    words = ([], [])
     for text, label in sorted(seen.items()):
         fresh = [x for x in text.lower().split("\n") if x not in lines]  # copies of a document count once
         lines.update(fresh)
-        df[label].update({w for x in fresh for w in WORD.findall(x)})
-    n = [max(1, sum(1 for v in seen.values() if v == k)) for k in (0, 1)]
-    best = max((c for w, c in df[1].items() if df[0][w] / n[0] <= 0.1 * c / n[1]), default=0)
-    picked = [w for w, c in df[1].items() if c >= max(3, 0.1 * best) and df[0][w] / n[0] <= 0.2 * c / n[1]]
-    picked = sorted(picked, key=lambda w: (-df[1][w], w))[:most]
+        words[label].append({w for x in fresh for w in WORD.findall(x)})
+    toxic = Counter(f for ws in words[1] for f in {f for w in ws for f in features_of(w)})
+    least = max(3, 0.02 * len(words[1]))
+    toxic = {f: c for f, c in toxic.items() if c >= least}
+    clean = Counter(f for ws in words[0] for f in {f for w in ws for f in features_of(w) if f in toxic})
+    n = [max(1, len(words[k])) for k in (0, 1)]
+    rare = {f: c for f, c in toxic.items() if clean[f] / n[0] <= 0.2 * c / n[1]}
+    best = max(rare.values(), default=0)
+    picked = sorted((f for f, c in rare.items() if c >= 0.1 * best), key=lambda f: (-rare[f], f))[:most]
     if not picked:
         return {}
-    number = {w: i for i, w in enumerate(picked)}
-    x, y = np.zeros((len(seen), len(picked)), np.float32), np.zeros(len(seen))
-    for i, (text, label) in enumerate(sorted(seen.items())):
-        y[i] = label
-        for w in set(tokens_of(text)):
-            if w in number:
-                x[i, number[w]] = 1
+    number = {f: i for i, f in enumerate(picked)}
+    sets = [ws for label in (0, 1) for ws in words[label]]
+    x, y = np.zeros((len(sets), len(picked)), np.float32), np.repeat([0.0, 1.0], [len(words[0]), len(words[1])])
+    for i, ws in enumerate(sets):
+        x[i, [number[f] for w in ws for f in features_of(w) if f in number]] = 1
     weight = _logistic(x, y)[1:]
-    kept = [w for w, s in zip(picked, weight) if s >= 0.25 * weight.max() and s > 0]
-    return {w: i + 1 for i, w in enumerate(sorted(kept))}
+    kept = [f for f, s in zip(picked, weight) if s > 0]
+    return {f: i + 1 for i, f in enumerate(sorted(kept))}
+
 
+def train_field(lines: list[tuple[tuple[int, ...], int]], kinds: np.ndarray, rounds: int = 100, rate: float = 0.25, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emission, transition and start weights from labelled lines.
 
-def train_field(lines: list[list[int]], size: int, rounds: int = 150, rate: float = 0.2, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Emission, transition and start weights of labelled lines (word numbers; those over 0 are toxic)."""
-    emit, move, first = np.zeros((size + 1, 2)), np.zeros((2, 2)), np.zeros(2)
-    lines = [x for x in lines if x]
+    Lines hold numbers of kinds of tokens, and their document's label; a row of
+    ``kinds`` has 1 for each feature of the kind. Kind 0 has the common feature
+    only; tokens of all other kinds are toxic if the document is.
+    """
+    emit, move, first = np.zeros((kinds.shape[1], 2)), np.zeros((2, 2)), np.zeros(2)
+    labels = np.array([label for x, label in lines if x])
+    lines = [x for x, _ in lines if x]
     if not lines:
         return emit, move, first
     length, width = np.array([len(x) for x in lines]), max(map(len, lines))
-    word = np.zeros((len(lines), width), int)
+    kind = np.zeros((len(lines), width), int)
     for i, x in enumerate(lines):
-        word[i, : len(x)] = x
-    on, gold = np.arange(width) < length[:, None], (word > 0).astype(int)
+        kind[i, : len(x)] = x
+    on, gold = np.arange(width) < length[:, None], (kind > 0) * labels[:, None]
+    truth = np.eye(2)[gold]
+    both = on[:, 1:]
+    seen_moves = np.einsum("nki,nkj->ij", truth[:, :-1] * both[..., None], truth[:, 1:])
     params, moment, spread = [emit, move, first], [0, 0, 0], [0, 0, 0]
     for t in range(1, rounds + 1):
         emit, move, first = params
-        e = np.exp(emit[word] - emit[word].max(2, keepdims=True))
-        m = np.exp(move)
+        own = kinds @ emit
+        own = np.exp(own - own.max(1, keepdims=True))
+        e, m = own[kind], np.exp(move)
         ahead, back = np.empty(e.shape), np.ones(e.shape)
         ahead[:, 0] = np.exp(first) * e[:, 0]
         ahead[:, 0] /= ahead[:, 0].sum(1, keepdims=True)
@@ -115,15 +134,12 @@ def train_field(lines: list[list[int]], size: int, rounds: int = 150, rate: floa
             back[:, k] = np.where(on[:, k + 1, None], step / step.sum(1, keepdims=True), 1)
         p = ahead * back
         p /= p.sum(2, keepdims=True)
-        pair = ahead[:, :-1, :, None] * m * (e * back)[:, 1:, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
-        both = on[:, 1:]
-        truth = np.eye(2)[gold]
+        after = (e * back)[:, 1:]
+        scale = both / np.maximum(np.einsum("nki,ij,nkj->nk", ahead[:, :-1], m, after), 1e-300)
+        pair = np.einsum("nki,nkj->ij", ahead[:, :-1] * scale[..., None], after) * m
         diff = (truth - p) * on[..., None]
-        g_emit = np.zeros_like(emit)
-        np.add.at(g_emit, word.ravel(), diff.reshape(-1, 2))
-        g_move = np.einsum("nki,nkj->ij", truth[:, :-1] * both[..., None], truth[:, 1:]) - (pair * both[..., None, None]).sum((0, 1))
-        grads = [g / len(lines) - ridge * w for g, w in zip((g_emit, g_move, diff[:, 0].sum(0)), params)]
+        by_kind = np.stack([np.bincount(kind.ravel(), diff[..., k].ravel(), len(kinds)) for k in (0, 1)], 1)
+        grads = [g / len(lines) - ridge * w for g, w in zip((kinds.T @ by_kind, seen_moves - pair, diff[:, 0].sum(0)), params)]
         for i, g in enumerate(grads):
             moment[i], spread[i] = 0.9 * moment[i] + 0.1 * g, 0.99 * spread[i] + 0.01 * g * g
             params[i] = params[i] + rate * (moment[i] / (1 - 0.9**t)) / (np.sqrt(spread[i] / (1 - 0.99**t)) + 1e-9)
@@ -135,57 +151,72 @@ class Chain:
 
     def __init__(self, model: Field):
         self.model = model
-        self.words = frozenset(model.words)
-        e = np.exp(model.emit - model.emit.max(1, keepdims=True))
-        self.e, self.m, self.first = e, np.exp(model.move), np.exp(model.first)
+        self.starts = frozenset(f[1:4] if f[0] == "^" else f[:3] for f in model.features if f[0] != "$")
+        self.ends = frozenset(f[-4:] for f in model.features if f[0] == "$")
+        self.weights: dict[tuple[int, ...], np.ndarray] = {}
+        self.m, self.first, self.plain = np.exp(model.move), np.exp(model.first), self.emission(())
         # One more other word: move, then emit.
-        values, vectors = np.linalg.eig(self.m * e[0])
+        values, vectors = np.linalg.eig(self.m * self.plain)
         order = np.argsort(-np.abs(values))
         self.ratio = float(np.real(values[order[1]] / values[order[0]]))
         inverse = np.linalg.inv(vectors)
         self.parts = [np.real(np.outer(vectors[:, i], inverse[i])) for i in order]
 
+    def emission(self, features: tuple[int, ...]) -> np.ndarray:
+        if features not in self.weights:
+            own = self.model.emit[[0, *features]].sum(0)
+            self.weights[features] = np.exp(own - own.max())
+        return self.weights[features]
+
+    def features(self, word: str) -> tuple[int, ...]:
+        if word[:3] not in self.starts and word[-4:] not in self.ends:
+            return ()
+        return tuple(n for f in features_of(word) if (n := self.model.features.get(f)) is not None)
+
     def gap(self, n: int) -> np.ndarray:
         """Transfer over n other words, up to scale."""
         return self.parts[0] + self.ratio**n * self.parts[1] if n else np.eye(2)
 
-    def marginals(self, places: list[int], numbers: list[int], length: int) -> list[float]:
+    def marginals(self, places: list[int], features: list[tuple[int, ...]], length: int) -> list[float]:
         """P(toxic) of the tokens at ``places``; the other ``length`` - len(places) tokens are other words."""
+        emissions = [self.emission(x) for x in features]
         ahead, state, last = [], None, -1
-        for at, w in zip(places, numbers):
+        for at, e in zip(places, emissions):
             if state is None:
-                state = self.first * self.e[0] @ self.gap(at - 1) @ self.m if at else self.first
+                state = (self.first * self.plain) @ self.gap(at - 1) @ self.m if at else self.first
             else:
                 state = state @ self.gap(at - last - 1) @ self.m
-            state = state * self.e[w]
+            state = state * e
             state = state / state.sum()
             ahead.append(state)
             last = at
         back, out, after = self.gap(length - 1 - places[-1]) @ np.ones(2), [], None
         for i in range(len(places) - 1, -1, -1):
             if after is not None:
-                back = self.gap(after - places[i] - 1) @ (self.m @ (self.e[numbers[i + 1]] * back))
+                back = self.gap(after - places[i] - 1) @ (self.m @ (emissions[i + 1] * back))
             back = back / back.sum()
             p = ahead[i] * back
             out.append(float(p[1] / p.sum()))
             after = places[i]
         return out[::-1]
 
-    def read(self, text: str | None) -> tuple[float, float, list[dict]]:
-        """Largest marginal, expected toxic tokens, and spans as offsets of the lower-cased text."""
-        if not text or not self.words:
-            return 0.0, 0.0, []
+    def read(self, text: str | None) -> tuple[tuple[float, float, float], list[dict]]:
+        """Largest marginal, expected number and share of toxic tokens; spans as offsets of the lower-cased text."""
+        if not text or not self.model.features:
+            return (0.0, 0.0, 0.0), []
         low = text.lower()
-        if len(low) <= PIECE and self.words.isdisjoint(WORD.findall(low)):
-            return 0.0, 0.0, []
+        if len(low) <= PIECE:
+            words = WORD.findall(low)
+            if self.starts.isdisjoint([w[:3] for w in words]) and self.ends.isdisjoint([w[-4:] for w in words]):
+                return (0.0, 0.0, 0.0), []
         places, numbers, offsets, n = [], [], [], 0
         for n, hit in enumerate(WORD.finditer(low), 1):
-            if (w := self.model.words.get(hit[0])) is not None:
+            if found := self.features(hit[0]):
                 places.append(n - 1)
-                numbers.append(w)
+                numbers.append(found)
                 offsets.append(hit.span())
         if not places:
-            return 0.0, 0.0, []
+            return (0.0, 0.0, 0.0), []
         p = self.marginals(places, numbers, n)
         spans: list[dict] = []
         for at, (start, end), x in zip(places, offsets, p):
@@ -195,13 +226,13 @@ class Chain:
                 spans[-1] |= {"end": end, "at": at, "marginal": max(x, spans[-1]["marginal"])}
             else:
                 spans.append({"start": start, "end": end, "marginal": x, "at": at})
-        return max(p), sum(p), spans
+        return (max(p), sum(p), sum(p) / n), spans
 
-    def score(self, most: float, total: float) -> float:
-        return float(_sigmoid(self.model.line @ np.array([1.0, most, np.log1p(total)])))
+    def score(self, most: float, total: float, share: float) -> float:
+        return float(_sigmoid(self.model.line @ np.array([1.0, most, np.log1p(total), 3 * share**0.5])))
 
 
-def fit(df: DataFrame, text: str = "text", label: str = "toxic", key: str | Column = "doc_id", per_class: int = 1500, max_chars: int = 50_000) -> Field:
+def fit(df: DataFrame, text: str = "text", label: str = "toxic", key: str | Column = "doc_id", per_class: int = 1500, max_chars: int = 20_000) -> Field:
     """Learn from labelled rows, which the caller has limited to training rows.
 
     About ``per_class`` rows of either label are used, picked by a hash of
@@ -210,17 +241,22 @@ def fit(df: DataFrame, text: str = "text", label: str = "toxic", key: str | Colu
     rows = df.where(F.col(label).isin(0, 1) & F.col(text).isNotNull() & (F.length(text) <= max_chars)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(key).alias("h"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
-        return Field(line=np.array([8.0 if 1 in sizes else -8.0, 0, 0]))
+        return Field(line=np.array([8.0 if 1 in sizes else -8.0, 0, 0, 0]))
     share = F.when(F.col("label") == 1, F.lit(min(1.0, per_class / sizes[1]))).otherwise(F.lit(min(1.0, per_class / sizes[0])))
     picked = rows.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < share).select("text", "label").limit(4 * per_class)
     docs = sorted((r["text"], r["label"]) for r in picked.collect())
-    model = Field(words=toxic_words(docs))
-    lines = {tuple(model.words.get(w, 0) for w in tokens_of(line)[:200]) for t, _ in docs for line in t.split("\n")}
-    toxic, clean = sorted(x for x in lines if any(x)), sorted(x for x in lines if not any(x))
-    model.emit, model.move, model.first = train_field([list(x) for x in (toxic[:2000] + clean[:1000])], len(model.words))
+    model = Field(features=toxic_features(docs))
+    chain, kinds = Chain(model), {(): 0}
+    lines = {(tuple(kinds.setdefault(chain.features(w), len(kinds)) for w in tokens_of(line)[:200]), label) for t, label in docs for line in t.split("\n")}
+    table = np.zeros((len(kinds), len(model.features) + 1))
+    table[:, 0] = 1
+    for features, k in kinds.items():
+        table[k, list(features)] = 1
+    marked, plain = sorted(x for x in lines if any(x[0])), sorted(x for x in lines if not any(x[0]))
+    model.emit, model.move, model.first = train_field(marked[:2000] + plain[:700], table)
     chain = Chain(model)
     found = [chain.read(t) for t, _ in docs]
-    x, y = np.array([(a, np.log1p(b)) for a, b, _ in found]), np.array([n for _, n in docs])
+    x, y = np.array([(a, np.log1p(b), 3 * c**0.5) for (a, b, c), _ in found]), np.array([n for _, n in docs])
     model.line = _logistic(x, y, rounds=800, ridge=1e-4)
     return model
 
@@ -242,8 +278,8 @@ def score(df: DataFrame, model: Field, text: str = "text", keep: tuple[str, ...]
         chain = Chain(shared.value)
         for batch in batches:
             found = [chain.read(t) for t in batch.column(len(keep)).to_pylist()]
-            scores = [chain.score(a, b) for a, b, _ in found]
-            spans = [[{k: s[k] for k in ("start", "end", "marginal")} for s in x] for _, _, x in found]
+            scores = [chain.score(*x) for x, _ in found]
+            spans = [[{k: s[k] for k in ("start", "end", "marginal")} for s in x] for _, x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, kind)], names=[*keep, "score", "predicted", "spans"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[: len(keep)]] + ["score double", "predicted int", "spans array<struct<start:bigint,end:bigint,marginal:double>>"])
