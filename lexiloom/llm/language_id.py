@@ -6,7 +6,7 @@ document frequency and scaled to length one. Each language has several
 centroids, found by spherical k-means over a bounded sample of its labelled
 texts. The language of the centroid with the largest cosine is predicted. A text
 is rejected when that cosine falls far below what texts of that language and
-about that length have; where the sample has too few of them, none is rejected.
+about that length, or of a lesser one where the sample has too few, have.
 """
 
 from __future__ import annotations
@@ -142,8 +142,10 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str | Column
         owner += [i] * len(found)
         best, size = (own @ found.T).max(1), buckets[names == name]
         for b in range(BUCKETS):
-            if ((near := np.abs(size - b) <= 1).sum()) >= 30:
-                floor[i, b] = max(0.0, min(best[near].min() * 0.6, best[near].mean() - 6 * best[near].std()))
+            if ((near := np.abs(size - b) <= 1).sum()) >= 20:
+                floor[i, b] = max(0.0, min(best[near].min() * 0.4, best[near].mean() - 6 * best[near].std()))
+            elif b:  # longer texts come nearer than shorter ones
+                floor[i, b] = floor[i, b - 1]
     return Model(known, np.array(owner), np.concatenate(centroids), idf, floor)
 
 

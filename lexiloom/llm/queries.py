@@ -38,7 +38,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxic_field(spark: SparkSession, sf_dir: str, documents: DataFrame) -> toxicity.Field:
     """A field learned from the labelled rows of ``documents`` outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").where(fold_of() != 0).select("doc_id", "toxic")
-    return toxicity.fit(documents.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.fit(documents, labels)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm._shared import arrow_batches
@@ -232,18 +232,23 @@ class Chain:
         return float(_sigmoid(self.model.line @ np.array([1.0, most, np.log1p(total), 3 * share**0.5])))
 
 
-def fit(df: DataFrame, text: str = "text", label: str = "toxic", key: str | Column = "doc_id", per_class: int = 1500, max_chars: int = 20_000) -> Field:
-    """Learn from labelled rows, which the caller has limited to training rows.
+def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 1500, max_chars: int = 20_000) -> Field:
+    """Learn from the rows of ``documents`` that ``labels`` (key, label), limited to training rows by the caller, names.
 
-    About ``per_class`` rows of either label are used, picked by a hash of
-    ``key``, of texts of at most ``max_chars`` characters.
+    About ``per_class`` labels of either kind are picked by a hash of ``key``,
+    and never more than four times as many in all. These bounded ids are
+    broadcast, so the texts are not shuffled. Texts of more than ``max_chars``
+    characters are not learned from.
     """
-    rows = df.where(F.col(label).isin(0, 1) & F.col(text).isNotNull() & (F.length(text) <= max_chars)).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(key).alias("h"))
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Field(line=np.array([8.0 if 1 in sizes else -8.0, 0, 0, 0]))
     share = F.when(F.col("label") == 1, F.lit(min(1.0, per_class / sizes[1]))).otherwise(F.lit(min(1.0, per_class / sizes[0])))
-    picked = rows.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < share).select("text", "label").limit(4 * per_class)
+    picked = rows.where(F.shiftrightunsigned(F.xxhash64("__key"), 11) / F.lit(float(1 << 53)) < share).limit(4 * per_class)
+    picked = documents.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], picked.schema)
+    whole = documents.select(F.col(key).alias("__key"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    picked = whole.join(F.broadcast(picked), "__key").select("text", "label").limit(16 * per_class)
     docs = sorted((r["text"], r["label"]) for r in picked.collect())
     model = Field(features=toxic_features(docs))
     chain, kinds = Chain(model), {(): 0}

@@ -55,8 +55,8 @@ def test_language_of_awkward_texts(documents, awkward, nothing):
     assert {r["lang_pred"] for r in language_id.identify(awkward, empty).collect()} == {"und"}
 
 
-def test_far_texts_are_rejected(spark, documents):
-    model = language_id.fit(documents)
+def test_far_texts_are_rejected(spark):
+    model = language_id.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     cyrillic = " ".join(random.Random(1).choice(["который", "было", "время", "слово"]) for _ in range(600))
     assert language_id.predict([cyrillic], model)[2][0]
 
@@ -279,7 +279,7 @@ def test_skipping_plain_words_changes_nothing():
 def test_spans_and_awkward_texts(spark, awkward, nothing):
     docs = [(f"You {w} thing number {i}, go away\nnext line", 1) for i, w in enumerate(["idiot", "loser"] * 20)] + [(f"A kind word number {i} for you\nthank you", 0) for i in range(40)]
     df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(docs)], "doc_id long, text string, toxic int")
-    model = toxicity.fit(df)
+    model = toxicity.fit(df, df)
     text = "Such an IDIOT indeed"
     _, spans = toxicity.Chain(model).read(text)
     assert [text[s["start"] : s["end"]] for s in spans] == ["IDIOT"]
@@ -287,7 +287,7 @@ def test_spans_and_awkward_texts(spark, awkward, nothing):
     assert len(found) == awkward.count() and all(0 <= r["score"] <= 1 for r in found)
     assert all(not r["predicted"] for r in found if r["doc_id"] in (0, 1, 2, 4))
     assert toxicity.score(nothing, model).count() == 0
-    assert toxicity.score(awkward, toxicity.fit(nothing)).where("predicted = 1").count() == 0
+    assert toxicity.score(awkward, toxicity.fit(nothing, nothing)).where("predicted = 1").count() == 0
 
 
 # 6 SentencePiece
