@@ -15,6 +15,9 @@ their pairs are not listed. Two fingerprints differ in at most two bits exactly
 if one can be turned into either by changing at most one bit; each such middle
 has at most 65 neighbours, and joining every fingerprint to the least neighbour
 of each of its middles connects what the pairs would, in linear size.
+
+``components`` is the operator; ``deduplicate`` is the filter of a pipeline,
+which keeps one text of each group by the similarity of word shingles.
 """
 
 from __future__ import annotations
@@ -53,12 +56,11 @@ def _pieces(data: bytes) -> Iterator[bytes]:
         start = end
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The 64-bit fingerprint of a text; zero if it has no word."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the text's shingles, repeats included, by parts of a long text; of fewer words, that of the whole sequence."""
     if not text:
-        return 0
-    total, n, rest = np.zeros(64, np.int64), 0, []
-    digest = xxhash.xxh64_intdigest
+        return
+    rest, found, digest = [], False, xxhash.xxh64_intdigest
     for piece in _pieces(text.encode("utf-8", "surrogatepass").lower()):
         words = rest + piece.split()
         rest = words[max(0, len(words) - shingle + 1) :]
@@ -67,16 +69,26 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         joined = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = np.concatenate([[0], ends[:-1]])[: len(words) - shingle + 1].tolist()
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)
+        found = True
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], np.uint64)
+    if not found and rest:
+        yield np.array([digest(b" ".join(rest), SEED)], np.uint64)
+
+
+def vote(parts: Iterator[np.ndarray]) -> int:
+    """The fingerprint of hashes: a bit is set if it is in over half of them."""
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
         for k in range(0, len(hashes), 1 << 16):
             part = hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
             total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(hashes)
-    if not n:
-        if not rest:
-            return 0
-        return digest(b" ".join(rest), SEED)
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The 64-bit fingerprint of a text; zero if it has no word."""
+    return vote(shingle_hashes(text, shingle))
 
 
 def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = 3) -> DataFrame:
@@ -169,5 +181,99 @@ def components(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     return rows.join(labels, "fp").select(key, "fp", "component_id")
 
 
+SAMPLES = 8
+SAMPLE_SIZE = 2
+
+
+def sampled(hashes: np.ndarray) -> list[int]:
+    """Fingerprints of samples: of each, the shingles whose hash, mixed by the sample's own number, is least."""
+    out, hashes = [], np.unique(hashes)
+    for i in range(SAMPLES):
+        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        least = np.argpartition(mixed, min(SAMPLE_SIZE, len(mixed)) - 1)[:SAMPLE_SIZE]
+        out.append(vote(iter([hashes[least]])))
+    return out
+
+
+def _similar(a: str, b: str, shingle: int, similarity: float) -> bool:
+    x, y = (np.unique(np.concatenate([*shingle_hashes(t, shingle), np.zeros(0, np.uint64)])) for t in (a, b))
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common >= similarity * (len(x) + len(y) - common)
+
+
+def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``df``, all their columns, one of each group of near-duplicates: that of the least ``key``.
+
+    Texts are near-duplicates if their sets of word shingles have a Jaccard
+    similarity of ``similarity`` or more, directly or through others. One
+    fingerprint finds few such pairs within a small radius, so every text has
+    several more, each of a sample of its shingles; texts meet where one of
+    these is the same, or where their whole fingerprints link. Meetings of a few
+    are compared pair by pair; in larger ones each member is compared with the
+    least and the greatest. What meets is verified on the whole texts.
+
+    Equal texts are one text; null and empty texts and those without a word are
+    equal to their own kind. Of repeated rows one stays, and a null key is less
+    than any other. An empty table gives an empty result.
+    """
+    spark = df.sparkSession
+    arrow_batches(spark)
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")))
+    ids = F.col(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, samples = [], []
+            for t in batch.column(2).to_pylist():
+                hashes = np.concatenate([*shingle_hashes(t, shingle), np.zeros(0, np.uint64)])
+                prints.append(vote(iter([hashes])))
+                samples.append(np.array(sampled(hashes), np.uint64).view(np.int64) if len(hashes) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(samples, pa.list_(pa.int64()))], names=["k", "digest", "fp", "samples"])
+
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(ids.alias("k"), digest.alias("digest"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, digest string, fp long, samples array<long>")
+    order = F.struct(F.col("k").isNotNull(), "k")
+    reps = materialise(rows.groupBy("digest").agg(F.min(order).alias("o"), F.first("fp").alias("fp"), F.first("samples").alias("samples")).select("digest", F.col("o.k").alias("k"), "fp", "samples").withColumn("rep", F.monotonically_increasing_id()), "reps")
+
+    # Whole fingerprints that link, and the texts of each fingerprint with the least of them.
+    classes = reps.groupBy("fp").agg(F.min("rep").alias("least"))
+    own = reps.join(classes, "fp").select(F.col("rep").alias("u"), F.col("least").alias("v"))
+    linked = links(classes.select("fp"))
+    name = lambda c, out: classes.select(F.col("fp").alias(c), F.col("least").alias(out))
+    across = linked.join(name("u", "a"), "u").join(name("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # Samples that are the same.
+    each = reps.select("rep", F.posexplode("samples").alias("slot", "sample"))
+    met = each.groupBy("slot", "sample").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("n > 1")
+    joined = each.join(met, ["slot", "sample"])
+    few = joined.where(F.col("n").between(3, CROWD)).groupBy("slot", "sample").agg(F.array_sort(F.collect_list("rep")).alias("m"))
+    pairs = few.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as u, y as v))))")).alias("p")).select("p.*")
+    stars = joined.where(F.col("n") > CROWD).select(F.col("rep").alias("u"), F.explode(F.array("lo", "hi")).alias("v"))
+    two = met.where("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+    edges = own.unionByName(across).unionByName(two).unionByName(pairs).unionByName(stars).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    edges = materialise(edges, "candidates")
+
+    involved = edges.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(reps.select("rep", "digest", F.col("k").alias("__k")), "rep")
+    source = df.select(ids.alias("k"), digest.alias("digest"), F.col(text).alias("t"))
+    texts = materialise(source.join(involved, (source["digest"] == involved["digest"]) & source["k"].eqNullSafe(involved["__k"])).select("rep", "t"), "texts")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, a, b = (c.to_pylist() for c in batch.columns)
+            good = [_similar(x, y, shingle, similarity) for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, g in zip(u, good) if g], pa.int64()), pa.array([x for x, g in zip(v, good) if g], pa.int64())], names=["u", "v"])
+
+    beside = lambda c, out: texts.select(F.col("rep").alias(c), F.col("t").alias(out))
+    verified = edges.join(beside("u", "a"), "u").join(beside("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
+    reached = connected_components(verified)
+    named = reps.join(reached, reps["rep"] == reached["node"], "left").select("digest", "k", F.coalesce("component", "rep").alias("root"))
+    kept = named.groupBy("root").agg(F.min(F.struct(F.col("k").isNotNull(), "k", "digest")).alias("o")).select(F.col("o.k").alias("__k"), F.col("o.digest").alias("__digest"))
+    marked = df.withColumn("__own", digest)
+    return marked.join(kept, (marked["__own"] == kept["__digest"]) & marked[key].eqNullSafe(kept["__k"]), "left_semi").dropDuplicates([key, "__own"]).drop("__own")
+
+
 def hex_of(fp: str = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
