@@ -254,12 +254,12 @@ def verified(spark, sf_dir):
 
 
 @query(f"""with {_LINES} select r.l_orderkey % 97 as word_normalized, cast(count_if(final_value > 0) as bigint) as n_positive_features, cast(count_if(adjudicated) as bigint) as n_adjudicated, bool_or(needs_audit) as needs_human_audit,
-round(any_value(conf), 6) as mean_feature_confidence, any_value(low) as n_low_confidence, any_value(amb) as n_ambiguous
+round(any_value(conf), 9) as mean_feature_confidence, any_value(low) as n_low_confidence, any_value(amb) as n_ambiguous
 from resolved r join (select l_orderkey % 97 as w, avg(c) as conf, cast(count_if(c < 0.8) as bigint) as low, cast(count_if(amb) as bigint) as amb from lines where j <= 3 group by 1) q on r.l_orderkey % 97 = q.w group by 1""")
 def word_rollup(spark, sf_dir):
     word = (F.col("l_orderkey") % 97).alias("word_normalized")
     rows = matrix.rollup(_resolved(spark, sf_dir).withColumn("word_normalized", word), _judges(spark, sf_dir).withColumn("word_normalized", word))
-    return rows.withColumn("mean_feature_confidence", F.round("mean_feature_confidence", 6))
+    return rows.withColumn("mean_feature_confidence", F.round("mean_feature_confidence", 9))
 
 
 # Matrices, occurrences and coverage.
