@@ -15,6 +15,7 @@ expected number and share of toxic tokens, into its score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ from lexiloom.llm._shared import arrow_batches
 
 WORD = re.compile(r"[^\W_]+")
 PIECE = 1 << 20
+LEAST_STRENGTH = 12.0
 
 
 @dataclass
@@ -83,8 +85,11 @@ def toxic_features(docs: list[tuple[str, int]], most: int = 1000) -> dict[str, i
     clean = Counter(f for ws in words[0] for f in {f for w in ws for f in features_of(w) if f in toxic})
     n = [max(1, len(words[k])) for k in (0, 1)]
     rare = {f: c for f, c in toxic.items() if clean[f] / n[0] <= 0.2 * c / n[1]}
+    total = n[0] + n[1]
+    # Twice the log-likelihood ratio of a feature's counts against those of chance.
+    strength = {f: 2 * (c * math.log(c * total / ((c + clean[f]) * n[1])) + (clean[f] * math.log(clean[f] * total / ((c + clean[f]) * n[0])) if clean[f] else 0)) for f, c in rare.items()}
     best = max(rare.values(), default=0)
-    picked = sorted((f for f, c in rare.items() if c >= 0.1 * best), key=lambda f: (-rare[f], f))[:most]
+    picked = sorted((f for f, c in rare.items() if c >= 0.1 * best and strength[f] >= LEAST_STRENGTH), key=lambda f: (-rare[f], f))[:most]
     if not picked:
         return {}
     number = {f: i for i, f in enumerate(picked)}

@@ -187,7 +187,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     files = write_archives(dedupe(pages), folder)
-    captures = assemble(scan_records(files.repartition(F.col("path")), folder))
+    # A task for each archive: by number, or Spark would put the few small rows of paths into one task.
+    captures = assemble(scan_records(files.repartition(max(1, files.count())), folder))
     field = lambda name: F.nullif(F.regexp_extract("metadata.fields", rf"{name}: (-?\d*)", 1), F.lit("")).cast("long")
     return captures.select(
         field("page-id").alias("page_id"),
