@@ -74,7 +74,7 @@ def casefold(x: str | Column) -> Column:
 
 def normalize_feature(x: str | Column) -> Column:
     """Case folded, stripped, without the dots at the end, white space collapsed."""
-    return collapse(F.regexp_replace(strip(casefold(x)), r"\.+$", ""))
+    return strip(collapse(F.regexp_replace(strip(casefold(x)), r"\.+$", "")))
 
 
 def match_key(x: str | Column) -> Column:

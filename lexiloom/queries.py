@@ -40,7 +40,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # The response log: documents are responses, their lines the features.
 
-_FOLD = r"regexp_replace(regexp_replace(regexp_replace(replace(lower(f), 'ß', 'ss'), '^\s+|\s+$', '', 'g'), '\.+$', ''), '\s+', ' ', 'g')"
+_FOLD = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(f), 'ß', 'ss'), '^\s+|\s+$', '', 'g'), '\.+$', ''), '\s+', ' ', 'g'))"
 _LONG = f"select doc_id, lang, source, i, f, {_FOLD} as norm from (select doc_id, lang, source, unnest(string_split(text, chr(10))) as f, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null)"
 
 

@@ -32,5 +32,6 @@ def current(spark: SparkSession, table: str, keys: list[str], seq: str) -> DataF
 
 
 def windowed_counts(stream: DataFrame, ts: str, by: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Rows per window of event time and key; later than ``late`` is left out."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n_rows")).select(F.col("window.start").alias("window_start"), by, "n_rows")
+    """Rows per window of event time and key; later than ``late`` is left out. Times without a zone are the session's, and come back as such."""
+    kind = stream.schema[ts].dataType.simpleString()
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n_rows")).select(F.col("window.start").cast(kind).alias("window_start"), by, "n_rows")
