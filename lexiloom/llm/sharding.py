@@ -57,7 +57,7 @@ def lookup(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> DataFr
 
 def slot_of(key: str | Column, slots: int = SLOTS) -> Column:
     """A key's slot: the first 60 bits of the MD5 of its text, modulo the table's size."""
-    text = F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit("")).cast("string")
+    text = F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(slots))
 
 
