@@ -6,9 +6,9 @@ cell, which keeps the number of its digests, their XOR and the XOR of their
 checks. Sketches of two versions subtract cell by cell, paragraphs in common
 cancel, and peeling recovers the others: a cell with one digest, which its check
 confirms, gives that digest, and taking it out of its other cells leaves more
-such cells. Where peeling gets stuck, digests are dealt to eight times as many
-sketches by other bits, again and again; what the largest size leaves stuck is
-compared digest by digest.
+such cells. Where peeling gets stuck, digests are dealt by other bits to many
+sketches, as many as both texts' paragraphs ask for, then four times and sixteen
+times as many; what even those leave stuck is compared digest by digest.
 
 All of it is SQL expressions over columns. The order of documents is found over
 ids and lengths alone. Texts are shuffled once, and of each next document only
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from lexiloom.plans.materialise import materialise
 
 CELLS = 8  # in each of three rows
-SIZES = (8, 64, 512, 4096)
+FEW = 32  # paragraphs of two texts together that the fingerprints' own sketches are tried for
+SHARE = 6  # paragraphs for each of the larger sketches
+GROWTH = (1, 4, 16)
 ROUNDS = 12
 LOWEST = -(1 << 63)  # stands for a null id
 
@@ -49,24 +51,41 @@ def difference(left: str, right: str) -> str:
     return f"zip_with({left}, {right}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
 
 
-def peel(cells: str) -> str:
+def signed(left: str, right: str) -> str:
+    """Digests of both sides as structs of digest k and side n."""
+    return f"concat(transform({left}, k -> named_struct('k', k, 'n', 1)), transform({right}, k -> named_struct('k', k, 'n', -1)))"
+
+
+def signed_sketch(digests: str) -> str:
+    """The difference of two sketches, from signed digests."""
+    return f"""flatten(transform(array(0, 1, 2), j -> transform(sequence(0, {CELLS - 1}), i -> aggregate(
+        filter({digests}, u -> {_place('u.k', 'j')} = i),
+        named_struct('n', 0, 'k', 0L, 'c', 0), (s, u) -> named_struct('n', s.n + u.n, 'k', s.k ^ u.k, 'c', s.c ^ hash(u.k))))))"""
+
+
+def peel(cells: str, result: str = "s.found") -> str:
     """The digests on one side only, as structs of digest k and side n; null if peeling gets stuck."""
     pure = "array_distinct(transform(filter(s.cells, x -> abs(x.n) = 1 and hash(x.k) = x.c), x -> named_struct('k', x.k, 'n', x.n)))"
     without = f"""transform(s.cells, (x, i) -> aggregate(filter(p, q -> {_place('q.k', f'cast(i div {CELLS} as int)')} = i % {CELLS}), x,
         (t, q) -> named_struct('n', t.n - q.n, 'k', t.k ^ q.k, 'c', t.c ^ hash(q.k))))"""
-    step = f"transform(array({pure}), p -> if(size(p) = 0, s, named_struct('cells', {without}, 'found', concat(s.found, p))))[0]"
-    start = f"named_struct('cells', {cells}, 'found', cast(array() as array<struct<k:bigint,n:int>>))"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {step}, s -> if(exists(s.cells, x -> x.n <> 0 or x.k <> 0), null, s.found))"
+    step = f"transform(array({pure}), p -> if(size(p) = 0, named_struct('cells', s.cells, 'found', s.found, 'open', false), named_struct('cells', {without}, 'found', concat(s.found, p), 'open', true)))[0]"
+    start = f"named_struct('cells', {cells}, 'found', cast(array() as array<struct<k:bigint,n:int>>), 'open', true)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> if(s.open, {step}, s), s -> if(exists(s.cells, x -> x.n <> 0 or x.k <> 0), null, {result}))"
 
 
 def differing(left: str, right: str, left_sketch: str, right_sketch: str) -> str:
     """How many digests are on one side only, from the sketches or from larger ones."""
-    tries = [f"size({peel(difference(left_sketch, right_sketch))})"]
-    for size in SIZES:
-        own = [sketch(f"filter({side}, d -> pmod(shiftright(d, 40), {size}) = g)") for side in (left, right)]
-        tries.append(f"aggregate(sequence(0, {size - 1}), 0, (total, g) -> if(total is null, null, total + size({peel(difference(*own))})))")
+    both = f"(size({left}) + size({right}))"
+    tries = [f"if({both} <= {FEW}, {peel(difference(left_sketch, right_sketch), 'size(s.found)')}, null)"]
+    for growth in GROWTH:
+        # One group of digests after another; a group without any is done.
+        one = f"transform(array(filter(all, d -> pmod(shiftright(d.k, 36), sketches) = g)), own -> if(size(own) = 0, 0, {peel(signed_sketch('own'), 'size(s.found)')}))[0]"
+        tries.append(
+            f"transform(array({signed(left, right)}), all -> transform(array(cast(ceil({both} / {SHARE}) as int) * {growth}), sketches -> "
+            f"aggregate(sequence(0, sketches - 1), 0, (total, g) -> if(total is null, null, total + {one})))[0])[0]"
+        )
     tries.append(f"size(array_except({left}, {right})) + size(array_except({right}, {left}))")
-    return "coalesce(" + ", ".join(tries) + ")"
+    return f"if({both} = 0, 0, coalesce(" + ", ".join(tries) + "))"
 
 
 def likeness(left: str, right: str, differ: str) -> str:
