@@ -205,6 +205,12 @@ def _similar(a: str, b: str, shingle: int, similarity: float) -> bool:
     return common >= similarity * (len(x) + len(y) - common)
 
 
+def _pairs(members: DataFrame, *keys: str) -> DataFrame:
+    """All pairs (u, v) of rep within the small groups of ``keys``."""
+    few = members.groupBy(*keys).agg(F.array_sort(F.collect_list("rep")).alias("m"))
+    return few.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as u, y as v))))")).alias("p")).select("p.*")
+
+
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df``, all their columns, one of each group of near-duplicates: that of the least ``key``.
 
@@ -214,10 +220,11 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     several more, each of a sample of its shingles; texts meet where one of
     these is the same, or where their whole fingerprints link. Meetings of a few
     are compared pair by pair; in larger ones each member is compared with the
-    least and the greatest. What meets is verified on the whole texts.
+    least and the greatest, and those that this leaves apart, with the least and
+    the greatest of those that share one more sample with them. What meets is
+    verified on the whole texts.
 
-    Equal texts are one text; null and empty texts and those without a word are
-    equal to their own kind. Of repeated rows one stays, and a null key is less
+    Equal texts are one text, and so are all without a word, null ones included. Of repeated rows one stays, and a null key is less
     than any other. An empty table gives an empty result.
     """
     spark = df.sparkSession
@@ -248,17 +255,16 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     # Samples that are the same.
     each = reps.select("rep", F.posexplode("samples").alias("slot", "sample"))
     met = each.groupBy("slot", "sample").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("n > 1")
-    joined = each.join(met, ["slot", "sample"])
-    few = joined.where(F.col("n").between(3, CROWD)).groupBy("slot", "sample").agg(F.array_sort(F.collect_list("rep")).alias("m"))
-    pairs = few.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as u, y as v))))")).alias("p")).select("p.*")
-    stars = joined.where(F.col("n") > CROWD).select(F.col("rep").alias("u"), F.explode(F.array("lo", "hi")).alias("v"))
+    joined = materialise(each.join(met, ["slot", "sample"]).where("n > 2"), "met")
     two = met.where("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-    edges = own.unionByName(across).unionByName(two).unionByName(pairs).unionByName(stars).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    edges = materialise(edges, "candidates")
+    crowds = joined.where(F.col("n") > CROWD)
+    stars = crowds.select(F.col("rep").alias("u"), F.explode(F.array("lo", "hi")).alias("v"))
+    tidy = lambda e: e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    edges = materialise(tidy(own.unionByName(across).unionByName(two).unionByName(_pairs(joined.where(F.col("n") <= CROWD), "slot", "sample")).unionByName(stars)), "candidates")
 
     involved = edges.select(F.explode(F.array("u", "v")).alias("rep")).distinct().join(reps.select("rep", "digest", F.col("k").alias("__k")), "rep")
     source = df.select(ids.alias("k"), digest.alias("digest"), F.col(text).alias("t"))
-    texts = materialise(source.join(involved, (source["digest"] == involved["digest"]) & source["k"].eqNullSafe(involved["__k"])).select("rep", "t"), "texts")
+    texts = materialise(source.join(involved, (source["digest"] == involved["digest"]) & source["k"].eqNullSafe(involved["__k"])).select("rep", "t").dropDuplicates(["rep"]), "texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,9 +272,23 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
             good = [_similar(x, y, shingle, similarity) for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, g in zip(u, good) if g], pa.int64()), pa.array([x for x, g in zip(v, good) if g], pa.int64())], names=["u", "v"])
 
-    beside = lambda c, out: texts.select(F.col("rep").alias(c), F.col("t").alias(out))
-    verified = edges.join(beside("u", "a"), "u").join(beside("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
-    reached = connected_components(verified)
+    def verified(e: DataFrame) -> DataFrame:
+        beside = lambda c, out: texts.select(F.col("rep").alias(c), F.col("t").alias(out))
+        return e.join(beside("u", "a"), "u").join(beside("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
+
+    sure = materialise(verified(edges), "verified")
+    reached = connected_components(sure)
+    # In crowds, what is still apart from the crowd's least member meets again by one more sample.
+    part = lambda d, c: d.join(reached.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), c, "left").withColumn(f"{c}_part", F.coalesce(f"{c}_part", c))
+    apart = part(part(crowds.select("slot", "sample", "rep", "lo"), "rep"), "lo").where("rep_part <> lo_part").select("slot", "sample").distinct()
+    again = part(crowds.join(apart, ["slot", "sample"], "left_semi").select("slot", "sample", "rep"), "rep").join(reps.select("rep", "samples"), "rep")
+    again = again.select("rep", "rep_part", "slot", "sample", F.posexplode("samples").alias("other", "second")).where("other <> slot")
+    keys = ["slot", "sample", "other", "second"]
+    ends = again.groupBy(*keys).agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n"), F.min("rep_part").alias("p"), F.max("rep_part").alias("q")).where("p <> q").drop("p", "q")
+    near = again.join(ends, keys)
+    closer = _pairs(near.where(F.col("n") <= CROWD), *keys).unionByName(near.where(F.col("n") > CROWD).select(F.col("rep").alias("u"), F.explode(F.array("lo", "hi")).alias("v")))
+    open_ = part(part(tidy(closer), "u"), "v").where("u_part <> v_part").select("u", "v")
+    reached = connected_components(sure.unionByName(verified(open_)))
     named = reps.join(reached, reps["rep"] == reached["node"], "left").select("digest", "k", F.coalesce("component", "rep").alias("root"))
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("k").isNotNull(), "k", "digest")).alias("o")).select(F.col("o.k").alias("__k"), F.col("o.digest").alias("__digest"))
     marked = df.withColumn("__own", digest)
