@@ -38,16 +38,35 @@ END_ID = 2
 # The pattern of the vocabulary file's splitter.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = re.compile("[^\0-ɏ]")
-MAX_WORDS, LONGEST = 400_000, 48
+NO_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, signs to the pattern
+MAX_WORDS, LONGEST = 600_000, 48
 PART = 1 << 20
 HASH_BLOCKS, ROUND_BLOCKS = 1024, 1024
 
 
+class RunTable(dict):
+    """Text between white space -> the ids of its words, which never reach across white space."""
+
+    def __init__(self, words: WordTable):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, run: str) -> bytes:
+        words = self.words
+        ids = b"".join([words[w] for w in SPLIT.findall(run)])
+        if len(run) <= LONGEST:
+            if len(self) >= MAX_WORDS:
+                self.clear()
+            self[run] = ids
+        return ids
+
+
 class WordTable(dict):
     """word -> its ids as little-endian unsigned 16-bit numbers."""
 
     def __init__(self, path: str):
         super().__init__()
+        self.runs = RunTable(self)
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -70,8 +89,8 @@ class WordTable(dict):
     def plain(self, text: str) -> bytes:
         """Ids of a text without special strings. Its normal form is the library's; where that only lower-cases, str does it."""
         low = self.library.normalizer.normalize_str(text) if PLAIN.search(text) else text.lower()
-        if len(low) <= PART:
-            return b"".join([self[w] for w in SPLIT.findall(low)])
+        if len(low) <= PART and not NO_SPACE.search(low):
+            return b"".join(map(self.runs.__getitem__, low.split()))
         return b"".join(self[m[0]] for m in SPLIT.finditer(low))
 
     def ids(self, text: str) -> bytes:
