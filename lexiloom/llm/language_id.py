@@ -93,7 +93,7 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str | Column = "doc_id", per_language: int = 800, clusters: int = 4, languages: int = 256) -> Model:
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str | Column = "doc_id", per_language: int = 400, clusters: int = 4, languages: int = 256) -> Model:
     """Learn from the rows of ``df``, which the caller has limited to training rows.
 
     About ``per_language`` rows of each language are used, picked by a hash of

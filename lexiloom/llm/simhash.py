@@ -288,8 +288,10 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     near = again.join(ends, keys)
     closer = _pairs(near.where(F.col("n") <= CROWD), *keys).unionByName(near.where(F.col("n") > CROWD).select(F.col("rep").alias("u"), F.explode(F.array("lo", "hi")).alias("v")))
     open_ = part(part(tidy(closer), "u"), "v").where("u_part <> v_part").select("u", "v")
-    reached = connected_components(sure.unionByName(verified(open_)))
-    for done in (joined, edges, texts, sure):
+    more = materialise(verified(open_), "verified")
+    if not more.isEmpty():
+        reached = connected_components(sure.unionByName(more))
+    for done in (joined, edges, texts, sure, more):
         release(done)
     named = reps.join(reached, reps["rep"] == reached["node"], "left").select("digest", "k", F.coalesce("component", "rep").alias("root"))
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("k").isNotNull(), "k", "digest")).alias("o")).select(F.col("o.k").alias("__k"), F.col("o.digest").alias("__digest"))

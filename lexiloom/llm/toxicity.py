@@ -68,6 +68,33 @@ def features_of(word: str) -> list[str]:
     return [word, *["^" + word[:k] for k in range(3, min(9, n))], *["$" + word[-k:] for k in range(4, min(7, n))]]
 
 
+def _frequent(sets: list[set[str]], least: float) -> dict[str, int]:
+    """Features in at least ``least`` of the sets of words, with the number of sets.
+
+    Counted by length: a longer beginning or end only where the one that is
+    shorter by a letter is frequent, and a word only where its longest beginning
+    is. So what is counted stays small, whatever the number of words.
+    """
+    frequent: dict[str, int] = {}
+    for level in range(7):  # beginnings of 3 to 8 letters with ends of 4 to 6, then words
+        counts: Counter = Counter()
+        for words in sets:
+            found = set()
+            for w in words:
+                n, k = len(w), 3 + level
+                if level == 6:
+                    if n <= 3 or "^" + w[: min(8, n - 1)] in frequent:
+                        found.add(w)
+                    continue
+                if k < n and (level == 0 or "^" + w[: k - 1] in frequent):
+                    found.add("^" + w[:k])
+                if 4 <= k + 1 < min(7, n) and (level == 0 or "$" + w[-k:] in frequent):
+                    found.add("$" + w[-k - 1 :])
+            counts.update(found)
+        frequent |= {f: c for f, c in counts.items() if c >= least}
+    return frequent
+
+
 def toxic_features(docs: list[tuple[str, int]], most: int = 1000) -> dict[str, int]:
     """Features whose presence makes a document toxic, numbered from 1."""
     seen: dict[str, int] = {}
@@ -79,9 +106,7 @@ def toxic_features(docs: list[tuple[str, int]], most: int = 1000) -> dict[str, i
         fresh = [x for x in text.lower().split("\n") if x not in lines]  # copies of a document count once
         lines.update(fresh)
         words[label].append({w for x in fresh for w in WORD.findall(x)})
-    toxic = Counter(f for ws in words[1] for f in {f for w in ws for f in features_of(w)})
-    least = max(3, 0.02 * len(words[1]))
-    toxic = {f: c for f, c in toxic.items() if c >= least}
+    toxic = _frequent(words[1], max(3, 0.02 * len(words[1])))
     clean = Counter(f for ws in words[0] for f in {f for w in ws for f in features_of(w) if f in toxic})
     n = [max(1, len(words[k])) for k in (0, 1)]
     rare = {f: c for f, c in toxic.items() if clean[f] / n[0] <= 0.2 * c / n[1]}
@@ -265,7 +290,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str
     for features, k in kinds.items():
         table[k, list(features)] = 1
     marked, plain = sorted(x for x in lines if any(x[0])), sorted(x for x in lines if not any(x[0]))
-    model.emit, model.move, model.first = train_field(marked[:2000] + plain[:700], table)
+    model.emit, model.move, model.first = train_field(marked[:1200] + plain[:400], table)
     chain = Chain(model)
     found = [chain.read(t) for t, _ in docs]
     x, y = np.array([(a, np.log1p(b), 3 * c**0.5) for (a, b, c), _ in found]), np.array([n for _, n in docs])
