@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexiloom.llm._shared import arrow_batches
+from lexiloom.llm.token_counts import byte_letters
 from lexiloom.plans.materialise import materialise
 
 WINDOW = 4096
@@ -72,6 +73,8 @@ class WordTable(dict):
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
+        self.merges = self.library.model
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
@@ -79,7 +82,9 @@ class WordTable(dict):
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.raw(word)
+        """A word of normal text needs the library's merges alone, on its bytes' letters."""
+        letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        ids = np.array([token.id for token in self.merges.tokenize(letters)], "<u2").tobytes()
         if len(word) <= LONGEST:
             if len(self) >= MAX_WORDS:
                 self.clear()
