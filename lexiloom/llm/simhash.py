@@ -183,6 +183,7 @@ def components(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
 
 SAMPLES = 8
 SAMPLE_SIZE = 2
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 18, 2048
 
 
 def sampled(hashes: np.ndarray) -> list[int]:
@@ -211,6 +212,62 @@ def _pairs(members: DataFrame, *keys: str) -> DataFrame:
     return few.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as u, y as v))))")).alias("p")).select("p.*")
 
 
+def block_links(sets: list[np.ndarray], part: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links (positions) that join the parts of sets as all similar pairs of a ``left`` and a ``right`` position would.
+
+    ``sets`` hold distinct hashes. Common hashes are counted for all pairs:
+    those of many sets by products of a dense matrix, the others by lists.
+    """
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, token, often = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    many = often > max(2, len(sets) // 16)  # so the matrix has at most 16 cells for each hash of the sets
+    column = np.cumsum(many) - 1
+    dense = np.zeros((len(sets), int(many.sum())), np.float32)
+    dense[owner[many[token]], column[token[many[token]]]] = 1
+    few = ~many[token] & (often[token] > 1)
+    place = np.full(len(sets), -1)
+    place[right] = np.arange(len(right))
+    listed = few & (place[owner] >= 0)
+    order = np.argsort(token[listed], kind="stable")
+    holders, length = place[owner[listed]][order], np.bincount(token[listed], minlength=len(often))
+    start = np.cumsum(length) - length
+    edge = np.concatenate([[0], np.cumsum(size)])
+    _, part = np.unique(part, return_inverse=True)
+    root, us, vs = np.arange(part.max(initial=-1) + 1), [], []
+    opposite = dense[right].T
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k in range(0, len(left), 256):
+        if (part == part[0]).all():
+            break
+        rows = left[k : k + 256]
+        common = dense[rows] @ opposite
+        for i, x in enumerate(rows.tolist()):
+            own = token[edge[x] : edge[x + 1]][few[edge[x] : edge[x + 1]]]
+            n = length[own]
+            if n.sum():
+                at = np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                common[i] += np.bincount(holders[at], minlength=len(right))
+        common = common.astype(np.float64)
+        near = common >= similarity * (size[rows][:, None] + size[right] - common)
+        a, b = np.nonzero(near & (part[rows][:, None] != part[right]))
+        _, first = np.unique(part[rows[a]] * len(root) + part[right[b]], return_index=True)
+        for x, y in zip(rows[a[first]].tolist(), right[b[first]].tolist()):
+            p, q = find(part[x]), find(part[y])
+            if p != q:
+                root[p] = q
+                us.append(x)
+                vs.append(y)
+        part = np.array([find(x) for x in range(len(root))])[part]
+    return us, vs
+
+
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df``, all their columns, one of each group of near-duplicates: that of the least ``key``.
 
@@ -220,9 +277,9 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     several more, each of a sample of its shingles; texts meet where one of
     these is the same, or where their whole fingerprints link. Meetings of a few
     are compared pair by pair; in larger ones each member is compared with the
-    least and the greatest, and those that this leaves apart, with the least and
-    the greatest of those that share one more sample with them. What meets is
-    verified on the whole texts.
+    least and the greatest, and where this leaves several parts, all members of
+    different parts with one another, in pairs of blocks of bounded size. What
+    meets is verified on the whole texts.
 
     Equal texts are one text, and so are all without a word, null ones included. Of repeated rows one stays, and a null key is less
     than any other. An empty table gives an empty result.
@@ -278,20 +335,36 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
 
     sure = materialise(verified(edges), "verified")
     reached = connected_components(sure)
-    # In crowds, what is still apart from the crowd's least member meets again by one more sample.
-    part = lambda d, c: d.join(reached.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), c, "left").withColumn(f"{c}_part", F.coalesce(f"{c}_part", c))
-    apart = part(part(crowds.select("slot", "sample", "rep", "lo"), "rep"), "lo").where("rep_part <> lo_part").select("slot", "sample").distinct()
-    again = part(crowds.join(apart, ["slot", "sample"], "left_semi").select("slot", "sample", "rep"), "rep").join(reps.select("rep", "samples"), "rep")
-    again = again.select("rep", "rep_part", "slot", "sample", F.posexplode("samples").alias("other", "second")).where("other <> slot")
-    keys = ["slot", "sample", "other", "second"]
-    ends = again.groupBy(*keys).agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n"), F.min("rep_part").alias("p"), F.max("rep_part").alias("q")).where("p <> q").drop("p", "q")
-    near = again.join(ends, keys)
-    closer = _pairs(near.where(F.col("n") <= CROWD), *keys).unionByName(near.where(F.col("n") > CROWD).select(F.col("rep").alias("u"), F.explode(F.array("lo", "hi")).alias("v")))
-    open_ = part(part(tidy(closer), "u"), "v").where("u_part <> v_part").select("u", "v")
-    more = materialise(verified(open_), "verified")
+    # In crowds that this leaves in several parts, members of different parts are compared, block by block.
+    parts = reached.select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    members = crowds.select("slot", "sample", "rep").join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    seen = members.groupBy("slot", "sample").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("all"))
+    apart = seen.where("p <> q").dropDuplicates(["n", "lo", "hi", "all"]).select("slot", "sample")  # the same members need one comparison
+    open_ = materialise(members.join(apart, ["slot", "sample"]).select("slot", "sample", "rep", "part"), "open")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.concatenate([*shingle_hashes(t, shingle), np.zeros(0, np.uint64)])) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["rep", "size", "grams"])
+
+    grams = materialise(texts.join(open_.select("rep").distinct(), "rep", "left_semi").select("rep", "t").mapInArrow(sets, "rep long, size long, grams binary"), "grams")
+    sizes = open_.join(grams.select("rep", "size"), "rep").groupBy("slot", "sample").agg(F.greatest(F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS))).cast("int").alias("blocks"))
+    dealt = open_.join(sizes, ["slot", "sample"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    compared = dealt.join(grams, "rep").select("slot", "sample", "i", "j", "rep", "part", (F.col("own") == F.col("i")).alias("left"), (F.col("own") == F.col("j")).alias("right"), "grams")
+
+    def compare(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        found = [np.frombuffer(x, np.uint64) for x in block["grams"].to_pylist()]
+        left, right = (np.flatnonzero(np.array(block[c].to_pylist(), bool)) for c in ("left", "right"))
+        rep = block["rep"].to_numpy()
+        u, v = block_links(found, block["part"].to_numpy(), left, right, similarity)
+        return pa.table({"u": pa.array(rep[u], pa.int64()), "v": pa.array(rep[v], pa.int64())})
+
+    more = materialise(compared.groupBy("slot", "sample", "i", "j").applyInArrow(compare, "u long, v long"), "verified")
     if not more.isEmpty():
         reached = connected_components(sure.unionByName(more))
-    for done in (joined, edges, texts, sure, more):
+    for done in (joined, edges, texts, sure, open_, grams, more):
         release(done)
     named = reps.join(reached, reps["rep"] == reached["node"], "left").select("digest", "k", F.coalesce("component", "rep").alias("root"))
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("k").isNotNull(), "k", "digest")).alias("o")).select(F.col("o.k").alias("__k"), F.col("o.digest").alias("__digest"))

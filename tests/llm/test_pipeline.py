@@ -3,6 +3,7 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,52 @@ def test_near_copies_of_every_kind(spark):
     check_kept(df, simhash.deduplicate(df))
 
 
+def test_crowds_lose_no_near_copy(spark, monkeypatch):
+    """Over a thousand variants of one text, and near copies among texts that are mostly one passage."""
+    monkeypatch.setattr(simhash, "BLOCK_MEMBERS", 200, raising=False)  # several blocks
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+
+    def edited(words, n, start=0):
+        words = [*words]
+        for _ in range(n):
+            words[rng.randrange(start, len(words))] = word()
+        return words
+
+    base, passage = [word() for _ in range(80)], [word() for _ in range(150)]
+    texts = [edited(base, rng.randint(1, 4)) for _ in range(1200)]
+    for _ in range(200):
+        first = passage + [word() for _ in range(30)]
+        texts += [first, edited(first, 1, 150)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check_kept(df, simhash.deduplicate(df))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_block_links_equal_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(50, 60), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 5)).astype(np.uint64)])) for _ in range(300)]
+    sets += [np.unique(np.concatenate([x[1:], x[:1] + np.uint64(1)])) for x in (rng.integers(0, 1 << 60, 30).astype(np.uint64) for _ in range(40)) for _ in (0, 1)]
+    side = rng.random(len(sets)) < 0.5
+    for left, right in ((np.arange(len(sets)),) * 2, (np.flatnonzero(side), np.flatnonzero(~side))):
+        like = lambda x, y: (n := len(np.intersect1d(sets[x], sets[y]))) >= 0.8 * (len(sets[x]) + len(sets[y]) - n)
+        links = [(x, y) for x in left.tolist() for y in right.tolist() if x != y and like(x, y)]
+        found = list(zip(*simhash.block_links(sets, np.arange(len(sets)), left, right, 0.8)))
+        assert set(found) <= set(links)
+        groups = []
+        for edges in (links, found):
+            root = list(range(len(sets)))
+            for x, y in edges:
+                a, b = root[x], root[y]
+                if a != b:
+                    root = [min(a, b) if r in (a, b) else r for r in root]
+            groups.append(root)
+        assert groups[0] == groups[1]
+
+
 @pytest.fixture(scope="module")
 def steps(spark, small):
     docs, out = spark.read.parquet(f"{small}/documents.parquet"), []
