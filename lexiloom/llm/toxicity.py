@@ -31,6 +31,7 @@ from lexiloom.llm._shared import arrow_batches
 WORD = re.compile(r"[^\W_]+")
 PIECE = 1 << 20
 LEAST_STRENGTH = 12.0
+LINE, CELLS = 256, 1 << 17  # of training: tokens of a part of a line, cells of a batch
 
 
 @dataclass
@@ -127,49 +128,64 @@ def toxic_features(docs: list[tuple[str, int]], most: int = 1000) -> dict[str, i
     return {f: i + 1 for i, f in enumerate(sorted(kept))}
 
 
+def _batches(lines: list[tuple[tuple[int, ...], int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Kinds, which cells hold tokens, labels, and which rows open a line; parts of about one length, at most CELLS cells each."""
+    parts = sorted((len(x[k : k + LINE]), x[k : k + LINE], label, k == 0) for x, label in lines for k in range(0, len(x), LINE))
+    start = 0
+    while start < len(parts):
+        stop = start + 1
+        while stop < len(parts) and (stop + 1 - start) * parts[stop][0] <= CELLS:
+            stop += 1
+        some = parts[start:stop]
+        length = np.array([n for n, *_ in some])
+        kind = np.zeros((len(some), length.max()), np.int32)
+        for i, (n, x, _, _) in enumerate(some):
+            kind[i, :n] = x
+        yield kind, np.arange(kind.shape[1]) < length[:, None], np.array([label for *_, label, _ in some]), np.array([opens for *_, opens in some])
+        start = stop
+
+
 def train_field(lines: list[tuple[tuple[int, ...], int]], kinds: np.ndarray, rounds: int = 100, rate: float = 0.25, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Emission, transition and start weights from labelled lines.
+    """Emission, transition and start weights from labelled lines, all of them and whole.
 
     Lines hold numbers of kinds of tokens, and their document's label; a row of
     ``kinds`` has 1 for each feature of the kind. Kind 0 has the common feature
-    only; tokens of all other kinds are toxic if the document is.
+    only; tokens of all other kinds are toxic if the document is. Lines of more
+    than LINE tokens go in several parts, of which the first alone has a start.
     """
     emit, move, first = np.zeros((kinds.shape[1], 2)), np.zeros((2, 2)), np.zeros(2)
-    labels = np.array([label for x, label in lines if x])
-    lines = [x for x, _ in lines if x]
-    if not lines:
+    batches, n = list(_batches(lines)), sum(1 for x, _ in lines if x)
+    if not batches:
         return emit, move, first
-    length, width = np.array([len(x) for x in lines]), max(map(len, lines))
-    kind = np.zeros((len(lines), width), int)
-    for i, x in enumerate(lines):
-        kind[i, : len(x)] = x
-    on, gold = np.arange(width) < length[:, None], (kind > 0) * labels[:, None]
-    truth = np.eye(2)[gold]
-    both = on[:, 1:]
-    seen_moves = np.einsum("nki,nkj->ij", truth[:, :-1] * both[..., None], truth[:, 1:])
     params, moment, spread = [emit, move, first], [0, 0, 0], [0, 0, 0]
     for t in range(1, rounds + 1):
         emit, move, first = params
         own = kinds @ emit
         own = np.exp(own - own.max(1, keepdims=True))
-        e, m = own[kind], np.exp(move)
-        ahead, back = np.empty(e.shape), np.ones(e.shape)
-        ahead[:, 0] = np.exp(first) * e[:, 0]
-        ahead[:, 0] /= ahead[:, 0].sum(1, keepdims=True)
-        for k in range(1, width):
-            step = (ahead[:, k - 1] @ m) * e[:, k]
-            ahead[:, k] = step / step.sum(1, keepdims=True)
-        for k in range(width - 2, -1, -1):
-            step = (back[:, k + 1] * e[:, k + 1]) @ m.T
-            back[:, k] = np.where(on[:, k + 1, None], step / step.sum(1, keepdims=True), 1)
-        p = ahead * back
-        p /= p.sum(2, keepdims=True)
-        after = (e * back)[:, 1:]
-        scale = both / np.maximum(np.einsum("nki,ij,nkj->nk", ahead[:, :-1], m, after), 1e-300)
-        pair = np.einsum("nki,nkj->ij", ahead[:, :-1] * scale[..., None], after) * m
-        diff = (truth - p) * on[..., None]
-        by_kind = np.stack([np.bincount(kind.ravel(), diff[..., k].ravel(), len(kinds)) for k in (0, 1)], 1)
-        grads = [g / len(lines) - ridge * w for g, w in zip((kinds.T @ by_kind, seen_moves - pair, diff[:, 0].sum(0)), params)]
+        m = np.exp(move)
+        sums = [np.zeros((len(kinds), 2)), np.zeros((2, 2)), np.zeros(2)]
+        for kind, on, labels, opens in batches:
+            truth, both, width = np.eye(2)[(kind > 0) * labels[:, None]], on[:, 1:], kind.shape[1]
+            e = own[kind]
+            ahead, back = np.empty(e.shape), np.ones(e.shape)
+            ahead[:, 0] = np.where(opens[:, None], np.exp(first), 1) * e[:, 0]
+            ahead[:, 0] /= ahead[:, 0].sum(1, keepdims=True)
+            for k in range(1, width):
+                step = (ahead[:, k - 1] @ m) * e[:, k]
+                ahead[:, k] = step / step.sum(1, keepdims=True)
+            for k in range(width - 2, -1, -1):
+                step = (back[:, k + 1] * e[:, k + 1]) @ m.T
+                back[:, k] = np.where(on[:, k + 1, None], step / step.sum(1, keepdims=True), 1)
+            p = ahead * back
+            p /= p.sum(2, keepdims=True)
+            after = (e * back)[:, 1:]
+            scale = both / np.maximum(np.einsum("nki,ij,nkj->nk", ahead[:, :-1], m, after), 1e-300)
+            pair = np.einsum("nki,nkj->ij", ahead[:, :-1] * scale[..., None], after) * m
+            diff = (truth - p) * on[..., None]
+            sums[0] += np.stack([np.bincount(kind.ravel(), diff[..., k].ravel(), len(kinds)) for k in (0, 1)], 1)
+            sums[1] += np.einsum("nki,nkj->ij", truth[:, :-1] * both[..., None], truth[:, 1:]) - pair
+            sums[2] += diff[opens, 0].sum(0)
+        grads = [g / n - ridge * w for g, w in zip((kinds.T @ sums[0], *sums[1:]), params)]
         for i, g in enumerate(grads):
             moment[i], spread[i] = 0.9 * moment[i] + 0.1 * g, 0.99 * spread[i] + 0.01 * g * g
             params[i] = params[i] + rate * (moment[i] / (1 - 0.9**t)) / (np.sqrt(spread[i] / (1 - 0.99**t)) + 1e-9)
@@ -268,7 +284,9 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str
     About ``per_class`` labels of either kind are picked by a hash of ``key``,
     and never more than four times as many in all. These bounded ids are
     broadcast, so the texts are not shuffled. Texts of more than ``max_chars``
-    characters are not learned from.
+    characters are not learned from. The field is trained on all lines of the
+    texts that are left; lines of one label with the same kinds of tokens in the
+    same order count once.
     """
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("label"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -284,13 +302,12 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str
         return Field(line=np.array([8.0 if docs and docs[0][1] else -8.0, 0, 0, 0]))
     model = Field(features=toxic_features(docs))
     chain, kinds = Chain(model), {(): 0}
-    lines = {(tuple(kinds.setdefault(chain.features(w), len(kinds)) for w in tokens_of(line)[:200]), label) for t, label in docs for line in t.split("\n")}
+    lines = {(tuple(kinds.setdefault(chain.features(w), len(kinds)) for w in tokens_of(line)), label) for t, label in docs for line in t.split("\n")}
     table = np.zeros((len(kinds), len(model.features) + 1))
     table[:, 0] = 1
     for features, k in kinds.items():
         table[k, list(features)] = 1
-    marked, plain = sorted(x for x in lines if any(x[0])), sorted(x for x in lines if not any(x[0]))
-    model.emit, model.move, model.first = train_field(marked[:1200] + plain[:400], table)
+    model.emit, model.move, model.first = train_field(sorted(lines), table)
     chain = Chain(model)
     found = [chain.read(t) for t, _ in docs]
     x, y = np.array([(a, np.log1p(b), 3 * c**0.5) for (a, b, c), _ in found]), np.array([n for _, n in docs])

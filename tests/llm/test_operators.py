@@ -290,6 +290,29 @@ def test_spans_and_awkward_texts(spark, awkward, nothing):
     assert toxicity.score(awkward, toxicity.fit(nothing, nothing)).where("predicted = 1").count() == 0
 
 
+def test_the_field_learns_from_all_lines(spark, monkeypatch):
+    """More marked lines than 1200 and a marked word late in a long line reach the training."""
+    word = lambda i: "".join("bcdfghjklm"[int(c)] + "a" for c in str(i))
+    docs = [(f"{'so ' * (i % 40)}idiot {'and ' * (i // 40)}{word(i)}", 1) for i in range(1400)] + [(f"{'nice ' * 300}idiot end", 1)] + [(f"kind {word(i)} words", 0) for i in range(1400)]
+    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(docs)], "doc_id long, text string, toxic int")
+    taken = []
+    monkeypatch.setattr(toxicity, "train_field", lambda lines, kinds, train=toxicity.train_field: taken.extend(lines) or train(lines, kinds, rounds=2))
+    toxicity.fit(df, df, per_class=5000)
+    assert sum(any(x) for x, _ in taken) == 1401 and any(len(x) == 302 and x[300] for x, _ in taken)
+
+
+def test_batches_and_parts_change_no_gradient(monkeypatch):
+    rng = np.random.default_rng(5)
+    lines = [(tuple(rng.integers(0, 3, rng.integers(1, 60)).tolist()), int(rng.integers(0, 2))) for _ in range(200)]
+    kinds = np.array([[1, 0, 0], [1, 1, 0], [1, 0, 1]], float)
+    whole = toxicity.train_field(lines, kinds, rounds=20)
+    monkeypatch.setattr(toxicity, "CELLS", 300)
+    for a, b in zip(whole, toxicity.train_field(lines, kinds, rounds=20)):
+        np.testing.assert_allclose(a, b, atol=1e-6)
+    monkeypatch.setattr(toxicity, "LINE", 7)
+    assert sum(int(on.sum()) for _, on, _, _ in toxicity._batches(lines)) == sum(len(x) for x, _ in lines)
+
+
 # 6 SentencePiece
 
 
