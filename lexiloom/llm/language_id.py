@@ -5,12 +5,13 @@ everything that is no letter as one separator), damped, weighted by inverse
 document frequency and scaled to length one. Each language has several
 centroids, found by spherical k-means over a bounded sample of its labelled
 texts. The language of the centroid with the largest cosine is predicted. A text
-is rejected when that cosine falls far below what texts of that language and
-about that length, or of a lesser one where the sample has too few, have.
+is rejected when that cosine is less than a share of a low quantile, measured on
+the sample's texts of that language, and pieces of them, of about that length.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,6 +27,8 @@ DIM = 4096
 PIECE = 1 << 20
 BUCKETS = 32
 UNKNOWN = "und"
+SHORTEST, LONGEST = 1, 11  # pieces of 2, 4, .. 2048 characters
+QUANTILE, MARGIN, ENOUGH = 0.01, 0.75, 20
 
 
 @dataclass
@@ -79,6 +82,36 @@ def bucket_of(grams: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(grams, 1)).astype(int), BUCKETS - 1)
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<f4").tobytes()
+
+
+def _unpack(blobs: list[bytes]) -> np.ndarray:
+    counts = np.zeros((len(blobs), DIM), np.float32)
+    for i, blob in enumerate(blobs):
+        n = len(blob) // 6
+        counts[i, np.frombuffer(blob, "<u2", n)] = np.frombuffer(blob, "<f4", n, 2 * n)
+    return counts
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A piece of each length below the text's, from a place that its checksum picks."""
+    place = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    for k in range(SHORTEST, LONGEST + 1):
+        if (rest := len(text) - (1 << k)) > 0:
+            start = place * (2 * k + 1) % (rest + 1)
+            yield text[start : start + (1 << k)]
+
+
+def floors(cosines: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The least cosine that is not rejected, by bucket; buckets of too few texts take that of the next shorter or, if there is none, longer one."""
+    counts = np.bincount(size, minlength=BUCKETS)
+    full = np.flatnonzero(counts >= min(ENOUGH, counts.max()))
+    own = np.array([MARGIN * np.quantile(cosines[size == b], QUANTILE) for b in full])
+    return np.maximum(0.0, own[np.maximum(np.searchsorted(full, np.arange(BUCKETS), "right") - 1, 0)])
+
+
 def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means, started from vectors far from one another."""
     centres = [vectors.mean(0)]
@@ -110,22 +143,20 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str | Column
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, blobs = [], []
+            langs, blobs, parts = [], [], []
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if (counts := profile(t)) is not None:
-                    at = np.flatnonzero(counts)
                     langs.append(name)
-                    blobs.append(at.astype("<u2").tobytes() + counts[at].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(blobs, pa.binary())], names=["lang", "grams"])
+                    blobs.append(_pack(counts))
+                    parts.append([_pack(c) for x in pieces(t) if (c := profile(x)) is not None])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(blobs, pa.binary()), pa.array(parts, pa.list_(pa.binary()))], names=["lang", "grams", "pieces"])
 
-    names, blobs = [], []
-    for r in sorted((r["lang"], bytes(r["grams"])) for r in picked.mapInArrow(profiles, "lang string, grams binary").collect()):
+    names, blobs, parts = [], [], []
+    for r in sorted((r["lang"], bytes(r["grams"]), [bytes(x) for x in r["pieces"]]) for r in picked.mapInArrow(profiles, "lang string, grams binary, pieces array<binary>").collect()):
         names.append(r[0])
         blobs.append(r[1])
-    counts = np.zeros((len(blobs), DIM), np.float32)
-    for i, blob in enumerate(blobs):
-        n = len(blob) // 6
-        counts[i, np.frombuffer(blob, "<u2", n)] = np.frombuffer(blob, "<f4", n, 2 * n)
+        parts.append(r[2])
+    counts = _unpack(blobs)
     names = np.array(names, dtype=object)
     known = sorted(set(names))
     if not known:
@@ -140,12 +171,17 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str | Column
         found = _clusters(own, clusters)
         centroids.append(found)
         owner += [i] * len(found)
-        best, size = (own @ found.T).max(1), buckets[names == name]
-        for b in range(BUCKETS):
-            if ((near := np.abs(size - b) <= 1).sum()) >= 20:
-                floor[i, b] = max(0.0, min(best[near].min() * 0.4, best[near].mean() - 6 * best[near].std()))
-            elif b:  # longer texts come nearer than shorter ones
-                floor[i, b] = floor[i, b - 1]
+        best, size = [(own @ found.T).max(1)], [buckets[names == name]]
+        short = [x for k in np.flatnonzero(names == name) for x in parts[k]]
+        for k in range(0, len(short), 256):
+            some = _unpack(short[k : k + 256])
+            best.append((weigh(some, idf) @ found.T).max(1))
+            size.append(bucket_of(some.sum(1)))
+        floor[i] = floors(np.concatenate(best), np.concatenate(size))
+    # A few texts lie too near to their own centroids to tell how far others lie.
+    many = np.array([(names == name).sum() >= ENOUGH for name in known])
+    if many.any():
+        floor[~many] = floor[many].min(0)
     return Model(known, np.array(owner), np.concatenate(centroids), idf, floor)
 
 

@@ -61,6 +61,20 @@ def test_far_texts_are_rejected(spark):
     assert language_id.predict([cyrillic], model)[2][0]
 
 
+def test_short_far_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, rng = language_id.fit(docs), random.Random(2)
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava"
+    letters = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    chinese = "所有人生而自由在尊严和权利上一律平等他们赋有理性和良心"
+    assert language_id.predict([finnish, chinese, chinese * 3], model)[2].all()
+    assert language_id.predict([letters(n) for n in (20, 60, 300) for _ in range(50)], model)[2].mean() > 0.95
+    cuts = [t[:n] for _, t in texts_of(docs) if t for n in (40, 120, 400) if len(t) > n]
+    assert language_id.predict(cuts, model)[2].mean() < 0.02
+    alone = language_id.fit(docs.where("lang <> 'es'").unionByName(docs.where("lang = 'es'").limit(3)))  # a language of few texts
+    assert language_id.predict([chinese], alone)[2][0] and (alone.floor > 0).all()
+
+
 def test_profile_does_not_depend_on_pieces(monkeypatch):
     text = "Alpha beta, gamma 12 délta! " * 50
     whole = language_id.profile(text)
