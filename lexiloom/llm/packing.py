@@ -1,13 +1,15 @@
 """Mixture-controlled packing by deficit round-robin.
 
 Every source has a queue of its documents, in the order of a hash. A round gives
-each source credit for its share of a window of tokens; a source sends the
-documents that its credit covers and carries what is left, its deficit, to the
-next round. So a document is sent in the round in which the credit given so far
-covers its queue up to its end, which follows from the queue's running total
-alone: rounds need not be played one after another, and deficits carry across
-windows and partitions by construction. Documents in the order of rounds, cut
-where a window is full, fill every window but the last.
+each source credit for its share of a window of tokens; a source sends the whole
+tokens that its credit covers, cutting a document where the credit ends, and
+carries what is left of a token, its deficit, to the next round. So a token is
+sent in the round in which the credit given so far covers it, and a document's
+piece of a round is where the document's interval of the queue meets the round's
+interval of credit: both follow from the queue's running total alone, rounds
+need not be played one after another, and deficits carry across windows and
+partitions by construction. Pieces in the order of rounds, cut where a window is
+full, fill every window but the last.
 
 Running totals are taken in two levels: rows fall into blocks (of the hash, then
 of rounds), blocks' sums are added up, and each block counts on from there. The
@@ -134,7 +136,10 @@ def running_total(rows: DataFrame, group: list[str], block: str, order: list[Col
 
 
 def schedule(rows: DataFrame, window: int = WINDOW, shares: dict[str, float] | None = None) -> DataFrame:
-    """Place each row of (key, source, n_ids) in the packed order: adds round and start, the tokens before it.
+    """Place the pieces of each row of (key, source, n_ids) in the packed order.
+
+    Gives key, source, at (of the piece in its row), n_ids (of the piece), round
+    and start, the tokens before it.
 
     ``key`` must be unique. ``shares`` are the target proportions by source; by
     default the sources' own token proportions, so that all queues end together.
@@ -151,13 +156,18 @@ def schedule(rows: DataFrame, window: int = WINDOW, shares: dict[str, float] | N
         credit = F.when(given > 0, given * F.lit(float(window)))
     else:
         credit = F.col("__tokens") * F.lit(float(window)) / F.lit(float(max(1, all_)))
-    last = F.lit(1 << 40)
-    # The round whose credit covers the document's end.
-    timed = queued.join(totals, "source").withColumn("round", F.coalesce(F.ceil((F.col("__queue") + F.col("n_ids")) / credit - F.lit(1e-9)).cast("long"), last))
+    # Credit covers whole tokens: by rounds, or token by token where a round has less than one.
+    timed = queued.join(totals, "source").withColumn("__credit", credit).withColumn("__end", F.col("__queue") + F.col("n_ids"))
+    pieces = """case when __credit is null then array(struct(0L as at, n_ids as n, {last}L as round))
+        when __credit >= 1 then filter(transform(sequence(greatest(1L, cast(floor(__queue / __credit) as long)), cast(ceil(__end / __credit) as long) + 1),
+            r -> struct(greatest(cast(floor((r - 1) * __credit + 1e-9) as long), __queue) - __queue as at,
+                least(cast(floor(r * __credit + 1e-9) as long), __end) - greatest(cast(floor((r - 1) * __credit + 1e-9) as long), __queue) as n, r as round)), p -> p.n > 0)
+        else transform(sequence(0L, n_ids - 1), k -> struct(k as at, 1L as n, cast(ceil((__queue + k + 1) / __credit - 1e-9) as long) as round)) end"""
+    timed = timed.withColumn("p", F.explode(F.expr(pieces.format(last=1 << 40)))).select("key", "source", (F.col("__queue") + F.col("p.at")).alias("__queue"), "p.at", F.col("p.n").alias("n_ids"), "p.round")
     wide = -(-rounds // ROUND_BLOCKS)
     timed = timed.withColumn("__block", F.least(F.floor((F.col("round") - 1) / F.lit(wide)), F.lit(4 * ROUND_BLOCKS)).cast("long"))
-    placed = running_total(timed.select("key", "source", "n_ids", "round", "__queue", "__block").withColumn("__all", F.lit(0)), ["__all"], "__block", [F.col("round"), F.col("source"), F.col("__queue"), F.col("key")], "n_ids", "start")
-    return placed.select("key", "source", "n_ids", "round", "start")
+    placed = running_total(timed.withColumn("__all", F.lit(0)), ["__all"], "__block", [F.col("round"), F.col("source"), F.col("__queue"), F.col("key")], "n_ids", "start")
+    return placed.select("key", "source", "at", "n_ids", "round", "start")
 
 
 def pack(df: DataFrame, tokenizer: str, text: str = "text", source: str = "source", keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, shares: dict[str, float] | None = None, with_ids: bool = False) -> DataFrame:
@@ -173,20 +183,26 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", source: str = "sourc
     named = df.select(*[F.col(k).alias(n) for k, n in zip(keep, inner)], F.col(source).cast("string").alias("source"), F.col(text).alias("__t"))
     # The row number is unique and, once written, lasting.
     ids = materialise(tokenise(named, tokenizer, "__t", (*inner, "source")).withColumn("key", F.monotonically_increasing_id()), "ids")
-    placed = schedule(ids.select("key", "source", "n_ids"), window, shares).select("key", F.col("start").alias("__start"))
+    placed = schedule(ids.select("key", "source", "n_ids"), window, shares).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "n_ids", "start"))).alias("__places"))
     joined = ids.select("key", *inner, "n_ids", "ids").join(placed.hint("shuffle_hash"), "key").drop("key")
     k = len(keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, start = np.asarray(batch.column(k)), np.asarray(batch.column(k + 2))
-            first, last = start // window, (start + n - 1) // window
+            n, places = np.asarray(batch.column(k)), batch.column(k + 2)
+            doc, flat = np.repeat(np.arange(len(n)), np.diff(np.asarray(places.offsets))), places.flatten()
+            base, size, start = (np.asarray(flat.field(f)) for f in ("at", "n_ids", "start"))
+            # Pieces that follow one another are one.
+            heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + size[:-1])])[: len(doc)])
+            size = np.add.reduceat(size, heads) if len(heads) else size
+            doc, base, start = doc[heads], base[heads], start[heads]
+            first, last = start // window, (start + size - 1) // window
             pieces = last - first + 1
-            row = np.repeat(np.arange(len(n)), pieces)
-            sequence = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + first[row]
-            begin = np.maximum(sequence * window, start[row])
-            stop = np.minimum((sequence + 1) * window, start[row] + n[row])
-            at, length = begin - start[row], stop - begin
+            part = np.repeat(np.arange(len(doc)), pieces)
+            sequence = np.arange(len(part)) - np.repeat(np.cumsum(pieces) - pieces, pieces) + first[part]
+            begin = np.maximum(sequence * window, start[part])
+            stop = np.minimum((sequence + 1) * window, (start + size)[part])
+            row, at, length = doc[part], begin - start[part] + base[part], stop - begin
             blobs = [batch.column(k + 1)[i].as_py() for i in range(len(n))]
             wide = [np.frombuffer(blobs[i], "<u2")[a : a + m].astype("<u4") for i, a, m in zip(row.tolist(), at.tolist(), length.tolist())]
             columns = [c.take(pa.array(row)) for c in batch.columns[:k]]
@@ -198,5 +214,5 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", source: str = "sourc
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = [f"`{n}` {ids.schema[n].dataType.simpleString()}" for n in inner] + [f"`{n}` long" for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
-    out = joined.select(*inner, "n_ids", "ids", "__start").mapInArrow(cut, ", ".join(schema + ["ids array<int>"] * with_ids))
+    out = joined.select(*inner, "n_ids", "ids", "__places").mapInArrow(cut, ", ".join(schema + ["ids array<int>"] * with_ids))
     return out.withColumnsRenamed(dict(zip(inner, keep)))

@@ -408,6 +408,32 @@ def test_windows_keep_the_mixture(spark):
                 assert abs(sent[s] / (r["start"] + r["n_ids"]) - share[s]) < 0.08
 
 
+def test_long_documents_keep_the_mixture_in_every_window(spark):
+    rng = random.Random(10)
+    rows = [(i, rng.choice("aaabcdefgh"), rng.randint(1, 6000)) for i in range(400)]
+    found = packing.schedule(spark.createDataFrame(rows, "key long, source string, n_ids long"), window=512).orderBy("start").collect()
+    total, size, share = sum(n for _, _, n in rows), {i: n for i, _, n in rows}, collections.Counter()
+    cells, done = collections.defaultdict(collections.Counter), collections.Counter()
+    for _, s, n in rows:
+        share[s] += n / total
+    for r in found:
+        assert r["at"] == done[r["key"]]
+        done[r["key"]] += r["n_ids"]
+        for t in range(r["start"], r["start"] + r["n_ids"]):
+            cells[t // 512][r["source"]] += 1
+    assert done == size
+    assert all(sum(abs(c[s] / 512 - share[s]) for s in share) / 2 < 0.05 for w, c in cells.items() if w < total // 512)
+
+
+def test_sources_of_less_than_a_token_a_round(spark):
+    rows = [(i, "a", 50) for i in range(1000)] + [(5000, "b", 30), (5001, "b", 1)]
+    found = packing.schedule(spark.createDataFrame(rows, "key long, source string, n_ids long"), window=512).orderBy("start").collect()
+    assert [r["start"] for r in found] == [0, *np.cumsum([r["n_ids"] for r in found])[:-1].tolist()]
+    assert found[-1]["start"] + found[-1]["n_ids"] == 50031
+    rare = [r["start"] // 512 for r in found if r["source"] == "b"]
+    assert len(rare) == 31 and max(collections.Counter(rare).values()) <= 1
+
+
 def test_given_shares(spark):
     rows = [(i, "ab"[i % 2], 10) for i in range(2000)]
     found = packing.schedule(spark.createDataFrame(rows, "key long, source string, n_ids long"), window=200, shares={"a": 0.75, "b": 0.25}).orderBy("start").collect()
