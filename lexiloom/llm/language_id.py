@@ -46,20 +46,21 @@ def _letters() -> np.ndarray:
 
 
 def profile(text: str | None) -> np.ndarray | None:
-    """n-gram counts by hash; None if there is no letter. Long texts go piece by piece."""
+    """n-gram counts by hash; None if there is no letter. Long texts go piece by piece, each n-gram in the piece it ends in."""
     if not text:
         return None
-    letters, total = _letters(), None
-    for start in range(0, len(text), PIECE):
-        points = np.frombuffer(text[max(0, start - 2) : start + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters, low, total = _letters(), text.lower(), None
+    for start in range(0, len(low), PIECE):
+        seen = min(2, start)  # code points that were counted in the piece before
+        points = np.frombuffer(low[start - seen : start + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
         alpha = letters[points]
         if not alpha.any():
             continue
         one = np.where(alpha, points, 32).astype(np.uint32)
-        grams = [one[alpha] * np.uint32(2654435761)]
+        grams = [one[seen:][alpha[seen:]] * np.uint32(2654435761)]
         if len(one) > 1:
             two = one[:-1] * np.uint32(2246822519) + one[1:] * np.uint32(3266489917)
-            grams.append(two[alpha[:-1] | alpha[1:]])
+            grams.append(two[max(0, seen - 1) :][(alpha[:-1] | alpha[1:])[max(0, seen - 1) :]])
         if len(one) > 2:
             three = two[:-1] * np.uint32(668265263) + one[2:] * np.uint32(374761393)
             grams.append(three[alpha[1:-1]])
@@ -69,7 +70,7 @@ def profile(text: str | None) -> np.ndarray | None:
         mixed *= np.uint32(2246822519)
         counts = np.bincount(mixed >> np.uint32(20), minlength=DIM)
         total = counts if total is None else total + counts
-    return total
+    return total if total is not None and total.any() else None
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -126,20 +127,20 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str | Column = "doc_id", per_language: int = 400, clusters: int = 4, languages: int = 256) -> Model:
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str | Column = "doc_id", per_language: int = 400, clusters: int = 4) -> Model:
     """Learn from the rows of ``df``, which the caller has limited to training rows.
 
-    About ``per_language`` rows of each language are used, picked by a hash of
-    ``key``, and the ``languages`` most frequent languages at most.
+    About ``per_language`` rows of each language are used, of all its languages,
+    picked by a hash of ``key`` and text; rows that agree in both count once.
     """
     spark = df.sparkSession
     arrow_batches(spark)
-    rows = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    rows = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros(0, int), np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), np.zeros((0, BUCKETS)))
-    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, per_language / n))])
-    picked = rows.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < share[F.col("lang")]).select("lang", "text").limit(2 * per_language * len(sizes))
+    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, per_language / max(1, n)))])
+    picked = rows.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < share[F.col("lang")]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
