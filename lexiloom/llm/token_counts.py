@@ -13,10 +13,15 @@ without producing a token:
   all that byte-pair merging can depend on: the last token of a prefix is the
   only candidate that forms a stable pair with the last token before it. Every
   transition carries the change of the token count. States are compiled when
-  first reached and kept by the Python worker; the number kept is bounded, and
-  beyond it the machine starts anew.
-
-Pretokens pass the merger side by side, one numpy step per byte position.
+  first reached and kept by the Python worker; beyond MAX_STATES all but those
+  in use are forgotten, also in the middle of a batch.
+
+Pretokens pass the merger side by side, one numpy step per byte position. Long
+ones are cut into equal chunks that pass it side by side as well: a chunk's map
+takes an entry state to its end state and the tokens counted on the way, for the
+entry states that may occur (what a short run-up gives, then the end states of
+the chunk before, until the true ones are among them). The maps compose by a
+prefix scan, counts adding up.
 """
 
 from __future__ import annotations
@@ -41,7 +46,9 @@ START, IN_LETTERS, IN_NUMBERS, IN_SIGNS, AT_QUOTE, AFTER_R, AFTER_V, AFTER_L, SP
 HERE, BEFORE = 1, 2  # what a transition marks: a pretoken starts at this code point, or at the one before
 
 CHUNK, PROBE = 512, 24
-MAX_STATES = 300_000
+MAX_STATES, MAX_LIVE = 200_000, 250_000
+LANES = 1 << 16  # pretokens or chunks that pass the merger side by side
+STRIDE, RUN_UP, GUESSES = 512, 128, 4  # bytes of a long pretoken's chunk and of the run-up to it; rounds in which all chunks' end states are followed
 
 
 def _splitter() -> tuple[np.ndarray, np.ndarray]:
@@ -218,25 +225,50 @@ class Merger:
         if last is None:
             return True
         if (found := self.live.get((last, prefix))) is None:
-            if len(self.live) > 500_000:
+            if len(self.live) > MAX_LIVE:
                 self.live.clear()
             found = self.live[last, prefix] = any(self.stable(last, t) for t in more)
         return found
 
     def reset(self) -> None:
         # A state: its window, and of each place in it where a token may start: offset, last token, count relative to the end.
-        first = (b"", ((0, None, 0),))
-        self.states, self.number = [first], {first: 0}
         self.column = np.full(256, -1, np.int64)
         self.columns = 0
-        self.to, self.change = np.full((1024, 64), -1, np.int32), np.zeros((1024, 64), np.int8)
+        self.width = 64
+        self.keep([])
+
+    def keep(self, states: list[tuple]) -> None:
+        """Forget all states but the first and these, which get the numbers that follow."""
+        first = (b"", ((0, None, 0),))
+        self.states = list(dict.fromkeys([first, *states]))
+        self.number = {state: i for i, state in enumerate(self.states)}
+        size = max(1024, len(self.states))
+        self.to, self.change = np.full((size, self.width), -1, np.int32), np.zeros((size, self.width), np.int8)
+
+    def renew(self, live: np.ndarray) -> np.ndarray:
+        """Forget all states but the ``live`` ones; their new numbers."""
+        used, back = np.unique(live, return_inverse=True)
+        kept = [self.states[i] for i in used.tolist()]
+        self.keep(kept)
+        return np.array([self.number[state] for state in kept], np.int64)[back]
+
+    def number_of(self, state: tuple) -> int:
+        if (n := self.number.get(state)) is None:
+            n = self.number[state] = len(self.states)
+            self.states.append(state)
+            if n >= len(self.to):
+                more = max(1024, n // 4)
+                self.to = np.concatenate([self.to, np.full((more, self.width), -1, np.int32)])
+                self.change = np.concatenate([self.change, np.zeros((more, self.width), np.int8)])
+        return n
 
     def columns_of(self, data: np.ndarray) -> np.ndarray:
         """Column numbers of the bytes; bytes not met before get the next ones."""
         for b in np.flatnonzero((np.bincount(data, minlength=256) > 0) & (self.column < 0)).tolist():
             self.column[b] = self.columns
             self.columns += 1
-            if self.columns > self.to.shape[1]:
+            if self.columns > self.width:
+                self.width += 32
                 self.to = np.concatenate([self.to, np.full_like(self.to[:, :32], -1)], 1)
                 self.change = np.concatenate([self.change, np.zeros_like(self.change[:, :32])], 1)
         self.byte = np.argsort(np.where(self.column < 0, 1 << 30, self.column), kind="stable").tolist()
@@ -255,25 +287,18 @@ class Merger:
         kept = [(a, t, c - change) for a, t, c in (*places, (len(text), token, change)) if self.alive(t, text[a:])]
         cut = kept[0][0]
         after = (text[cut:], tuple((a - cut, t, c) for a, t, c in kept))
-        if (n := self.number.get(after)) is None:
-            n = self.number[after] = len(self.states)
-            self.states.append(after)
-            if n >= len(self.to):
-                more = max(1024, n // 4)
-                self.to = np.concatenate([self.to, np.full((more, self.to.shape[1]), -1, np.int32)])
-                self.change = np.concatenate([self.change, np.zeros((more, self.to.shape[1]), np.int8)])
+        n = self.number_of(after)
         self.to[state, column], self.change[state, column] = n, change
 
-    def count(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Token counts of the byte ranges."""
-        if len(self.states) > MAX_STATES:
-            self.reset()
-        data = self.columns_of(data)
+    def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """End state and token count of each range of columns, from its entry state."""
         order = np.argsort(-lengths, kind="stable")
-        starts, lengths = starts[order], lengths[order]
+        starts, lengths, state = starts[order], lengths[order], entry[order]
         alive = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0] if len(lengths) else 0), side="right")
-        state, total = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        total = np.zeros(len(lengths), np.int64)
         for k, n in enumerate(alive):
+            if len(self.states) > MAX_STATES:
+                state = self.renew(state)
             byte = data[starts[:n] + k]
             here = state[:n]
             after = self.to[here, byte]
@@ -284,8 +309,70 @@ class Merger:
                 after = self.to[here, byte]
             total[:n] += self.change[here, byte]
             state[:n] = after
-        out = np.empty_like(total)
-        out[order] = total
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return state[back], total[back]
+
+    def maps(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, entries: list[tuple]) -> list[tuple[tuple, int]]:
+        """End state, as it is and not as a number, and token count of each chunk from its entry state."""
+        out: list[tuple[tuple, int]] = []
+        for k in range(0, len(starts), LANES):
+            entry = np.array([self.number_of(e) for e in entries[k : k + LANES]], np.int64)
+            state, total = self.run(data, starts[k : k + LANES], lengths[k : k + LANES], entry)
+            out += zip([self.states[i] for i in state.tolist()], total.tolist())
+        return out
+
+    def scan(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Token counts of long ranges of columns, by their chunks' maps."""
+        chunks = -(-lengths // STRIDE)
+        heads = np.cumsum(chunks) - chunks
+        owner = np.repeat(np.arange(len(starts)), chunks)
+        inside = (np.arange(len(owner)) - heads[owner]) * STRIDE
+        begin, size = starts[owner] + inside, np.minimum(STRIDE, lengths[owner] - inside)
+        last = np.zeros(len(owner), bool)
+        last[heads + chunks - 1] = True
+        run_up = np.minimum(RUN_UP, inside)
+        fresh = [self.states[0]] * len(owner)
+        guess = [state for state, _ in self.maps(data, begin - run_up, run_up, fresh)]
+        # An item is a chunk with an entry state; what it leads to is the next chunk with the end state.
+        item: dict[tuple[int, tuple], int] = {}
+        leads: list[tuple[int, tuple] | None] = []
+        count: list[int] = []
+        wanted, rounds = list(enumerate(guess)), 0
+        truth = [(h, self.states[0]) for h in heads.tolist()]  # how far the true states are known
+        while wanted:
+            at = np.array([c for c, _ in wanted])
+            for (c, entry), (end, n) in zip(wanted, self.maps(data, begin[at], size[at], [e for _, e in wanted])):
+                item[c, entry] = len(leads)
+                leads.append(None if last[c] else (c + 1, end))
+                count.append(n)
+            for i, now in enumerate(truth):
+                while now is not None and now in item:
+                    now = leads[item[now]]
+                truth[i] = now
+            rounds += 1
+            if not (open_ := [now for now in truth if now is not None]):
+                break
+            wanted = list(dict.fromkeys(x for x in leads if x is not None and x not in item)) if rounds < GUESSES else open_
+        # Prefix scan: each item's count up to the end of its pretoken, in steps that double.
+        there = np.array([len(leads) if x is None else item.get(x, len(leads)) for x in leads] + [len(leads)])
+        total = np.array([*count, 0], np.int64)
+        while (there < len(leads)).any():
+            total, there = total + total[there], there[there]
+        return total[[item[h, self.states[0]] for h in heads.tolist()]]
+
+    def count(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Token counts of the byte ranges."""
+        data = self.columns_of(data)
+        out = np.zeros(len(starts), np.int64)
+        long = np.flatnonzero(lengths > 2 * STRIDE)
+        if len(long):
+            out[long] = self.scan(data, starts[long], lengths[long])
+        short = np.flatnonzero(lengths <= 2 * STRIDE)
+        short = short[np.argsort(-lengths[short], kind="stable")]
+        for k in range(0, len(short), LANES):
+            some = short[k : k + LANES]
+            out[some] = self.run(data, starts[some], lengths[some], np.zeros(len(some), np.int64))[1]
         return out
 
 
