@@ -7,15 +7,16 @@ the distance to the zero reference, depend on the fingerprint's bits in that
 band only and tell nearly all of them apart. Two fingerprints that link differ in
 two bands at most, so their distances to the references of the other bands are
 the same: candidates meet where all distances of ``BANDS - RADIUS`` bands agree.
+
+Where more than ``GROUP`` meet, as in large groups of near copies, finer references
+deal them out again, in the same way: each band that may still differ falls into
+``PARTS`` parts, and candidates meet where the distances of all parts but
+``RADIUS`` agree as well. What meets then differs in ten bits at most, so no
+meeting has more than 1024 fingerprints, whatever the number of near copies.
+
 A candidate pair is discarded when any of its distances differ by more than
 ``RADIUS``; what survives is verified bit by bit.
 
-Where more fingerprints meet than ``CROWD``, as in large groups of near copies,
-their pairs are not listed. Two fingerprints differ in at most two bits exactly
-if one can be turned into either by changing at most one bit; each such middle
-has at most 65 neighbours, and joining every fingerprint to the least neighbour
-of each of its middles connects what the pairs would, in linear size.
-
 ``components`` is the operator; ``deduplicate`` is the filter of a pipeline,
 which keeps one text of each group by the similarity of word shingles.
 """
@@ -40,6 +41,9 @@ from lexiloom.plans.materialise import materialise, release
 RADIUS = 2
 BANDS = 5
 PER_BAND = 14
+PARTS = 3  # of a band
+GROUP = 16
+PAIRS = 1 << 16  # that are compared at once
 CROWD = 12
 SEED = 42
 PIECE = 1 << 20
@@ -119,49 +123,104 @@ def _distance(fp: Column, reference: int) -> Column:
     return F.bit_count(fp.bitwiseXOR(F.lit(_signed(reference)).cast("long")))
 
 
-def pivot_table(classes: DataFrame) -> DataFrame:
-    """Each fingerprint with its distances to all references and the keys under which candidates meet."""
-    fp, zero = F.col("fp"), F.bit_count("fp")
-    bands = references()
-    out = classes.select("fp", F.array(*[_distance(fp, r).cast("tinyint") for band in bands for r in band]).alias("coords"), *[F.xxhash64(*[(_distance(fp, r) - zero) for r in band]).alias(f"__b{i}") for i, band in enumerate(bands)])
-    keys = [F.xxhash64(F.lit(i), *[F.col(f"__b{b}") for b in held]) for i, held in enumerate(combinations(range(BANDS), BANDS - RADIUS))]
-    return out.select("fp", "coords", F.explode(F.array(*keys)).alias("key"))
+def fine_references() -> list[list[int]]:
+    """References of each part of the bands: the single bits that it holds."""
+    edges = [round(i * 64 / BANDS) for i in range(BANDS + 1)]
+    cuts = [[a + round(k * (b - a) / PARTS) for k in range(PARTS + 1)] for a, b in zip(edges, edges[1:])]
+    return [[1 << bit for bit in range(a, b)] for band in cuts for a, b in zip(band, band[1:])]
+
+
+def _agreement(fp: Column, bands: list[list[int]]) -> list[Column]:
+    """Of each band, a hash of the distances to its references less that to the zero reference."""
+    return [F.xxhash64(*[_distance(fp, r) - F.bit_count(fp) for r in band]) for band in bands]
+
+
+HELD = list(combinations(range(BANDS), BANDS - RADIUS))
+
+
+def pivot_keys(classes: DataFrame) -> DataFrame:
+    """(fp, held, key): the keys under which candidates meet, one for each choice of bands that agree."""
+    out = classes.select("fp", *[c.alias(f"__b{i}") for i, c in enumerate(_agreement(F.col("fp"), references()))])
+    keys = [F.struct(F.lit(i).alias("held"), F.xxhash64(F.lit(i), *[F.col(f"__b{b}") for b in held]).alias("key")) for i, held in enumerate(HELD)]
+    return out.select("fp", F.inline(F.array(*keys)))
+
+
+def finer_keys(met: DataFrame) -> DataFrame:
+    """(fp, key): those of (fp, held, key) dealt out by the parts of the bands that may differ."""
+    choices = []
+    for held in HELD:
+        parts = [b * PARTS + k for b in range(BANDS) if b not in held for k in range(PARTS)]
+        choices.append([list(c) for c in combinations(parts, len(parts) - RADIUS)])
+    text = ", ".join("array(" + ", ".join("array(" + ", ".join(map(str, c)) + ")" for c in one) + ")" for one in choices)
+    out = met.select("fp", "held", "key", F.array(*_agreement(F.col("fp"), fine_references())).alias("__p"))
+    size = len(choices[0][0])
+    keys = f"transform(array({text})[held], (c, i) -> xxhash64(key, i, {', '.join(f'__p[c[{k}]]' for k in range(size))}))"
+    return out.select("fp", F.explode(F.expr(keys)).alias("key"))
+
+
+def _near(fps: np.ndarray, coords: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs link: by the largest difference of their distances first, then by their bits."""
+    out = np.zeros(len(left), bool)
+    for k in range(0, len(left), PAIRS):
+        a, b = left[k : k + PAIRS], right[k : k + PAIRS]
+        kept = np.flatnonzero(np.abs(coords[a] - coords[b]).max(1) <= RADIUS)
+        out[k + kept[np.bitwise_count(fps[a[kept]] ^ fps[b[kept]]) <= RADIUS]] = True
+    return out
+
+
+def _forest(n: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of the links between n members, as many as connect them."""
+    near: list[list[int]] = [[] for _ in range(n)]
+    for a, b in zip(left.tolist(), right.tolist()):
+        near[a].append(b)
+        near[b].append(a)
+    seen = [False] * n
+    for start in range(n):
+        queue = [] if seen[start] else [start]
+        seen[start] = True
+        for x in queue:
+            for y in near[x]:
+                if not seen[y]:
+                    seen[y] = True
+                    queue.append(y)
+                    yield x, y
 
 
 def links(classes: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect all fingerprints of ``classes`` (distinct fp) that link, directly or through others."""
-    table = pivot_table(classes)
+    """Edges (u, v) that link, and that connect all fingerprints of ``classes`` (distinct fp) that all links do."""
+    table = pivot_keys(classes)
     sizes = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = table.join(sizes, "key")
-    small = met.where(F.col("n") <= CROWD).groupBy("key").agg(F.collect_list(F.struct("fp", "coords")).alias("members"))
+    small = met.where(F.col("n") <= GROUP).groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    fine = finer_keys(met.where(F.col("n") > GROUP)).groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    pivots = np.array([r for band in references() for r in band], np.uint64)
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members = batch.column(0)
             sizes = np.diff(np.asarray(members.offsets))
-            flat = members.flatten()
-            fps = np.asarray(flat.field("fp")).view(np.uint64)
-            coords = np.asarray(flat.field("coords").flatten()).reshape(len(fps), -1)
+            fps = np.asarray(members.flatten()).view(np.uint64)
+            coords = np.bitwise_count(fps[:, None] ^ pivots).astype(np.int8)
             first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            us, vs = [], []
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for n in np.unique(sizes).tolist():
                 base = first[sizes == n]
                 a, b = np.triu_indices(n, 1)
-                left, right = (base[:, None] + a).ravel(), (base[:, None] + b).ravel()
-                near = np.abs(coords[left] - coords[right]).max(1) <= RADIUS
-                left, right = left[near], right[near]
-                near = np.bitwise_count(fps[left] ^ fps[right]) <= RADIUS
-                us.append(fps[left[near]])
-                vs.append(fps[right[near]])
-            u, v = (np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (us, vs))
+                if n <= GROUP:
+                    left, right = (base[:, None] + a).ravel(), (base[:, None] + b).ravel()
+                    near = _near(fps, coords, left, right)
+                    us.append(left[near])
+                    vs.append(right[near])
+                    continue
+                for start in base.tolist():
+                    near = _near(fps, coords, start + a, start + b)
+                    kept = np.array(list(_forest(n, a[near], b[near])), np.int64).reshape(-1, 2) + start
+                    us.append(kept[:, 0])
+                    vs.append(kept[:, 1])
+            u, v = (fps[np.concatenate(x)].view(np.int64) for x in (us, vs))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    pairs = small.select("members").mapInArrow(survivors, "u long, v long")
-    crowded = met.where(F.col("n") > CROWD).select("fp").distinct()
-    middles = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i)).cast("long")) for i in range(64)])
-    balls = crowded.select("fp", F.explode(middles).alias("middle")).groupBy("middle").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    starred = balls.select(F.array_min("fps").alias("u"), F.explode("fps").alias("v")).where("u <> v")
-    return pairs.unionByName(starred)
+    return small.select("fps").unionByName(fine.select("fps")).mapInArrow(survivors, "u long, v long")
 
 
 def components(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
@@ -183,6 +242,7 @@ def components(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
 
 SAMPLES = 8
 SAMPLE_SIZE = 2
+HEAVY = 4096
 BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 18, 2048
 
 
@@ -206,6 +266,19 @@ def _similar(a: str, b: str, shingle: int, similarity: float) -> bool:
     return common >= similarity * (len(x) + len(y) - common)
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """``rows``, ``total`` or fewer, with the columns of their group of (slot, sample, n), n being its rows; rows of no group are left out.
+
+    Groups of more than one HEAVYth of all rows are fewer than HEAVY, so these
+    are broadcast and their rows stay where they are; the rows of the others are
+    dealt by group.
+    """
+    keys, least = ["slot", "sample"], total // HEAVY
+    heavy = groups.where(F.col("n") > least)
+    there = rows.join(F.broadcast(heavy), keys)
+    return there.unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(groups.where(F.col("n") <= least), keys))
+
+
 def _pairs(members: DataFrame, *keys: str) -> DataFrame:
     """All pairs (u, v) of rep within the small groups of ``keys``."""
     few = members.groupBy(*keys).agg(F.array_sort(F.collect_list("rep")).alias("m"))
@@ -311,8 +384,9 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     across = linked.join(name("u", "a"), "u").join(name("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     # Samples that are the same.
     each = reps.select("rep", F.posexplode("samples").alias("slot", "sample"))
+    total = SAMPLES * reps.count()
     met = each.groupBy("slot", "sample").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n")).where("n > 1")
-    joined = materialise(each.join(met, ["slot", "sample"]).where("n > 2"), "met")
+    joined = materialise(_with_groups(each, met.where("n > 2"), total), "met")
     two = met.where("n = 2").select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     crowds = joined.where(F.col("n") > CROWD)
     stars = crowds.select(F.col("rep").alias("u"), F.explode(F.array("lo", "hi")).alias("v"))
@@ -339,8 +413,8 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     parts = reached.select(F.col("node").alias("rep"), F.col("component").alias("part"))
     members = crowds.select("slot", "sample", "rep").join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
     seen = members.groupBy("slot", "sample").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("all"))
-    apart = seen.where("p <> q").dropDuplicates(["n", "lo", "hi", "all"]).select("slot", "sample")  # the same members need one comparison
-    open_ = materialise(members.join(apart, ["slot", "sample"]).select("slot", "sample", "rep", "part"), "open")
+    apart = seen.where("p <> q").dropDuplicates(["n", "lo", "hi", "all"]).select("slot", "sample", "n")  # the same members need one comparison
+    open_ = materialise(_with_groups(members, apart, total).select("slot", "sample", "rep", "part"), "open")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,8 +422,8 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["rep", "size", "grams"])
 
     grams = materialise(texts.join(open_.select("rep").distinct(), "rep", "left_semi").select("rep", "t").mapInArrow(sets, "rep long, size long, grams binary"), "grams")
-    sizes = open_.join(grams.select("rep", "size"), "rep").groupBy("slot", "sample").agg(F.greatest(F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS))).cast("int").alias("blocks"))
-    dealt = open_.join(sizes, ["slot", "sample"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = open_.join(grams.select("rep", "size"), "rep").groupBy("slot", "sample").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(BLOCK_MEMBERS))).cast("int").alias("blocks"))
+    dealt = _with_groups(open_, sizes, total).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     compared = dealt.join(grams, "rep").select("slot", "sample", "i", "j", "rep", "part", (F.col("own") == F.col("i")).alias("left"), (F.col("own") == F.col("j")).alias("right"), "grams")
 
