@@ -1,25 +1,32 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Labels mark documents; the field learns from labelled tokens. A logistic model
-over the words of a bounded sample of labelled documents, and over these words'
-beginnings and ends, finds the features that make a document toxic; in toxic
-documents, tokens with such a feature are labelled toxic. The field has two states, an emission
-weight for each feature and for all words, and transition weights; it is fitted
-by gradient ascent on the likelihood of the labelled lines. Over a text,
-forward-backward gives each token's marginal. Runs of words without a feature
-share one transfer matrix, whose powers are known in closed form, so only the
-tokens with features are visited one by one; the result is that of the whole
-chain. A logistic calibration turns a document's largest marginal, and its
-expected number and share of toxic tokens, into its score.
+Labels mark documents; the field learns from labelled tokens. Words, and their
+beginnings and ends, that a bounded sample of labelled documents shows to make a
+document toxic say which tokens of toxic documents are labelled toxic; all other
+tokens of the sample are labelled clean. The field has two states. Every token
+emits: its score adds the weights of hashed features of the word (itself,
+beginnings, ends, shape) and of the words before and after it. Emission,
+transition and start weights are fitted by gradient ascent on the likelihood of
+all lines of the sample.
+
+Forward-backward runs over every token of every text. As there are two states,
+a message is one ratio, and all texts of a batch pass side by side: they are cut
+into parts of equal length, a part's transfer matrix takes the message at its
+border to that at its other border, and with the borders known the parts are
+independent. A logistic calibration turns a document's largest marginal, and its
+expected number and share of toxic tokens, into its score; tokens of marginals
+of a half and more are its spans.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,28 +36,34 @@ from pyspark.sql import functions as F
 from lexiloom.llm._shared import arrow_batches
 
 WORD = re.compile(r"[^\W_]+")
-PIECE = 1 << 20
+PIECE = 1 << 16  # words of a long text that are handled at once
 LEAST_STRENGTH = 12.0
-LINE, CELLS = 256, 1 << 17  # of training: tokens of a part of a line, cells of a batch
+OWN, BESIDE = 1 << 16, 1 << 13  # hashed weights of a word's own features, and of a neighbour
+STRIDE = 512  # tokens of a part
+MAX_WORDS = 400_000
+APART, TWICE = 4, 2.0  # one in so many texts is kept for the calibration, and how often a toxic one counts there
 
 
 @dataclass
 class Field:
-    features: dict[str, int] = field(default_factory=dict)  # numbers of the features; 0 is that of every word
-    emit: np.ndarray = field(default_factory=lambda: np.zeros((1, 2)))
+    own: np.ndarray = field(default_factory=lambda: np.zeros(OWN))  # weights for the toxic state; those of the other are zero
+    before: np.ndarray = field(default_factory=lambda: np.zeros(BESIDE))
+    after: np.ndarray = field(default_factory=lambda: np.zeros(BESIDE))
     move: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    first: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    first: float = 0.0
     line: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0, 0.0]))  # of the score: constant, largest marginal, log count, root of the share
+    learned: bool = False
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> np.ndarray:
-    """Weights with the constant first, by gradient ascent with both classes of equal weight."""
+def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3, toxic: float | None = None) -> np.ndarray:
+    """Weights with the constant first, by gradient ascent; a toxic row counts ``toxic`` times, or so often that both classes count alike."""
     x = np.concatenate([np.ones((len(x), 1)), x], 1)
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
+    share = np.where(y > 0, (y == 0).sum() / max(1, (y > 0).sum()) if toxic is None else toxic, 1.0)
+    share = share / share.sum()
     w, m, v = np.zeros(x.shape[1]), 0.0, 0.0
     for t in range(1, rounds + 1):
         g = x.T @ (share * (y - _sigmoid(x @ w))) - ridge * np.concatenate([[0], w[1:]])
@@ -96,8 +109,8 @@ def _frequent(sets: list[set[str]], least: float) -> dict[str, int]:
     return frequent
 
 
-def toxic_features(docs: list[tuple[str, int]], most: int = 1000) -> dict[str, int]:
-    """Features whose presence makes a document toxic, numbered from 1."""
+def toxic_features(docs: list[tuple[str, int]], most: int = 1000) -> set[str]:
+    """Features whose presence makes a document toxic."""
     seen: dict[str, int] = {}
     for text, label in docs:
         seen[text] = max(label, seen.get(text, 0))
@@ -117,211 +130,295 @@ def toxic_features(docs: list[tuple[str, int]], most: int = 1000) -> dict[str, i
     best = max(rare.values(), default=0)
     picked = sorted((f for f, c in rare.items() if c >= 0.1 * best and strength[f] >= LEAST_STRENGTH), key=lambda f: (-rare[f], f))[:most]
     if not picked:
-        return {}
+        return set()
     number = {f: i for i, f in enumerate(picked)}
     sets = [ws for label in (0, 1) for ws in words[label]]
     x, y = np.zeros((len(sets), len(picked)), np.float32), np.repeat([0.0, 1.0], [len(words[0]), len(words[1])])
     for i, ws in enumerate(sets):
         x[i, [number[f] for w in ws for f in features_of(w) if f in number]] = 1
     weight = _logistic(x, y)[1:]
-    kept = [f for f, s in zip(picked, weight) if s > 0]
-    return {f: i + 1 for i, f in enumerate(sorted(kept))}
-
-
-def _batches(lines: list[tuple[tuple[int, ...], int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Kinds, which cells hold tokens, labels, and which rows open a line; parts of about one length, at most CELLS cells each."""
-    parts = sorted((len(x[k : k + LINE]), x[k : k + LINE], label, k == 0) for x, label in lines for k in range(0, len(x), LINE))
-    start = 0
-    while start < len(parts):
-        stop = start + 1
-        while stop < len(parts) and (stop + 1 - start) * parts[stop][0] <= CELLS:
-            stop += 1
-        some = parts[start:stop]
-        length = np.array([n for n, *_ in some])
-        kind = np.zeros((len(some), length.max()), np.int32)
-        for i, (n, x, _, _) in enumerate(some):
-            kind[i, :n] = x
-        yield kind, np.arange(kind.shape[1]) < length[:, None], np.array([label for *_, label, _ in some]), np.array([opens for *_, opens in some])
-        start = stop
-
-
-def train_field(lines: list[tuple[tuple[int, ...], int]], kinds: np.ndarray, rounds: int = 100, rate: float = 0.25, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Emission, transition and start weights from labelled lines, all of them and whole.
-
-    Lines hold numbers of kinds of tokens, and their document's label; a row of
-    ``kinds`` has 1 for each feature of the kind. Kind 0 has the common feature
-    only; tokens of all other kinds are toxic if the document is. Lines of more
-    than LINE tokens go in several parts, of which the first alone has a start.
-    """
-    emit, move, first = np.zeros((kinds.shape[1], 2)), np.zeros((2, 2)), np.zeros(2)
-    batches, n = list(_batches(lines)), sum(1 for x, _ in lines if x)
-    if not batches:
-        return emit, move, first
-    params, moment, spread = [emit, move, first], [0, 0, 0], [0, 0, 0]
+    return {f for f, s in zip(picked, weight) if s > 0}
+
+
+def hashed(word: str) -> list[int]:
+    """Places of a word's own weights: that of all words, its features and its shape."""
+    n = len(word)
+    shape = ("digits" if word.isdigit() else "mixed" if any(c.isdigit() for c in word) else "letters") + str(min(n, 12) // 3)
+    return [0, *[1 + zlib.crc32(f.encode("utf-8", "surrogatepass")) % (OWN - 1) for f in (*features_of(word), "shape " + shape)]]
+
+
+def neighbour(word: str) -> int:
+    return zlib.crc32(b"beside " + word.encode("utf-8", "surrogatepass")) % BESIDE
+
+
+class Vocabulary(dict):
+    """word -> its number; numbers of words not met before are the next ones."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def read(self, text: str | None) -> np.ndarray:
+        """The numbers of a text's words, in order."""
+        low = (text or "").lower()
+        if len(low) <= PIECE:
+            words = WORD.findall(low)
+            return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        hits, parts = WORD.finditer(low), [np.zeros(0, np.int64)]
+        while words := [hit[0] for hit in islice(hits, PIECE)]:
+            parts.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        return np.concatenate(parts)
+
+
+class Parts:
+    """Sequences of tokens, one after another in one array, as parts of STRIDE tokens side by side, the longest first."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.n = int(lengths.sum())
+        many = -(-lengths // STRIDE)
+        owner = np.repeat(np.arange(len(lengths)), many)
+        at = np.arange(len(owner)) - (np.cumsum(many) - many)[owner]
+        size = np.minimum(STRIDE, lengths[owner] - at * STRIDE)
+        order = np.argsort(-size, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.size = size[order]
+        self.start = ((np.cumsum(lengths) - lengths)[owner] + at * STRIDE)[order]
+        self.opens = (at == 0)[order]
+        self.width = int(self.size[0]) if len(owner) else 0
+        self.alive = len(owner) - np.searchsorted(self.size[::-1], np.arange(self.width), side="right")
+        # Parts by their number in the sequence, with the part before: borders are found one number after another.
+        self.later = [(place[(here := np.flatnonzero(at == k))], place[here - 1]) for k in range(1, int(many.max(initial=0)))]
+        self.on = np.arange(self.width) < self.size[:, None]
+        self.cell = np.where(self.on, self.start[:, None] + np.arange(self.width), 0)
+
+    def ratios(self, e: np.ndarray, m: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token, the forward and the backward message: toxic over clean, emissions ``e`` being so too."""
+        lanes = np.ascontiguousarray(np.where(self.on, e[self.cell], 1.0).T) if self.n else np.ones((0, 0))
+        ahead, back = np.empty(lanes.shape), np.empty(lanes.shape)
+        count = len(self.size)
+        enter, leave = np.zeros(count), np.ones(count)
+        if self.later:
+            # Transfer matrices of the parts: rows are the state before a part, columns its last one.
+            t = np.broadcast_to(np.eye(2), (count, 2, 2)).copy()
+            for k, n in enumerate(self.alive):
+                step = t[:n] @ m
+                step[:, :, 1] *= lanes[k, :n, None]
+                t[:n] = step / step.sum((1, 2), keepdims=True)
+            begin = np.ones((count, 2))  # message out of each part
+            opening = np.ones((count, 2))
+            opening[:, 1] = first * lanes[0]
+            # The first part of a sequence has no move before its first token.
+            head = np.broadcast_to(np.eye(2), (count, 2, 2)).copy()
+            for k, n in enumerate(self.alive[1:], 1):
+                step = head[:n] @ m
+                step[:, :, 1] *= lanes[k, :n, None]
+                head[:n] = step / step.sum((1, 2), keepdims=True)
+            begin = np.einsum("ni,nij->nj", opening, head)
+            for here, prior in self.later:
+                enter[here] = begin[prior, 1] / begin[prior, 0]
+                begin[here] = np.einsum("ni,nij->nj", np.stack([np.ones(len(here)), enter[here]], 1), t[here])
+            ends = np.ones((count, 2))
+            for here, prior in self.later[::-1]:
+                got = np.einsum("nij,nj->ni", t[here], ends[here])
+                ends[prior] = got / got[:, :1]
+            leave = ends[:, 1].copy()
+        r = enter
+        for k, n in enumerate(self.alive):
+            r[:n] = lanes[k, :n] * (m[0, 1] + r[:n] * m[1, 1]) / (m[0, 0] + r[:n] * m[1, 0])
+            if k == 0:
+                r[self.opens] = first * lanes[0, self.opens]
+            ahead[k, :n] = r[:n]
+        b = leave
+        for k in range(self.width - 1, -1, -1):
+            n = self.alive[k]
+            back[k, :n] = b[:n]
+            x = lanes[k, :n] * b[:n]
+            b[:n] = (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x)
+        flat = self.cell[self.on]
+        out = np.empty(self.n), np.empty(self.n)
+        for one, lane in zip(out, (ahead, back)):
+            one[flat] = lane.T[self.on]
+        return out
+
+
+def scores(ids: np.ndarray, starts: np.ndarray, own: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Emission scores of tokens: their own and what their neighbours in the same sequence add."""
+    out = own[ids]
+    if len(ids) > 1:
+        inside = np.ones(len(ids), bool)
+        inside[starts[starts < len(ids)]] = False
+        out[1:] += np.where(inside[1:], before[ids[:-1]], 0.0)
+        out[:-1] += np.where(inside[1:], after[ids[1:]], 0.0)
+    return np.clip(out, -30, 30)
+
+
+def train_field(lines: list[tuple[np.ndarray, np.ndarray]], words: list[str], rounds: int = 25, rate: float = 0.5, ridge: float = 0.02) -> Field:
+    """Weights from lines of (numbers of words, labels of tokens), all of them and whole."""
+    lines = [x for x in lines if len(x[0])]
+    model = Field()
+    if not lines:
+        return model
+    features = [hashed(w) for w in words]
+    flat, many = np.concatenate([np.array(f) for f in features]), np.array([len(f) for f in features])
+    beside = np.array([neighbour(w) for w in words])
+    ids, truth = np.concatenate([x for x, _ in lines]), np.concatenate([y for _, y in lines]).astype(float)
+    lengths = np.array([len(x) for x, _ in lines])
+    starts = np.cumsum(lengths) - lengths
+    inside = np.ones(len(ids), bool)
+    inside[starts] = False
+    parts, pair = Parts(lengths), np.flatnonzero(inside)
+    real = np.zeros((2, 2))
+    np.add.at(real, (truth[pair - 1].astype(int), truth[pair].astype(int)), 1.0)
+    model.own[0] = -3.0
+    params = [model.own, model.before, model.after, model.move, np.zeros(1)]
+    moment, spread = [0.0] * 5, [0.0] * 5
     for t in range(1, rounds + 1):
-        emit, move, first = params
-        own = kinds @ emit
-        own = np.exp(own - own.max(1, keepdims=True))
+        own, before, after, move, first = params
+        e = np.exp(scores(ids, starts, np.bincount(np.repeat(np.arange(len(words)), many), own[flat], len(words)), before[beside], after[beside]))
         m = np.exp(move)
-        sums = [np.zeros((len(kinds), 2)), np.zeros((2, 2)), np.zeros(2)]
-        for kind, on, labels, opens in batches:
-            truth, both, width = np.eye(2)[(kind > 0) * labels[:, None]], on[:, 1:], kind.shape[1]
-            e = own[kind]
-            ahead, back = np.empty(e.shape), np.ones(e.shape)
-            ahead[:, 0] = np.where(opens[:, None], np.exp(first), 1) * e[:, 0]
-            ahead[:, 0] /= ahead[:, 0].sum(1, keepdims=True)
-            for k in range(1, width):
-                step = (ahead[:, k - 1] @ m) * e[:, k]
-                ahead[:, k] = step / step.sum(1, keepdims=True)
-            for k in range(width - 2, -1, -1):
-                step = (back[:, k + 1] * e[:, k + 1]) @ m.T
-                back[:, k] = np.where(on[:, k + 1, None], step / step.sum(1, keepdims=True), 1)
-            p = ahead * back
-            p /= p.sum(2, keepdims=True)
-            after = (e * back)[:, 1:]
-            scale = both / np.maximum(np.einsum("nki,ij,nkj->nk", ahead[:, :-1], m, after), 1e-300)
-            pair = np.einsum("nki,nkj->ij", ahead[:, :-1] * scale[..., None], after) * m
-            diff = (truth - p) * on[..., None]
-            sums[0] += np.stack([np.bincount(kind.ravel(), diff[..., k].ravel(), len(kinds)) for k in (0, 1)], 1)
-            sums[1] += np.einsum("nki,nkj->ij", truth[:, :-1] * both[..., None], truth[:, 1:]) - pair
-            sums[2] += diff[opens, 0].sum(0)
-        grads = [g / n - ridge * w for g, w in zip((kinds.T @ sums[0], *sums[1:]), params)]
+        r, b = parts.ratios(e, m, float(np.exp(first[0])))
+        p = r * b / (1 + r * b)
+        off = truth - p
+        a, x = r[pair - 1], e[pair] * b[pair]
+        cells = np.stack([np.full(len(pair), m[0, 0]), m[0, 1] * x, a * m[1, 0], a * m[1, 1] * x])
+        expected = (cells / cells.sum(0)).sum(1).reshape(2, 2)
+        by_word = np.bincount(ids, off, len(words))
+        grads = [
+            np.bincount(flat, np.repeat(by_word, many), OWN),
+            np.bincount(beside[ids[pair - 1]], off[pair], BESIDE),
+            np.bincount(beside[ids[pair]], off[pair - 1], BESIDE),
+            real - expected,
+            np.array([off[starts].sum()]),
+        ]
         for i, g in enumerate(grads):
+            g = g - ridge * params[i]
             moment[i], spread[i] = 0.9 * moment[i] + 0.1 * g, 0.99 * spread[i] + 0.01 * g * g
-            params[i] = params[i] + rate * (moment[i] / (1 - 0.9**t)) / (np.sqrt(spread[i] / (1 - 0.99**t)) + 1e-9)
-    return tuple(params)
+            params[i] = params[i] + rate * (moment[i] / (1 - 0.9**t)) / (np.sqrt(spread[i] / (1 - 0.99**t)) + 1.0)
+    model.own, model.before, model.after, model.move, model.first, model.learned = *params[:4], float(params[4][0]), True
+    return model
 
 
 class Chain:
-    """Forward-backward over a document, given the field."""
+    """Forward-backward over texts, given the field."""
 
     def __init__(self, model: Field):
-        self.model = model
-        self.starts = frozenset(f[1:4] if f[0] == "^" else f[:3] for f in model.features if f[0] != "$")
-        self.ends = frozenset(f[-4:] for f in model.features if f[0] == "$")
-        self.weights: dict[tuple[int, ...], np.ndarray] = {}
-        self.m, self.first, self.plain = np.exp(model.move), np.exp(model.first), self.emission(())
-        # One more other word: move, then emit.
-        values, vectors = np.linalg.eig(self.m * self.plain)
-        order = np.argsort(-np.abs(values))
-        self.ratio = float(np.real(values[order[1]] / values[order[0]]))
-        inverse = np.linalg.inv(vectors)
-        self.parts = [np.real(np.outer(vectors[:, i], inverse[i])) for i in order]
-
-    def emission(self, features: tuple[int, ...]) -> np.ndarray:
-        if features not in self.weights:
-            own = self.model.emit[[0, *features]].sum(0)
-            self.weights[features] = np.exp(own - own.max())
-        return self.weights[features]
-
-    def features(self, word: str) -> tuple[int, ...]:
-        if word[:3] not in self.starts and word[-4:] not in self.ends:
-            return ()
-        return tuple(n for f in features_of(word) if (n := self.model.features.get(f)) is not None)
-
-    def gap(self, n: int) -> np.ndarray:
-        """Transfer over n other words, up to scale."""
-        return self.parts[0] + self.ratio**n * self.parts[1] if n else np.eye(2)
-
-    def marginals(self, places: list[int], features: list[tuple[int, ...]], length: int) -> list[float]:
-        """P(toxic) of the tokens at ``places``; the other ``length`` - len(places) tokens are other words."""
-        emissions = [self.emission(x) for x in features]
-        ahead, state, last = [], None, -1
-        for at, e in zip(places, emissions):
-            if state is None:
-                state = (self.first * self.plain) @ self.gap(at - 1) @ self.m if at else self.first
-            else:
-                state = state @ self.gap(at - last - 1) @ self.m
-            state = state * e
-            state = state / state.sum()
-            ahead.append(state)
-            last = at
-        back, out, after = self.gap(length - 1 - places[-1]) @ np.ones(2), [], None
-        for i in range(len(places) - 1, -1, -1):
-            if after is not None:
-                back = self.gap(after - places[i] - 1) @ (self.m @ (emissions[i + 1] * back))
-            back = back / back.sum()
-            p = ahead[i] * back
-            out.append(float(p[1] / p.sum()))
-            after = places[i]
-        return out[::-1]
-
-    def read(self, text: str | None) -> tuple[tuple[float, float, float], list[dict]]:
-        """Largest marginal, expected number and share of toxic tokens; spans as offsets of the lower-cased text."""
-        if not text or not self.model.features:
-            return (0.0, 0.0, 0.0), []
-        low = text.lower()
-        if len(low) <= PIECE:
-            words = WORD.findall(low)
-            if self.starts.isdisjoint([w[:3] for w in words]) and self.ends.isdisjoint([w[-4:] for w in words]):
-                return (0.0, 0.0, 0.0), []
-        places, numbers, offsets, n = [], [], [], 0
-        for n, hit in enumerate(WORD.finditer(low), 1):
-            if found := self.features(hit[0]):
-                places.append(n - 1)
-                numbers.append(found)
-                offsets.append(hit.span())
-        if not places:
-            return (0.0, 0.0, 0.0), []
-        p = self.marginals(places, numbers, n)
-        spans: list[dict] = []
-        for at, (start, end), x in zip(places, offsets, p):
-            if x < 0.5:
-                continue
-            if spans and spans[-1]["at"] == at - 1:
-                spans[-1] |= {"end": end, "at": at, "marginal": max(x, spans[-1]["marginal"])}
-            else:
-                spans.append({"start": start, "end": end, "marginal": x, "at": at})
-        return (max(p), sum(p), sum(p) / n), spans
-
-    def score(self, most: float, total: float, share: float) -> float:
-        return float(_sigmoid(self.model.line @ np.array([1.0, most, np.log1p(total), 3 * share**0.5])))
+        self.model, self.known = model, Vocabulary()
+        self.own, self.before, self.after = (np.zeros(0) for _ in range(3))
+        self.m, self.first = np.exp(model.move), float(np.exp(model.first))
+
+    def _learn(self) -> None:
+        """Scores of the words met since."""
+        if fresh := list(islice(self.known, len(self.own), None)):
+            own = np.array([self.model.own[hashed(w)].sum() for w in fresh])
+            beside = np.array([neighbour(w) for w in fresh])
+            self.own, self.before, self.after = (np.concatenate(x) for x in ((self.own, own), (self.before, self.model.before[beside]), (self.after, self.model.after[beside])))
+
+    def marginals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """P(toxic) of all tokens of the texts, one text after another, and the texts' numbers of tokens."""
+        if len(self.known) > MAX_WORDS:
+            self.__init__(self.model)
+        read = [self.known.read(t) for t in texts]
+        self._learn()
+        lengths = np.array([len(x) for x in read], np.int64)
+        ids = np.concatenate([np.zeros(0, np.int64), *read])
+        if not self.model.learned:
+            return np.zeros(len(ids)), lengths
+        e = np.exp(scores(ids, np.cumsum(lengths) - lengths, self.own, self.before, self.after))
+        r, b = Parts(lengths).ratios(e, self.m, self.first)
+        return r * b / (1 + r * b), lengths
+
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, list[list[dict]]]:
+        """Of each text, the largest marginal, the expected number and share of toxic tokens; and its spans, as offsets of the lower-cased text."""
+        p, lengths = self.marginals(texts)
+        ends = np.cumsum(lengths)
+        numbers, spans = np.zeros((len(texts), 3)), []
+        for i, (end, n) in enumerate(zip(ends.tolist(), lengths.tolist())):
+            own = p[end - n : end]
+            if n:
+                total = float(own.sum())
+                numbers[i] = own.max(), total, total / n
+            spans.append(spans_of(texts[i], own) if numbers[i, 0] >= 0.5 else [])
+        return numbers, spans
+
+    def score(self, numbers: np.ndarray) -> np.ndarray:
+        return np.round(_sigmoid((calibration(numbers) * self.model.line[1:]).sum(1) + self.model.line[0]), 9)
+
+
+def spans_of(text: str, marginals: np.ndarray) -> list[dict]:
+    """Runs of tokens of marginals of a half or more."""
+    spans, last = [], None
+    for i, hit in enumerate(WORD.finditer(text.lower())):
+        if (x := float(marginals[i])) < 0.5:
+            continue
+        if last == i - 1:
+            spans[-1] |= {"end": hit.end(), "marginal": max(x, spans[-1]["marginal"])}
+        else:
+            spans.append({"start": hit.start(), "end": hit.end(), "marginal": x})
+        last = i
+    return spans
+
+
+def calibration(numbers: np.ndarray) -> np.ndarray:
+    return np.stack([numbers[:, 0], np.log1p(numbers[:, 1]), 3 * np.sqrt(numbers[:, 2])], 1)
+
+
+def labelled_lines(docs: list[tuple[str, int]], marks: set[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
+    """Lines as (numbers of words, labels of tokens), equal ones once, and the words; tokens with one of ``marks`` are toxic if their document is."""
+    known = Vocabulary()
+    found = {(tuple(known.read(line).tolist()), label) for t, label in docs for line in t.split("\n")}
+    words = list(known)
+    marked = np.array([any(f in marks for f in features_of(w)) for w in words], bool)
+    lines = {(x, label and any(marked[k] for k in x)) for x, label in found}
+    return [(np.array(x, np.int64), marked[list(x)] & bool(label)) for x, label in sorted(lines) if x], words
 
 
 def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 1500, max_chars: int = 20_000) -> Field:
     """Learn from the rows of ``documents`` that ``labels`` (key, label), limited to training rows by the caller, names.
 
-    About ``per_class`` labels of either kind are picked by a hash of ``key``,
-    and never more than four times as many in all. These bounded ids are
-    broadcast, so the texts are not shuffled. Texts of more than ``max_chars``
-    characters are not learned from. The field is trained on all lines of the
-    texts that are left; lines of one label with the same kinds of tokens in the
-    same order count once.
+    About ``per_class`` labels of either kind are picked by a hash of ``key``; a
+    key that is labelled both ways counts as toxic, and of several texts with a
+    key, that of the least hash is read. These bounded ids are broadcast, so the
+    texts are not shuffled. Texts of more than ``max_chars`` characters are not
+    learned from. The field is trained on all lines of three quarters of the
+    texts that are left, equal lines with equal labels counting once; the score
+    is calibrated on the other quarter (by a hash of the text; on all, if either
+    part lacks one of the labels), where a toxic text counts twice.
     """
-    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("label"))
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("label"))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return Field(line=np.array([8.0 if 1 in sizes else -8.0, 0, 0, 0]))
     share = F.when(F.col("label") == 1, F.lit(min(1.0, per_class / sizes[1]))).otherwise(F.lit(min(1.0, per_class / sizes[0])))
-    picked = rows.where(F.shiftrightunsigned(F.xxhash64("__key"), 11) / F.lit(float(1 << 53)) < share).limit(4 * per_class)
+    picked = rows.where(F.shiftrightunsigned(F.xxhash64("__key"), 11) / F.lit(float(1 << 53)) < share)
     picked = documents.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], picked.schema)
     whole = documents.select(F.col(key).alias("__key"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    picked = whole.join(F.broadcast(picked), "__key").select("text", "label").limit(16 * per_class)
+    picked = whole.join(F.broadcast(picked), "__key").groupBy("__key").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
     docs = sorted((r["text"], r["label"]) for r in picked.collect())
     if len({x for _, x in docs}) < 2:
         return Field(line=np.array([8.0 if docs and docs[0][1] else -8.0, 0, 0, 0]))
-    model = Field(features=toxic_features(docs))
-    chain, kinds = Chain(model), {(): 0}
-    lines = {(tuple(kinds.setdefault(chain.features(w), len(kinds)) for w in tokens_of(line)), label) for t, label in docs for line in t.split("\n")}
-    table = np.zeros((len(kinds), len(model.features) + 1))
-    table[:, 0] = 1
-    for features, k in kinds.items():
-        table[k, list(features)] = 1
-    model.emit, model.move, model.first = train_field(sorted(lines), table)
-    chain = Chain(model)
-    found = [chain.read(t) for t, _ in docs]
-    x, y = np.array([(a, np.log1p(b), 3 * c**0.5) for (a, b, c), _ in found]), np.array([n for _, n in docs])
-    model.line = _logistic(x, y, rounds=800, ridge=1e-4)
+    marks = toxic_features(docs)
+    if not marks:
+        return Field(line=np.array([-1.0, 0, 0, 0]))
+    # What the field was trained on tells nothing about how sure it may be, so the score is calibrated on other texts.
+    apart = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % APART == 0 for t, _ in docs]
+    if len({(a, x) for a, (_, x) in zip(apart, docs)}) < 4:
+        apart = [None] * len(docs)
+    model = train_field(*labelled_lines([d for a, d in zip(apart, docs) if not a], marks))
+    others, chain, numbers = [d for a, d in zip(apart, docs) if a or a is None], Chain(model), []
+    for k in range(0, len(others), 256):
+        numbers.append(chain.read([t for t, _ in others[k : k + 256]])[0])
+    model.line = _logistic(calibration(np.concatenate(numbers)), np.array([x for _, x in others]), rounds=800, ridge=1e-4, toxic=TWICE)
     return model
 
 
 def score(df: DataFrame, model: Field, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` with score, predicted and spans (start, end, marginal) for every row.
 
-    A null or empty text has no toxic token and gets the score of such texts.
-    Spans count code points of the lower-cased text. Repeated rows stay, equal
-    texts get equal results, an empty table gives an empty result, and other
-    columns of the table are not read.
+    A null or empty text has no token and gets the score of such texts. Spans
+    count code points of the lower-cased text. Repeated rows stay, equal texts
+    get equal results, an empty table gives an empty result, and other columns
+    of the table are not read.
     """
     arrow_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -331,10 +428,9 @@ def score(df: DataFrame, model: Field, text: str = "text", keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = Chain(shared.value)
         for batch in batches:
-            found = [chain.read(t) for t in batch.column(len(keep)).to_pylist()]
-            scores = [chain.score(*x) for x, _ in found]
-            spans = [[{k: s[k] for k in ("start", "end", "marginal")} for s in x] for _, x in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(scores), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, kind)], names=[*keep, "score", "predicted", "spans"])
+            numbers, spans = chain.read(batch.column(len(keep)).to_pylist())
+            found = chain.score(numbers)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found), pa.array(found >= 0.5).cast(pa.int32()), pa.array(spans, kind)], names=[*keep, "score", "predicted", "spans"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[: len(keep)]] + ["score double", "predicted int", "spans array<struct<start:bigint,end:bigint,marginal:double>>"])
     return source.mapInArrow(run, schema)
