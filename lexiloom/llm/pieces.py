@@ -3,10 +3,14 @@
 No piece of the model holds a white space marker after another character, and
 none holds a line break with anything else, so a marked text falls apart into
 chunks (markers and what follows up to the next marker, or line breaks) that are
-segmented independently. A worker segments each distinct chunk once; the table
-keeps its ids, their number and what they decode to, and texts are put together
-from it by position. The table holds short chunks and a bounded number of them.
-The two properties are checked against the model when it is loaded.
+segmented independently. Both properties are checked against the model when it is
+loaded.
+
+Texts are read in blocks of a bounded size. A block becomes one row: its distinct
+chunks, and of each text the positions of its chunks among these. The chunks of
+all blocks make one table, in which each distinct one is segmented and decoded
+once, on whatever worker; its entries are joined back to the blocks that asked for
+them, and every text is put together from its block's entries by position.
 """
 
 from __future__ import annotations
@@ -15,37 +19,39 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm._shared import arrow_batches
+from lexiloom.plans.materialise import materialise
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
-PART = 1 << 14  # chunks of a long text that are handled at once
-MAX_CHUNKS, LONGEST = 500_000, 64
+PART = 1 << 16  # chunks of a long text that are handled at once
 
 
-class ChunkTable(dict):
-    """chunk -> (ids joined by commas, number of ids, decoded text)."""
+class Segmenter:
+    """The library, for chunks as parts of marked texts."""
 
     def __init__(self, model: str):
-        super().__init__()
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size()) if not self.library.is_byte(i)]
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
             raise ValueError("pieces of this model cross white space markers or line breaks")
-        probe = "A  b ①ﬁ　é "
+        probe = "A  b ①ﬁ　é "
         if self.library.decode(self.library.encode(probe)) != probe:
             raise ValueError("this model normalises text, so chunks are not independent")
         self.head = self.library.encode("\n")  # the marker put before every text, and a line break
         self.cover = self.library.piece_to_id("a")
 
-    def learn(self, chunks: list[str]) -> list[tuple[str, int, str]]:
-        """Entries of chunks as parts of marked texts. A line break before each keeps the library's own marker apart."""
+    def segment(self, chunks: list[str]) -> list[tuple[str, int, str]]:
+        """Ids joined by commas, their number and the decoded text of each chunk. A line break before each keeps the library's own marker apart."""
         found = self.library.encode(["\n" + c for c in chunks], num_threads=1)
         if any(x[: len(self.head)] != self.head for x in found):
             raise AssertionError("a chunk's context changed its segmentation")
@@ -53,77 +59,107 @@ class ChunkTable(dict):
         decoded = self.library.decode([[self.cover, *x] for x in found], num_threads=1)
         return [(",".join(map(str, x)), len(x), d[1:]) for x, d in zip(found, decoded)]
 
-    def of(self, chunks: list[str]) -> list[tuple[str, int, str]]:
-        """Entries by position; each distinct chunk that is not in the table is segmented once."""
-        if missing := [c for c in set(chunks) if c not in self]:
-            fresh = dict(zip(missing, self.learn(missing)))
-            if len(self) + len(fresh) > MAX_CHUNKS:
-                self.clear()
-            self.update((c, e) for c, e in fresh.items() if len(c) <= LONGEST)
-            return [self.get(c) or fresh.get(c) or self.learn([c])[0] for c in chunks]
-        return [self[c] for c in chunks]
-
 
 @lru_cache(2)
-def chunk_table(model: str) -> ChunkTable:
-    return ChunkTable(model)
+def segmenter(model: str) -> Segmenter:
+    return Segmenter(model)
+
+
+class Positions(dict):
+    """chunk -> its position among the distinct chunks met so far."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        return n
+
+    def of(self, text: str) -> np.ndarray:
+        """The positions of a text's chunks, in order; a long text goes part by part."""
+        marked = MARK + text.replace(" ", MARK) if text else ""
+        if len(marked) <= PART:
+            chunks = CHUNK.findall(marked)
+            return np.fromiter(map(self.__getitem__, chunks), np.uint32, len(chunks))
+        hits, parts = CHUNK.finditer(marked), []
+        while chunks := [hit[0] for hit in islice(hits, PART)]:
+            parts.append(np.fromiter(map(self.__getitem__, chunks), np.uint32, len(chunks)))
+        return np.concatenate(parts)
 
 
-def marked(text: str) -> str:
-    return MARK + text.replace(" ", MARK) if text else ""
+def read_blocks(source: DataFrame, keep: list[str]) -> DataFrame:
+    """(block, keep as arrays, chunks, places): a row of every block of rows of (keep, __text); places are positions, 16 or 32 bits wide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for block, batch in enumerate(batches, first):
+            known = Positions()
+            places = [known.of(t) for t in batch.column(len(keep)).to_pylist()]
+            width = "<u2" if len(known) <= 1 << 16 else "<u4"
+            whole = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
+            columns = [pa.array([block], pa.int64()), *[whole(c) for c in batch.columns[: len(keep)]]]
+            columns += [whole(pa.array(list(known), pa.string())), pa.array([int(width[2])], pa.int32()), whole(pa.array([p.astype(width).tobytes() for p in places], pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", *keep, "chunks", "width", "places"])
+
+    kinds = ", ".join(f"`{n}` array<{source.schema[n].dataType.simpleString()}>" for n in keep)
+    return source.mapInArrow(run, f"block long, {kinds}, chunks array<string>, width int, places array<binary>")
 
 
-def encode_ids(text: str, table: ChunkTable) -> list[int]:
-    return [int(x) for entry in table.of(CHUNK.findall(marked(text))) for x in entry[0].split(",")]
+def segmented(chunks: DataFrame, model: str) -> DataFrame:
+    """(chunk, ids, n, decoded) of every distinct chunk, segmented once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n, decoded = zip(*segmenter(model).segment(batch.column(0).to_pylist())) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.string()), pa.array(n, pa.int64()), pa.array(decoded, pa.string())], names=["chunk", "ids", "n", "decoded"])
 
-def summary(text: str, table: ChunkTable) -> tuple[int, str, str]:
-    """Number of ids, digest of the ids and digest of the decoded text."""
-    ids, decoded, n, first, part = hashlib.sha256(), hashlib.sha256(), 0, True, []
+    return chunks.select("chunk").distinct().mapInArrow(run, "chunk string, ids string, n long, decoded string")
 
-    def add() -> None:
-        nonlocal n, first
-        entries = table.of(part)
-        n += sum(e[1] for e in entries)
-        ids.update(("" if first else ",").encode() + ",".join([e[0] for e in entries]).encode())
-        words = "".join([e[2] for e in entries])
-        decoded.update((words[1:] if first else words).encode())
-        first = False
-        part.clear()
 
-    if len(text) <= PART:
-        part += CHUNK.findall(marked(text))
-    else:
-        for hit in CHUNK.finditer(marked(text)):
-            part.append(hit[0])
-            if len(part) >= PART:
-                add()
-    if part:
-        add()
-    return n, ids.hexdigest(), decoded.hexdigest()
+def digests(places: np.ndarray, ids: list[str], decoded: list[str]) -> tuple[str, str]:
+    """Digests of a text's ids, joined by commas, and of its decoded text, of which the marker put before it is no part."""
+    one, other = hashlib.sha256(), hashlib.sha256()
+    for k in range(0, len(places), PART):
+        part = places[k : k + PART].tolist()
+        one.update(("," * (k > 0) + ",".join(map(ids.__getitem__, part))).encode())
+        other.update("".join(map(decoded.__getitem__, part))[k == 0 :].encode())
+    return one.hexdigest(), other.hexdigest()
 
 
 def encode_decode(df: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """``keep``, n_tokens, ids_sha256 and decoded_sha256 of every row; with_ids: also the ids and the decoded text.
 
     A null text counts as empty and has no ids. Repeated rows stay, an empty
-    table gives an empty result, and other columns of the table are not read.
+    table gives an empty result, and other columns of the table are not read. A
+    text of more than a block's size is a block of its own, read and put together
+    in parts.
     """
     arrow_batches(df.sparkSession)
-    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    inner = [f"__keep{i}" for i in range(len(keep))]
+    source = df.select(*[F.col(k).alias(n) for k, n in zip(keep, inner)], F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    blocks = materialise(read_blocks(source, inner), "blocks")
+    asked = blocks.select("block", F.posexplode("chunks").alias("at", "chunk"))
+    answered = asked.join(segmented(asked, model), "chunk").groupBy("block").agg(F.collect_list(F.struct("at", "ids", "n", "decoded")).alias("entries"))
+    joined = blocks.select("block", *inner, "width", "places").join(answered, "block", "left").select(*inner, "width", "places", "entries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = chunk_table(model)
+        k = len(inner)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            n, ids, decoded = zip(*[summary(t, table) for t in texts]) if texts else ((), (), ())
-            columns = [*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                full = [encode_ids(t, table) for t in texts]
-                columns += [pa.array(full, pa.list_(pa.int32())), pa.array([table.library.decode(x) for x in full], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[: len(keep)]] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
-    return source.mapInArrow(run, ", ".join(schema + ["ids array<int>", "decoded string"] * with_ids))
+            for row in range(batch.num_rows):
+                kept, found = [batch.column(i)[row].values for i in range(k)], batch.column(k + 2)[row].values
+                width = f"<u{batch.column(k)[row].as_py()}"
+                places = [np.frombuffer(p, width) for p in batch.column(k + 1)[row].as_py()]
+                if found is None:
+                    ids, decoded, count = [], [], np.zeros(0, np.int64)
+                else:
+                    order = pa.array(np.argsort(np.asarray(found.field("at"))))
+                    ids, decoded, count = found.field("ids").take(order).to_pylist(), found.field("decoded").take(order).to_pylist(), np.asarray(found.field("n").take(order))
+                made = [digests(p, ids, decoded) for p in places]
+                columns = [*kept, pa.array([int(count[p].sum()) for p in places], pa.int64()), pa.array([a for a, _ in made]), pa.array([b for _, b in made])]
+                names = [*inner, "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns.append(pa.array([[int(x) for at in p.tolist() for x in ids[at].split(",")] for p in places], pa.list_(pa.int32())))
+                    columns.append(pa.array(["".join(map(decoded.__getitem__, p.tolist()))[1:] for p in places], pa.string()))
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = [f"`{n}` {source.schema[n].dataType.simpleString()}" for n in inner] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
+    out = joined.mapInArrow(run, ", ".join(schema + ["ids array<int>", "decoded string"] * with_ids))
+    return out.withColumnsRenamed(dict(zip(inner, keep)))
