@@ -2,9 +2,9 @@
 
 Images are decoded to numpy arrays (height x width x channels, 8 bits), resized
 by area with integral images (the sum over any rectangle, with fractions of the
-pixels at its border, from four places of a table of running sums), kept as NPY
-tiles and described by difference hashes: whether brightness grows from each
-cell of a 9 x 8 tile to the next.
+pixels at its border, from four places of a table of running sums), written as
+NPY tiles of 8 x 9 cells and described by difference hashes: whether brightness
+grows from each cell of the tile to the next.
 """
 
 from __future__ import annotations
@@ -131,18 +131,19 @@ def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     return (sums[1:, 1:] - sums[:-1, 1:] - sums[1:, :-1] + sums[:-1, :-1]) * (height * width / (h * w))
 
 
-def difference_hash(pixels: np.ndarray) -> str:
-    """64 bits as hex: whether each cell of an 8 x 9 tile is darker than the next."""
-    tile = np.rint(area_resize(pixels, 8, 9).mean(2) * 64).astype(np.int64)
-    return np.packbits(tile[:, 1:] > tile[:, :-1]).tobytes().hex()
-
-
-def npy_tile(pixels: np.ndarray, height: int = 8, width: int = 8) -> bytes:
+def npy_tile(pixels: np.ndarray, height: int = 8, width: int = 9) -> bytes:
+    """The area-resized image as an NPY file of 16-bit samples, each 64 times its brightness."""
     out = io.BytesIO()
-    np.save(out, np.rint(area_resize(pixels, height, width)).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.rint(area_resize(pixels, height, width) * 64).astype("<u2"), allow_pickle=False)
     return out.getvalue()
 
 
+def difference_hash(tile: bytes) -> str:
+    """64 bits as hex: whether each cell of an NPY tile of 8 x 9 cells is darker than the next."""
+    cells = np.load(io.BytesIO(tile), allow_pickle=False).sum(2, dtype=np.int64)
+    return np.packbits(cells[:, 1:] > cells[:, :-1]).tobytes().hex()
+
+
 def payload_of(text: str | None) -> tuple[bytes, int]:
     """The padded payload, and its length without the padding."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -169,11 +170,10 @@ def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
     return materialise(source.mapInArrow(run, schema), "media")
 
 
-def describe(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes"), tiles: bool = False) -> DataFrame:
-    """What the stored images hold: the payload read back, its digests, and the image's feature.
+def describe(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
+    """What the stored images hold: the payload read back, its digests, height, width, channels, the NPY tile and its difference hash.
 
-    An image that is null or cannot be decoded has nulls. With ``tiles``, also
-    height, width, channels and an NPY tile of 8 x 8 cells.
+    An image that is null or cannot be decoded has nulls.
     """
     arrow_batches(df.sparkSession)
     source = df.select(*keep, F.col(media).alias("__media"))
@@ -186,12 +186,11 @@ def describe(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_
             pixels = decode(data)
         except (BadImage, ValueError, struct.error):
             return nothing
-        raw = pixels.tobytes()
-        more = (*pixels.shape, npy_tile(pixels)) if tiles else (None,) * 4
-        return (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(pixels), *more)
+        raw, tile = pixels.tobytes(), npy_tile(pixels)
+        return (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(tile), *pixels.shape, tile)
 
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["height", "width", "channels", "tile"] * tiles
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.int32(), pa.int32(), pa.int32(), pa.binary()] * tiles
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "channels", "tile"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +206,7 @@ def text_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """Texts stored as images, read back and described.
 
     A null text counts as empty and is one unit of padding; equal texts give
-    equal images and features. Repeated rows stay, an empty table gives an empty
-    result, and other columns of the table are not read.
+    equal images, tiles and features. Repeated rows stay, an empty table gives an
+    empty result, and other columns of the table are not read.
     """
     return describe(store(df, text, (key,)), keep=(key, "n_bytes"))
