@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -76,11 +78,62 @@ def test_short_far_texts_are_rejected(spark):
 
 
 def test_profile_does_not_depend_on_pieces(monkeypatch):
-    text = "Alpha beta, gamma 12 délta! " * 50
-    whole = language_id.profile(text)
-    monkeypatch.setattr(language_id, "PIECE", 64)
-    again = language_id.profile(text)
-    assert abs(int(again.sum()) - int(whole.sum())) <= 3 * (len(text) // 64 + 1)
+    texts = ["Alpha beta, gamma 12 délta! " * 50, "ΟΔΟΣ İstanbul " * 30, "a", "1 2 3", "ab" * 100]
+    whole = [language_id.profile(t) for t in texts]
+    for piece in (2, 7, 64):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        for t, w in zip(texts, whole):
+            again = language_id.profile(t)
+            assert (again is None and w is None) or (again == w).all()
+
+
+def plain_profile(text):
+    """Counts of the hashed n-grams, one by one."""
+    low, mask, out = [c if c.isalpha() else " " for c in text.lower()], (1 << 32) - 1, collections.Counter()
+    point = [ord(c) for c in low]
+    pair = lambda i: (point[i] * 2246822519 + point[i + 1] * 3266489917) & mask
+    grams = [p * 2654435761 & mask for p, c in zip(point, low) if c != " "]
+    grams += [pair(i) for i in range(len(low) - 1) if low[i] != " " or low[i + 1] != " "]
+    grams += [(pair(i) * 668265263 + point[i + 2] * 374761393) & mask for i in range(len(low) - 2) if low[i + 1] != " "]
+    for g in grams:
+        g ^= g >> 15
+        out[(g * 2246822519 & mask) >> 20] += 1
+    return out
+
+
+def test_language_equals_a_plain_version(documents, awkward):
+    """Profiles, weights, cosines to all centroids and floors, text by text."""
+    model = language_id.fit(documents)
+    rows = [r for df in (documents, awkward) for r in language_id.identify(df.where("doc_id is not null").dropDuplicates(["doc_id"]), model, keep=("doc_id", "text")).collect()]
+    assert len(rows) > 250
+    for r in rows:
+        counts = plain_profile(r["text"] or "")
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["rejected"]) == ("und", True)
+            continue
+        weight = {g: np.log1p(n) * float(model.idf[g]) for g, n in counts.items()}
+        norm = sum(x * x for x in weight.values()) ** 0.5
+        cosine = [sum(x * float(c[g]) for g, x in weight.items()) / norm for c in model.centroids]
+        best = max(cosine)
+        assert abs(r["score"] - best) < 1e-4
+        near = {model.languages[model.owner[i]] for i, c in enumerate(cosine) if c > best - 1e-5}
+        assert r["lang_pred"] in near
+        floor = model.floor[model.languages.index(r["lang_pred"]), min(31, int(np.log2(sum(counts.values()))))]
+        assert abs(best - floor) < 1e-4 or r["rejected"] == (best < floor)
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x5E00 + i)} " * 5, f"l{i:03}") for i in range(300)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 300
+    langs, _, _ = language_id.predict([t for _, t, _ in rows], model)
+    assert langs == [x for _, _, x in rows]
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(i, "same words here", "b" if i % 2 else "a") for i in range(20)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert language_id.predict(["same words here"], model)[0] == ["a"]
 
 
 # 2 token counts
@@ -109,11 +162,28 @@ def test_token_counts_of_random_texts():
 
 
 def test_the_merger_starts_anew_when_full(monkeypatch):
-    library, machine = token_reference(), token_counts.Merger(BYTE_BPE)
-    monkeypatch.setattr(token_counts, "MAX_STATES", 5)
-    for word in ("tokenization", "mississippi", "zzxqj"):
-        data = np.frombuffer(word.encode(), np.uint8)
-        assert machine.count(data, np.array([0]), np.array([len(data)])).tolist() == [len(library.encode(word).ids)]
+    library, machine, rng = token_reference(), token_counts.merger(BYTE_BPE), random.Random(8)
+    words = ["tokenization", "mississippi", "zzxqj", *["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 90))) for _ in range(60)]]
+    monkeypatch.setattr(token_counts, "MAX_STATES", 40)
+    monkeypatch.setattr(token_counts, "LANES", 16)
+    machine.reset()
+    most = []
+    monkeypatch.setattr(token_counts.Merger, "number_of", lambda self, state, f=token_counts.Merger.number_of: (f(self, state), most.append(len(self.states)))[0])
+    assert token_counts.count_tokens([" ".join(words)], BYTE_BPE)[0] == len(library.encode(" ".join(words)).ids)
+    assert len(most) > 200 and max(most) <= 40 + 2 * 16  # in the middle of a batch, too
+    machine.reset()
+
+
+def test_long_pretokens_by_chunk_maps(monkeypatch):
+    """Words that are cut into chunks, from chunks longer to ones shorter than tokens."""
+    library, rng = token_reference(), random.Random(2)
+    texts = ["a" * 5000, "=-" * 3000, "".join(rng.choice("abcdefghij") for _ in range(9000)), "the" * 2000 + " x", "é" * 2500, "日本" * 1500]
+    expected = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert token_counts.count_tokens(texts, BYTE_BPE).tolist() == expected
+    monkeypatch.setattr(token_counts, "STRIDE", 7)
+    monkeypatch.setattr(token_counts, "RUN_UP", 3)
+    monkeypatch.setattr(token_counts, "GUESSES", 2)
+    assert token_counts.count_tokens(texts, BYTE_BPE).tolist() == expected
 
 
 # 3 fingerprints
@@ -158,18 +228,71 @@ def test_fingerprints_of_no_rows(nothing):
     assert iblt.fingerprints(nothing).count() == 0
 
 
+def spark_hash(k):
+    """Murmur3 of a 64-bit number, as Spark's hash() gives it."""
+    mask, h = (1 << 32) - 1, 42
+    turn = lambda x, r: ((x << r) | (x >> (32 - r))) & mask
+    for part in (k & mask, k >> 32 & mask):
+        part = turn(part * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+        h = (turn(h ^ part, 13) * 5 + 0xE6546B64) & mask
+    h ^= 8
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    return h ^ h >> 16
+
+
+def opened(fingerprint):
+    """Number of paragraphs and digests of a written fingerprint, by plain peeling of its leaves."""
+    n, _, rest = fingerprint.split(":", 2)
+    out = set()
+    for leaf in rest.split("|"):
+        shift, cells = leaf.split("/")
+        cells = [[int(c[:-24], 16), int(c[-24:-8], 16), int(c[-8:], 16)] if c else [0, 0, 0] for c in cells.split(".")]
+        place = lambda k: [8 * j + (k >> 12 * j + int(shift) & 7) for j in range(3)]
+        while pure := [k for i, (m, k, c) in enumerate(cells) if m == 1 and c == spark_hash(k) and i in place(k)]:
+            out.add(pure[0])
+            for i in place(pure[0]):
+                cells[i] = [cells[i][0] - 1, cells[i][1] ^ pure[0], cells[i][2] ^ spark_hash(pure[0])]
+        assert not any(m or k for m, k, _ in cells)
+    assert len(out) == int(n)
+    return out
+
+
+def test_likeness_follows_from_the_fingerprints(documents):
+    unsigned = lambda ks: {k & (1 << 64) - 1 for k in ks}
+    found = {r["doc_id"]: r for r in iblt.fingerprints(documents).collect()}
+    order = sorted(found)
+    digest = lambda t: {xxhash.xxh64_intdigest(x.encode(), 42) for x in split_lines(t)}
+    text = dict(texts_of(documents))
+    for i, follow in zip(order, [*order[1:], order[0]]):
+        r = found[i]
+        a, b, c = opened(r["fingerprint"]), opened(r["edited_fingerprint"]), opened(found[follow]["fingerprint"])
+        assert a == digest(text[i])
+        assert (unsigned(r["removed"]), unsigned(r["added"])) == (a - b, b - a)
+        for near, other in ((r["near_edited"], b), (r["near_next"], c)):
+            assert abs(near - (len(a & other) / len(a | other) if a | other else 1.0)) < 1e-12
+
+
 def test_sketches_peel_and_retry(spark):
-    rng = random.Random(4)
-    rows = []
-    for a, b, both in [(0, 0, 5), (1, 0, 0), (3, 4, 50), (30, 40, 10), (300, 100, 200), (0, 900, 0)]:
-        x, y, z = ([rng.getrandbits(63) for _ in range(n)] for n in (a, b, both))
-        rows.append((x + z, y + z, a + b))
-    df = spark.createDataFrame(rows, "a array<long>, b array<long>, n int")
-    df = df.withColumn("sa", F.expr(iblt.sketch("a"))).withColumn("sb", F.expr(iblt.sketch("b")))
-    df = df.withColumn("first", F.expr(iblt.peel(iblt.difference("sa", "sb"), "size(s.found)"))).withColumn("all", F.expr(iblt.differing("a", "b", "sa", "sb")))
-    found = df.select("n", "first", "all").collect()
-    assert all(r["all"] == r["n"] for r in found)
-    assert [r["first"] for r in found][:3] == [0, 1, 7] and found[4]["first"] is None
+    rng, rows = random.Random(4), []
+    for a, b, both in [(0, 0, 0), (0, 0, 5), (1, 0, 0), (3, 4, 50), (30, 40, 10), (300, 100, 200), (0, 900, 0), (1, 3000, 2), (2000, 2000, 0), (1, 1, 4000)]:
+        x, y, z = ([rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (a, b, both))
+        rows.append((x + z, y + z, sorted(x), sorted(y)))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, x array<long>, y array<long>")
+    df = df.withColumns({"fa": F.expr(iblt.fingerprint("a")), "fb": F.expr(iblt.fingerprint("b"))}).withColumn("d", F.expr(iblt.differing("fa", "fb")))
+    for r in df.collect():
+        assert sorted(q["k"] for q in r["d"] if q["n"] == 1) == r["x"] and sorted(q["k"] for q in r["d"] if q["n"] == -1) == r["y"]
+        assert r["fa"]["n"] == len(r["a"]) and len(r["fa"]["leaves"]) == 1 << r["fa"]["d"]
+
+
+def test_twenty_thousand_paragraphs(spark):
+    text = lambda tag: "\n".join(f"{tag} line {i}" for i in range(20_000))
+    df = spark.createDataFrame([("b", text("x")), ("a", "short\ntext"), ("c", text("y"))], "doc_id string, text string")
+    began = time.time()
+    found = {r["doc_id"]: r for r in iblt.fingerprints(df).collect()}
+    assert time.time() - began < 30
+    assert [found[i]["near_next"] for i in "abc"] == [0.0, 0.0, 0.0] and 0.3 < found["b"]["near_edited"] < 0.4
+    assert len(found["b"]["removed"]) > 9_000
 
 
 # 4 SimHash
@@ -266,91 +389,152 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r["predicted"] for r, x in held if x]) >= 0.6 and np.mean([r["predicted"] for r, x in held if not x]) <= 0.08
 
 
-def plain_marginals(model, kinds):
-    """P(toxic) of every token by forward-backward over all of them."""
-    e = np.exp(np.array([model.emit[[0, *k]].sum(0) for k in kinds]))
-    m, first = np.exp(model.move), np.exp(model.first)
-    ahead, back = [first * e[0]], [np.ones(2)]
+def plain_marginals(e, m, first):
+    """P(toxic) of every token by forward-backward over all of them; emissions are toxic over clean."""
+    ahead, back = [np.array([1, first * e[0]])], [np.ones(2)]
     for x in e[1:]:
-        ahead.append((ahead[-1] / ahead[-1].sum()) @ m * x)
+        ahead.append((ahead[-1] / ahead[-1].sum()) @ m * [1, x])
     for x in e[:0:-1]:
-        back.append(m @ (x * back[-1] / back[-1].sum()))
+        back.append(m @ ([1, x] * back[-1] / back[-1].sum()))
     p = np.array(ahead) * np.array(back[::-1])
     return p[:, 1] / p.sum(1)
 
 
-def test_skipping_plain_words_changes_nothing():
+def test_messages_equal_forward_backward(monkeypatch):
     rng = np.random.default_rng(1)
-    model = toxicity.Field({"bad": 1, "^wor": 2}, rng.normal(size=(3, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
-    chain = toxicity.Chain(model)
-    words = ["ok", "bad", "fine", "fine", "worse", "bad", *["so"] * 40, "worst", "end"]
-    kinds = [chain.features(w) for w in words]
-    places = [i for i, k in enumerate(kinds) if k]
-    assert len(places) == 4
-    np.testing.assert_allclose(chain.marginals(places, [kinds[i] for i in places], len(words)), plain_marginals(model, kinds)[places], rtol=1e-9)
+    lengths = np.array([3, 0, 7, 8, 50, 1, 14, 0, 200])
+    e, m = np.exp(rng.normal(size=lengths.sum()) * 2), np.exp(rng.normal(size=(2, 2)))
+    expected = np.concatenate([plain_marginals(e[k : k + n], m, 0.7) for k, n in zip(np.cumsum(lengths) - lengths, lengths) if n])
+    for stride in (1, 7, 512):
+        monkeypatch.setattr(toxicity, "STRIDE", stride)
+        r, b = toxicity.Parts(lengths).ratios(e, m, 0.7)
+        np.testing.assert_allclose(r * b / (1 + r * b), expected, rtol=1e-9)
+
+
+def plain_score(model, text):
+    """Emissions word by word, the whole chain, the score, and the spans' texts."""
+    low = (text or "").lower()
+    words = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\W_]+", low)] if model.learned else []
+    e = []
+    for i, (w, _, _) in enumerate(words):
+        total = sum(model.own[k] for k in toxicity.hashed(w))
+        total += model.before[toxicity.neighbour(words[i - 1][0])] if i else 0
+        total += model.after[toxicity.neighbour(words[i + 1][0])] if i + 1 < len(words) else 0
+        e.append(np.exp(np.clip(total, -30, 30)))
+    p = plain_marginals(np.array(e), np.exp(model.move), np.exp(model.first)) if e else np.zeros(0)
+    x = [1, p.max(), np.log1p(p.sum()), 3 * p.mean() ** 0.5] if len(p) else [1, 0, 0, 0]
+    return 1 / (1 + np.exp(-np.dot(model.line, x))), [i for i, y in enumerate(p) if y >= 0.5], words
+
+
+def toxic_texts(n=200):
+    """Lines of the same words for both labels, but for the planted ones."""
+    rng, docs = random.Random(12), []
+    for i in range(n):
+        for label in (0, 1):
+            words = rng.choices(["kind", "word", "number", "for", "you", "away", "line", "thing", "go", "such", "an", "indeed"], k=rng.randint(5, 25))
+            if label:
+                words.insert(rng.randrange(len(words)), rng.choice(["idiot", "loser"]))
+            docs.append((" ".join(words) + f" {i}\nnext line", label))
+    return docs
+
+
+@pytest.fixture(scope="module")
+def toxic_model(spark):
+    docs = toxic_texts()
+    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(docs)], "doc_id long, text string, toxic int")
+    return toxicity.fit(df, df)
 
 
-def test_spans_and_awkward_texts(spark, awkward, nothing):
-    docs = [(f"You {w} thing number {i}, go away\nnext line", 1) for i, w in enumerate(["idiot", "loser"] * 20)] + [(f"A kind word number {i} for you\nthank you", 0) for i in range(40)]
-    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(docs)], "doc_id long, text string, toxic int")
-    model = toxicity.fit(df, df)
+def test_scores_equal_a_plain_version(toxic_model, documents, awkward):
+    for df in (documents.limit(120), awkward):
+        for r in toxicity.score(df, toxic_model, keep=("doc_id", "text")).collect():
+            expected, toxic, words = plain_score(toxic_model, r["text"])
+            assert abs(r["score"] - expected) < 1e-6 and r["predicted"] == (r["score"] >= 0.5)
+            assert [i for i, (_, a, b) in enumerate(words) if any(x["start"] <= a and b <= x["end"] for x in r["spans"])] == toxic
+
+
+def test_spans_against_labelled_spans(toxic_model):
+    """Planted words, at places that are known, and no others."""
+    rng, right, found, planted = random.Random(3), 0, 0, 0
+    for _ in range(200):
+        words = [rng.choice(["kind", "word", "number", "for", "you", "away", "line", "thing", "go"]) for _ in range(rng.randint(3, 40))]
+        at = {rng.randrange(len(words)) for _ in range(rng.randint(0, 2))}
+        words = [rng.choice(["idiot", "loser"]) if i in at else w for i, w in enumerate(words)]
+        spans = toxicity.spans_of(" ".join(words), toxicity.Chain(toxic_model).marginals([" ".join(words)])[0])
+        covered = {" ".join(words)[: x["start"]].count(" ") + k for x in spans for k in range(" ".join(words)[x["start"] : x["end"]].count(" ") + 1)}
+        right, found, planted = right + len(covered & at), found + len(covered), planted + len(at)
+    assert right >= 0.95 * planted and right >= 0.95 * found
+
+
+def test_spans_and_awkward_texts(spark, toxic_model, awkward, nothing):
     text = "Such an IDIOT indeed"
-    _, spans = toxicity.Chain(model).read(text)
+    _, (spans,) = toxicity.Chain(toxic_model).read([text])
     assert [text[s["start"] : s["end"]] for s in spans] == ["IDIOT"]
-    found = toxicity.score(awkward, model).collect()
+    found = toxicity.score(awkward, toxic_model).collect()
     assert len(found) == awkward.count() and all(0 <= r["score"] <= 1 for r in found)
     assert all(not r["predicted"] for r in found if r["doc_id"] in (0, 1, 2, 4))
-    assert toxicity.score(nothing, model).count() == 0
+    assert toxicity.score(nothing, toxic_model).count() == 0
     assert toxicity.score(awkward, toxicity.fit(nothing, nothing)).where("predicted = 1").count() == 0
 
 
+def test_most_texts_have_a_score_of_their_own(spark):
+    scores = collections.Counter(r["score"] for r in queries.op5_toxicity(spark, "/root/testdata/sf0.01").collect())
+    assert scores.most_common(1)[0][1] < 0.05 * sum(scores.values())
+
+
 def test_the_field_learns_from_all_lines(spark, monkeypatch):
-    """More marked lines than 1200 and a marked word late in a long line reach the training."""
+    """More marked lines than 1200, a marked word late in a long line, and very long labelled texts reach the training."""
     word = lambda i: "".join("bcdfghjklm"[int(c)] + "a" for c in str(i))
-    docs = [(f"{'so ' * (i % 40)}idiot {'and ' * (i // 40)}{word(i)}", 1) for i in range(1400)] + [(f"{'nice ' * 300}idiot end", 1)] + [(f"kind {word(i)} words", 0) for i in range(1400)]
+    docs = [(f"{'so ' * (i % 40)}idiot {'and ' * (i // 40)}{word(i)}", 1) for i in range(1400)] + [(f"{'nice ' * 300}idiot end", 1), ("fine " * 3900 + "idiot", 1), ("x" * 30_000, 1)] + [(f"kind {word(i)} words", 0) for i in range(1400)]
     df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(docs)], "doc_id long, text string, toxic int")
     taken = []
-    monkeypatch.setattr(toxicity, "train_field", lambda lines, kinds, train=toxicity.train_field: taken.extend(lines) or train(lines, kinds, rounds=2))
+    monkeypatch.setattr(toxicity, "train_field", lambda lines, words, train=toxicity.train_field: taken.extend(lines) or train(lines, words, rounds=2))
     toxicity.fit(df, df, per_class=5000)
-    assert sum(any(x) for x, _ in taken) == 1401 and any(len(x) == 302 and x[300] for x, _ in taken)
-
-
-def test_batches_and_parts_change_no_gradient(monkeypatch):
-    rng = np.random.default_rng(5)
-    lines = [(tuple(rng.integers(0, 3, rng.integers(1, 60)).tolist()), int(rng.integers(0, 2))) for _ in range(200)]
-    kinds = np.array([[1, 0, 0], [1, 1, 0], [1, 0, 1]], float)
-    whole = toxicity.train_field(lines, kinds, rounds=20)
-    monkeypatch.setattr(toxicity, "CELLS", 300)
-    for a, b in zip(whole, toxicity.train_field(lines, kinds, rounds=20)):
-        np.testing.assert_allclose(a, b, atol=1e-6)
-    monkeypatch.setattr(toxicity, "LINE", 7)
-    assert sum(int(on.sum()) for _, on, _, _ in toxicity._batches(lines)) == sum(len(x) for x, _ in lines)
+    assert sum(y.any() for _, y in taken) > 1000 and any(len(x) == 302 and y[300] for x, y in taken) and any(len(x) == 3901 and y[-1] for x, y in taken)
 
 
 # 6 SentencePiece
 
 
 def test_pieces_equal_the_library(documents, awkward, nothing):
-    table = pieces.chunk_table(PIECES)
+    library = pieces.segmenter(PIECES).library
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for df in (documents, awkward):
         expected = []
         for i, t in texts_of(df):
-            ids = table.library.encode(t or "")
-            expected.append((i, len(ids), digest(",".join(map(str, ids))), digest(table.library.decode(ids))))
+            ids = library.encode(t or "")
+            expected.append((i, len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids))))
         same([tuple(r) for r in pieces.encode_decode(df, PIECES).collect()], expected)
     full = pieces.encode_decode(awkward, PIECES, with_ids=True).collect()
     text = dict(texts_of(awkward))
-    assert all(r["ids"] == table.library.encode(text[r["doc_id"]] or "") for r in full if r["doc_id"] is not None)
+    assert all(r["ids"] == library.encode(text[r["doc_id"]] or "") for r in full if r["doc_id"] is not None)
     assert pieces.encode_decode(nothing, PIECES).count() == 0
 
 
-def test_pieces_of_long_texts_in_parts(monkeypatch):
-    table = pieces.chunk_table(PIECES)
-    text = "  Some words\n\nand ▁ more, é 日本 " * 30
-    whole = pieces.summary(text, table)
+def test_each_distinct_chunk_is_segmented_once(documents):
+    source = documents.select(F.col("doc_id").alias("__keep0"), F.coalesce("text", F.lit("")).alias("__text")).repartition(7)
+    blocks = pieces.read_blocks(source, ["__keep0"])
+    asked = blocks.select(F.explode("chunks").alias("chunk"))
+    table = [r["chunk"] for r in pieces.segmented(asked, PIECES).collect()]
+    every = {c for _, t in texts_of(documents) for c in pieces.CHUNK.findall(pieces.MARK + t.replace(" ", pieces.MARK) if t else "")}
+    assert len(table) == len(set(table)) and set(table) == every and asked.count() > len(table)
+
+
+def test_pieces_of_long_texts_in_parts(spark, monkeypatch):
+    known, text = pieces.Positions(), "  Some words\n\nand ▁ more, é 日本 " * 30
+    whole = known.of(text)
+    ids, decoded = ([x[k] for x in pieces.segmenter(PIECES).segment(list(known))] for k in (0, 2))
+    made = pieces.digests(whole, ids, decoded)
     monkeypatch.setattr(pieces, "PART", 7)
-    assert pieces.summary(text, table) == whole
+    assert (pieces.Positions().of(text) == whole).all() and pieces.digests(whole, ids, decoded) == made
+
+
+def test_blocks_of_many_chunks(spark):
+    """More distinct chunks in a block than 16 bits count."""
+    text = " ".join(f"w{i}" for i in range(70_000))
+    df = spark.createDataFrame([(1, text), (2, "w1 w69999")], "doc_id long, text string").coalesce(1)
+    library = pieces.segmenter(PIECES).library
+    assert {r["doc_id"]: r["n_tokens"] for r in pieces.encode_decode(df, PIECES).collect()} == {1: len(library.encode(text)), 2: len(library.encode("w1 w69999"))}
 
 
 # 7 packing
@@ -482,6 +666,24 @@ def test_media_round_trip(documents, awkward, nothing):
     assert media.text_media(nothing).count() == 0
 
 
+def test_tiles_and_features_equal_a_plain_version(documents, awkward):
+    """Means of cells by whole pixels and fractions of pixels, one cell after another."""
+    def share(size, n, i):
+        low, high = i * size / n, (i + 1) * size / n
+        return [(k, min(k + 1, high) - max(k, low)) for k in range(size) if min(k + 1, high) > max(k, low)]
+
+    for df in (documents.limit(25), awkward.limit(25)):
+        for r in media.text_media(df.where("length(text) < 3000")).join(df.select("doc_id", "text").distinct(), "doc_id").collect():
+            data = r["text"].encode()
+            pixels = np.frombuffer(data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data)), np.uint8).reshape(-1, 24, 3)
+            tile, h = np.load(io.BytesIO(r["tile"])), len(pixels)
+            assert tile.shape == (8, 9, 3) and tile.dtype == "<u2" and (r["height"], r["width"], r["channels"]) == pixels.shape
+            mean = [[[sum(fy * fx * float(pixels[y, x, c]) for y, fy in share(h, 8, i) for x, fx in share(24, 9, j)) / (h * 24 / 72) for c in range(3)] for j in range(9)] for i in range(8)]
+            assert abs(tile - 64 * np.array(mean)).max() < 0.5001
+            total = tile.astype(int).sum(2)
+            assert int(r["feature"], 16) == int("".join(str(int(total[i, j + 1] > total[i, j])) for i in range(8) for j in range(8)), 2)
+
+
 def test_formats():
     rng = np.random.default_rng(2)
     for h, w in ((1, 1), (5, 7), (16, 24)):
@@ -499,8 +701,8 @@ def test_formats():
 def test_bad_images_have_nulls(spark):
     good = media.encode_netpbm(np.zeros((4, 4, 3), np.uint8))
     df = spark.createDataFrame([(1, 0, good), (2, 0, good[:-1]), (3, 0, b"BMxx"), (4, 0, b""), (5, 0, None)], "doc_id long, n_bytes long, media binary")
-    found = {r["doc_id"]: r for r in media.describe(df, tiles=True).collect()}
-    assert found[1]["payload_bytes"] == 48 and np.load(__import__("io").BytesIO(found[1]["tile"])).shape == (8, 8, 3)
+    found = {r["doc_id"]: r for r in media.describe(df).collect()}
+    assert found[1]["payload_bytes"] == 48 and np.load(__import__("io").BytesIO(found[1]["tile"])).shape == (8, 9, 3)
     assert all(found[i]["payload_bytes"] is None and found[i]["feature"] is None for i in (2, 3, 4, 5))
 
 
