@@ -169,15 +169,11 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     id_ = F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("id"))
     rows = df.select(id_.alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     order = materialise(neighbours(rows.select("__key", F.length("__text").alias("__n"), F.xxhash64("__text").alias("__hash"))), "neighbours")
-    # What a document sends to the one before; equal rows are combined before they are shuffled.
-    sent = (
-        rows.join(order, "__key")
-        .where(F.xxhash64("__text") == F.col("__least"))
-        .select(F.col("__before").alias("__key"), F.expr("substring(__text, 1, __take)").alias("__head"), F.expr(units("__text")).alias("__c"))
-        .groupBy("__key")
-        .agg(F.first(F.struct("__head", "__c")).alias("__next"))
-        .select("__key", "__next.*")
-    )
+    # What a document sends to the one before; equal rows are combined before they are shuffled. The hash is no
+    # condition of the join, so that both joins of the texts share one shuffle.
+    message = F.struct(F.expr("substring(__text, 1, __take)").alias("__head"), F.expr(units("__text")).alias("__c"))
+    linked = rows.join(order, "__key").select(F.col("__before").alias("__key"), F.when(F.xxhash64("__text") == F.col("__least"), message).alias("__sent"))
+    sent = linked.groupBy("__key").agg(F.first("__sent", ignorenulls=True).alias("__next")).select("__key", "__next.*")
     both = rows.join(sent, "__key").withColumn("__n", F.length("__text"))
     both = both.withColumn("__edited", F.expr("concat(substring(__text, 1, __n - __n div 2), substring(__head, 1, cast(__n div 2 as int)))"))
     both = both.select("__key", "__n", F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), F.expr(units("__text")).alias("__a"), F.expr(units("__edited")).alias("__b"), "__c")
