@@ -6,24 +6,31 @@ chunks (markers and what follows up to the next marker, or line breaks) that are
 segmented independently. Both properties are checked against the model when it is
 loaded.
 
-Texts are read in blocks of a bounded size. A block becomes one row: its distinct
-chunks, and of each text the positions of its chunks among these. The chunks of
-all blocks make one table, in which each distinct one is segmented and decoded
-once, on whatever worker; its entries are joined back to the blocks that asked for
-them, and every text is put together from its block's entries by position.
+Texts are read in blocks with a bounded number of distinct chunks. A first pass
+gives these, numbered in the order in which the block meets them; all blocks'
+chunks are dealt by the chunk and sorted, so that each distinct one is segmented
+and decoded once, on whatever worker, for all blocks that ask; and the answers are
+written to the shared folder, block by block. A second pass reads the same texts
+and a block's answers, and puts every text together from them by position. So
+neither texts nor positions are shuffled. An answer carries its chunk's checksum:
+should an input come in another order the second time, what does not fit is
+segmented where it is met.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import sentencepiece
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +41,7 @@ from lexiloom.plans.materialise import materialise
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
 PART = 1 << 16  # chunks of a long text that are handled at once
+BLOCK = 400_000  # distinct chunks after which a block ends, at the end of a batch
 
 
 class Segmenter:
@@ -84,33 +92,100 @@ class Positions(dict):
         return np.concatenate(parts)
 
 
-def read_blocks(source: DataFrame, keep: list[str]) -> DataFrame:
-    """(block, keep as arrays, chunks, places): a row of every block of rows of (keep, __text); places are positions, 16 or 32 bits wide."""
+def checksum(chunk: str) -> int:
+    return zlib.crc32(chunk.encode("utf-8", "surrogatepass"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        for block, batch in enumerate(batches, first):
-            known = Positions()
-            places = [known.of(t) for t in batch.column(len(keep)).to_pylist()]
-            width = "<u2" if len(known) <= 1 << 16 else "<u4"
-            whole = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
-            columns = [pa.array([block], pa.int64()), *[whole(c) for c in batch.columns[: len(keep)]]]
-            columns += [whole(pa.array(list(known), pa.string())), pa.array([int(width[2])], pa.int32()), whole(pa.array([p.astype(width).tobytes() for p in places], pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", *keep, "chunks", "width", "places"])
 
-    kinds = ", ".join(f"`{n}` array<{source.schema[n].dataType.simpleString()}>" for n in keep)
-    return source.mapInArrow(run, f"block long, {kinds}, chunks array<string>, width int, places array<binary>")
+class Blocks:
+    """Numbers the blocks of a partition, alike in both passes."""
 
+    def __init__(self):
+        self.block = TaskContext.get().partitionId() << 32
+        self.known = Positions()
 
-def segmented(chunks: DataFrame, model: str) -> DataFrame:
-    """(chunk, ids, n, decoded) of every distinct chunk, segmented once."""
+    def full(self) -> bool:
+        return len(self.known) >= BLOCK
+
+    def next(self) -> None:
+        self.block += 1
+        self.known = Positions()
+
+
+def asked(source: DataFrame, column: int) -> DataFrame:
+    """(block, at, chunk): the distinct chunks of every block of texts, numbered as the block meets them."""
+
+    def rows(blocks: Blocks, start: int) -> pa.RecordBatch:
+        fresh = pa.array(list(islice(blocks.known, start, None)), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(fresh), blocks.block)), pa.array(np.arange(start, start + len(fresh), dtype=np.int32)), fresh], names=["block", "at", "chunk"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks()
         for batch in batches:
-            ids, n, decoded = zip(*segmenter(model).segment(batch.column(0).to_pylist())) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.string()), pa.array(n, pa.int64()), pa.array(decoded, pa.string())], names=["chunk", "ids", "n", "decoded"])
+            start = len(blocks.known)
+            for text in batch.column(column).to_pylist():
+                blocks.known.of(text)
+            yield rows(blocks, start)
+            if blocks.full():
+                blocks.next()
+
+    return source.mapInArrow(run, "block long, at int, chunk string")
+
+
+ANSWERS = "block long, at int, sum long, ids string, decoded string"
 
-    return chunks.select("chunk").distinct().mapInArrow(run, "chunk string, ids string, n long, decoded string")
+
+def meeting(chunks: DataFrame) -> DataFrame:
+    """(block, at, chunk) with equal chunks one after another in one partition."""
+    return chunks.select("block", "at", "chunk").repartition("chunk").sortWithinPartitions("chunk")
+
+
+def segment_batches(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+    """ANSWERS of rows that ``meeting`` has brought together; each distinct chunk is segmented once.
+
+    ``ids`` are joined by commas; ``decoded`` is null where it is the chunk with spaces for markers.
+    """
+    last: dict[str, tuple] = {}
+    for batch in batches:
+        own = batch.column(2).to_pylist()
+        fresh = [c for c in dict.fromkeys(own) if c not in last]
+        made = zip(fresh, segmenter(model).segment(fresh)) if fresh else ()
+        known = last | {c: (checksum(c), ids, None if text == c.replace(MARK, " ") else text) for c, (ids, _, text) in made}
+        last = {c: known[c] for c in own[-1:]} or last
+        sums, ids, decoded = zip(*map(known.__getitem__, own)) if own else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["block", "at", "sum", "ids", "decoded"])
+
+
+def segmented(chunks: DataFrame, model: str) -> DataFrame:
+    return meeting(chunks).mapInArrow(lambda batches: segment_batches(batches, model), ANSWERS)
+
+
+class Entries:
+    """The answers for a block, by position: ids, their number and the decoded text of each chunk."""
+
+    def __init__(self, folder: str, block: int, model: str):
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        self.model, self.ids, self.decoded, self.sums = model, [], [], []
+        self.count = np.zeros(0, np.int64)
+        found = system.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True))
+        tables = [pq.read_table(f.path, filesystem=system, partitioning=None) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".parquet")]
+        if tables:
+            table = pa.concat_tables(tables).sort_by("at")
+            if table["at"].to_numpy().tolist() == list(range(table.num_rows)):
+                self.answers = {name: table[name].to_pylist() for name in ("sum", "ids", "decoded")}
+                return
+        self.answers = {"sum": [], "ids": [], "decoded": []}
+
+    def learn(self, known: Positions) -> None:
+        """Entries of the chunks met since."""
+        start = len(self.ids)
+        for at, chunk in enumerate(islice(known, start, None), start):
+            if at < len(self.answers["sum"]) and self.answers["sum"][at] == checksum(chunk):
+                ids, decoded = self.answers["ids"][at], self.answers["decoded"][at]
+            else:
+                ids, _, decoded = segmenter(self.model).segment([chunk])[0]
+            self.ids.append(ids)
+            self.decoded.append(chunk.replace(MARK, " ") if decoded is None else decoded)
+        self.count = np.concatenate([self.count, np.array([x.count(",") + 1 for x in self.ids[start:]], np.int64)])
 
 
 def digests(places: np.ndarray, ids: list[str], decoded: list[str]) -> tuple[str, str]:
@@ -128,38 +203,32 @@ def encode_decode(df: DataFrame, model: str, text: str = "text", keep: tuple[str
 
     A null text counts as empty and has no ids. Repeated rows stay, an empty
     table gives an empty result, and other columns of the table are not read. A
-    text of more than a block's size is a block of its own, read and put together
-    in parts.
+    very long text is read and put together in parts.
     """
     arrow_batches(df.sparkSession)
     inner = [f"__keep{i}" for i in range(len(keep))]
-    source = df.select(*[F.col(k).alias(n) for k, n in zip(keep, inner)], F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    blocks = materialise(read_blocks(source, inner), "blocks")
-    asked = blocks.select("block", F.posexplode("chunks").alias("at", "chunk"))
-    answered = asked.join(segmented(asked, model), "chunk").groupBy("block").agg(F.collect_list(F.struct("at", "ids", "n", "decoded")).alias("entries"))
-    joined = blocks.select("block", *inner, "width", "places").join(answered, "block", "left").select(*inner, "width", "places", "entries")
+    k = len(inner)
+    source = df.select(*[F.col(c).alias(n) for c, n in zip(keep, inner)], F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    folder = materialise(segmented(asked(source, k), model).repartition("block"), "chunks", "block")._lexiloom_path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(inner)
+        blocks, entries = Blocks(), None
         for batch in batches:
-            for row in range(batch.num_rows):
-                kept, found = [batch.column(i)[row].values for i in range(k)], batch.column(k + 2)[row].values
-                width = f"<u{batch.column(k)[row].as_py()}"
-                places = [np.frombuffer(p, width) for p in batch.column(k + 1)[row].as_py()]
-                if found is None:
-                    ids, decoded, count = [], [], np.zeros(0, np.int64)
-                else:
-                    order = pa.array(np.argsort(np.asarray(found.field("at"))))
-                    ids, decoded, count = found.field("ids").take(order).to_pylist(), found.field("decoded").take(order).to_pylist(), np.asarray(found.field("n").take(order))
-                made = [digests(p, ids, decoded) for p in places]
-                columns = [*kept, pa.array([int(count[p].sum()) for p in places], pa.int64()), pa.array([a for a, _ in made]), pa.array([b for _, b in made])]
-                names = [*inner, "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns.append(pa.array([[int(x) for at in p.tolist() for x in ids[at].split(",")] for p in places], pa.list_(pa.int32())))
-                    columns.append(pa.array(["".join(map(decoded.__getitem__, p.tolist()))[1:] for p in places], pa.string()))
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            entries = entries or Entries(folder, blocks.block, model)
+            places = [blocks.known.of(t) for t in batch.column(k).to_pylist()]
+            entries.learn(blocks.known)
+            made = [digests(p, entries.ids, entries.decoded) for p in places]
+            columns = [*batch.columns[:k], pa.array([int(entries.count[p].sum()) for p in places], pa.int64()), pa.array([a for a, _ in made], pa.string()), pa.array([b for _, b in made], pa.string())]
+            names = [*inner, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.array([[int(x) for at in p.tolist() for x in entries.ids[at].split(",")] for p in places], pa.list_(pa.int32())))
+                columns.append(pa.array(["".join(map(entries.decoded.__getitem__, p.tolist()))[1:] for p in places], pa.string()))
+                names += ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            if blocks.full():
+                blocks.next()
+                entries = None
 
     schema = [f"`{n}` {source.schema[n].dataType.simpleString()}" for n in inner] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
-    out = joined.mapInArrow(run, ", ".join(schema + ["ids array<int>", "decoded string"] * with_ids))
+    out = source.mapInArrow(run, ", ".join(schema + ["ids array<int>", "decoded string"] * with_ids))
     return out.withColumnsRenamed(dict(zip(inner, keep)))
