@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import io
+import json
 import random
 import re
 import time
@@ -14,6 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from lexiloom.plans.materialise import materialise
 from lexiloom.llm import iblt, language_id, media, packing, pieces, queries, sharding, simhash, token_counts, toxicity, warc
 from lexiloom.llm._shared import fold_of
 
@@ -511,13 +513,55 @@ def test_pieces_equal_the_library(documents, awkward, nothing):
     assert pieces.encode_decode(nothing, PIECES).count() == 0
 
 
-def test_each_distinct_chunk_is_segmented_once(documents):
-    source = documents.select(F.col("doc_id").alias("__keep0"), F.coalesce("text", F.lit("")).alias("__text")).repartition(7)
-    blocks = pieces.read_blocks(source, ["__keep0"])
-    asked = blocks.select(F.explode("chunks").alias("chunk"))
-    table = [r["chunk"] for r in pieces.segmented(asked, PIECES).collect()]
+def test_each_distinct_chunk_is_segmented_once(documents, tmp_path):
+    """Every call of the library is noted: no chunk is passed to it twice, and none is left for the second pass."""
+    source = documents.select(F.coalesce("text", F.lit("")).alias("__text")).repartition(7)
+    blocks = materialise(pieces.asked(source, 0), "asked")
+    asked, folder, model = pieces.meeting(blocks), str(tmp_path), PIECES
+
+    def count(batches):
+        import json as j
+        import os as o
+        import uuid
+
+        from lexiloom.llm import pieces as p
+
+        real = p.Segmenter.segment
+        p.Segmenter.segment = lambda self, some: (open(f"{folder}/{o.getpid()}-{uuid.uuid4().hex}", "w").write(j.dumps(some)), real(self, some))[1]
+        try:
+            yield from p.segment_batches(batches, model)
+        finally:
+            p.Segmenter.segment = real
+
+    found = asked.mapInArrow(count, pieces.ANSWERS).count()
+    seen = [c for f in tmp_path.iterdir() for c in json.loads(f.read_text())]
     every = {c for _, t in texts_of(documents) for c in pieces.CHUNK.findall(pieces.MARK + t.replace(" ", pieces.MARK) if t else "")}
-    assert len(table) == len(set(table)) and set(table) == every and asked.count() > len(table)
+    assert len(seen) == len(set(seen)) and set(seen) == every and found == blocks.count() > len(seen)
+
+
+def test_answers_that_do_not_fit_are_segmented_again(spark, tmp_path):
+    library = pieces.segmenter(PIECES)
+    known = pieces.Positions()
+    known.of("some words some more")
+    rows = [(0, at, pieces.checksum(c) + (at == 1), *library.segment([c])[0][::2]) for at, c in enumerate(known)]
+    spark.createDataFrame(rows, "block long, at int, sum long, ids string, decoded string").write.partitionBy("block").parquet(str(tmp_path / "t"))
+    for block in (0, 1):
+        entries = pieces.Entries(str(tmp_path / "t"), block, PIECES)
+        entries.learn(known)
+        assert [(a, b) for a, b in zip(entries.ids, entries.decoded)] == [library.segment([c])[0][::2] for c in known]
+
+
+def test_blocks_end_and_go_on(documents, monkeypatch):
+    class Task:
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr(pieces.TaskContext, "get", staticmethod(lambda: Task))
+    monkeypatch.setattr(pieces, "BLOCK", 5)
+    blocks = pieces.Blocks()
+    blocks.known.of("a b c d e f")
+    assert blocks.full() and blocks.block == 3 << 32
+    blocks.next()
+    assert blocks.block == (3 << 32) + 1 and not blocks.full()
 
 
 def test_pieces_of_long_texts_in_parts(spark, monkeypatch):
