@@ -10,9 +10,9 @@ Texts are read in blocks with a bounded number of distinct chunks. A first pass
 gives these, numbered in the order in which the block meets them; all blocks'
 chunks are dealt by the chunk and sorted, so that each distinct one is segmented
 and decoded once, on whatever worker, for all blocks that ask; and the answers are
-written to the shared folder, block by block. A second pass reads the same texts
-and a block's answers, and puts every text together from them by position. So
-neither texts nor positions are shuffled. An answer carries its chunk's checksum:
+packed and written to the shared folder, block by block. A second pass reads the
+same texts and a block's answers, and puts every text together from them by
+position. So neither texts nor positions are shuffled. An answer spells its chunk:
 should an input come in another order the second time, what does not fit is
 segmented where it is met.
 """
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -41,7 +40,8 @@ from lexiloom.plans.materialise import materialise
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n+")
 PART = 1 << 16  # chunks of a long text that are handled at once
-BLOCK = 400_000  # distinct chunks after which a block ends, at the end of a batch
+BLOCK = 1_000_000  # distinct chunks after which a block ends, at the end of a batch
+PACK = 1 << 19  # answers that are packed at once
 
 
 class Segmenter:
@@ -49,23 +49,38 @@ class Segmenter:
 
     def __init__(self, model: str):
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
-        pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size()) if not self.library.is_byte(i)]
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
+        ids = range(self.library.get_piece_size())
+        self.pieces = [self.library.id_to_piece(i) for i in ids]
+        if any(MARK in p.lstrip(MARK) or "\n" in p for i, p in zip(ids, self.pieces) if not self.library.is_byte(i)):
             raise ValueError("pieces of this model cross white space markers or line breaks")
         probe = "A  b ①ﬁ　é "
         if self.library.decode(self.library.encode(probe)) != probe:
             raise ValueError("this model normalises text, so chunks are not independent")
+        self.bytes = {i: int(self.pieces[i][1:-1], 16) for i in ids if self.library.is_byte(i)}
+        self.names = list(map(str, ids))
         self.head = self.library.encode("\n")  # the marker put before every text, and a line break
         self.cover = self.library.piece_to_id("a")
 
-    def segment(self, chunks: list[str]) -> list[tuple[str, int, str]]:
-        """Ids joined by commas, their number and the decoded text of each chunk. A line break before each keeps the library's own marker apart."""
+    def ids(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of each chunk. A line break before each keeps the library's own marker apart."""
         found = self.library.encode(["\n" + c for c in chunks], num_threads=1)
-        if any(x[: len(self.head)] != self.head for x in found):
+        n = len(self.head)
+        if any(x[:n] != self.head for x in found):
             raise AssertionError("a chunk's context changed its segmentation")
-        found = [x[len(self.head) :] for x in found]
-        decoded = self.library.decode([[self.cover, *x] for x in found], num_threads=1)
-        return [(",".join(map(str, x)), len(x), d[1:]) for x, d in zip(found, decoded)]
+        return [x[n:] for x in found]
+
+    def decoded(self, found: list[list[int]]) -> list[str]:
+        """What the ids of each chunk decode to behind other text."""
+        return [d[1:] for d in self.library.decode([[self.cover, *x] for x in found], num_threads=1)]
+
+    def spells(self, ids: list[int], chunk: str) -> bool:
+        """Whether the chunk is what the ids' pieces and bytes spell."""
+        if "".join([self.pieces[i] for i in ids]) == chunk:
+            return True
+        if self.bytes.keys().isdisjoint(ids):
+            return False
+        raw = b"".join(bytes([self.bytes[i]]) if i in self.bytes else self.pieces[i].encode() for i in ids)
+        return raw == chunk.encode("utf-8", "surrogatepass")
 
 
 @lru_cache(2)
@@ -92,10 +107,6 @@ class Positions(dict):
         return np.concatenate(parts)
 
 
-def checksum(chunk: str) -> int:
-    return zlib.crc32(chunk.encode("utf-8", "surrogatepass"))
-
-
 class Blocks:
     """Numbers the blocks of a partition, alike in both passes."""
 
@@ -131,7 +142,7 @@ def asked(source: DataFrame, column: int) -> DataFrame:
     return source.mapInArrow(run, "block long, at int, chunk string")
 
 
-ANSWERS = "block long, at int, sum long, ids string, decoded string"
+ANSWERS = "block long, n array<int>, packed binary, odd array<struct<at:int,text:string>>"
 
 
 def meeting(chunks: DataFrame) -> DataFrame:
@@ -139,20 +150,55 @@ def meeting(chunks: DataFrame) -> DataFrame:
     return chunks.select("block", "at", "chunk").repartition("chunk").sortWithinPartitions("chunk")
 
 
+def packed(at: np.ndarray, size: np.ndarray, ids: np.ndarray) -> bytes:
+    """Answers of a block: positions (ascending), numbers of ids, and ids."""
+    return pa.Codec("zstd").compress(np.diff(at, prepend=0).astype("<u4").tobytes() + size.astype("<u4").tobytes() + ids.astype("<u4").tobytes(), asbytes=True)
+
+
+def unpacked(data: bytes, n: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values = np.frombuffer(pa.Codec("zstd").decompress(data, decompressed_size=4 * (2 * n + total), asbytes=True), "<u4")
+    return np.cumsum(values[:n], dtype=np.int64), values[n : 2 * n].astype(np.int64), values[2 * n :]
+
+
 def segment_batches(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     """ANSWERS of rows that ``meeting`` has brought together; each distinct chunk is segmented once.
 
-    ``ids`` are joined by commas; ``decoded`` is null where it is the chunk with spaces for markers.
+    Answers are gathered up to PACK and packed by block; ``odd`` holds what
+    decodes to another text than the chunk with spaces for markers.
     """
-    last: dict[str, tuple] = {}
+    last: dict[str, tuple[list[int], str | None]] = {}
+    blocks, places, entries, held = [], [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        block, at = np.concatenate(blocks), np.concatenate(places)
+        order = np.lexsort((at, block))
+        heads = np.flatnonzero(np.diff(block[order], prepend=-1))
+        sizes = np.array([len(e[0]) for e in entries])
+        rows = ([], [], [], [])
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)]):
+            mine = order[a:b].tolist()
+            ids = np.array([i for k in mine for i in entries[k][0]], np.uint32)
+            for column, value in zip(rows, (int(block[mine[0]]), [len(mine), len(ids)], packed(at[mine], sizes[mine], ids), [{"at": int(at[k]), "text": entries[k][1]} for k in mine if entries[k][1] is not None])):
+                column.append(value)
+        kinds = (pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())])))
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(rows, kinds)], names=["block", "n", "packed", "odd"])
+
     for batch in batches:
         own = batch.column(2).to_pylist()
         fresh = [c for c in dict.fromkeys(own) if c not in last]
-        made = zip(fresh, segmenter(model).segment(fresh)) if fresh else ()
-        known = last | {c: (checksum(c), ids, None if text == c.replace(MARK, " ") else text) for c, (ids, _, text) in made}
+        ids = segmenter(model).ids(fresh) if fresh else []
+        texts = segmenter(model).decoded(ids) if fresh else []
+        known = last | {c: (x, None if text == c.replace(MARK, " ") else text) for c, x, text in zip(fresh, ids, texts)}
         last = {c: known[c] for c in own[-1:]} or last
-        sums, ids, decoded = zip(*map(known.__getitem__, own)) if own else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["block", "at", "sum", "ids", "decoded"])
+        blocks.append(np.asarray(batch.column(0)))
+        places.append(np.asarray(batch.column(1)))
+        entries += map(known.__getitem__, own)
+        held += len(own)
+        if held >= PACK:
+            yield flush()
+            blocks, places, entries, held = [], [], [], 0
+    if held:
+        yield flush()
 
 
 def segmented(chunks: DataFrame, model: str) -> DataFrame:
@@ -164,28 +210,44 @@ class Entries:
 
     def __init__(self, folder: str, block: int, model: str):
         system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        self.model, self.ids, self.decoded, self.sums = model, [], [], []
+        self.model, self.ids, self.decoded = model, [], []
         self.count = np.zeros(0, np.int64)
+        self.starts, self.flat, self.odd = np.full(1, 0), np.zeros(0, np.uint32), {}
         found = system.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True))
-        tables = [pq.read_table(f.path, filesystem=system, partitioning=None) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".parquet")]
-        if tables:
-            table = pa.concat_tables(tables).sort_by("at")
-            if table["at"].to_numpy().tolist() == list(range(table.num_rows)):
-                self.answers = {name: table[name].to_pylist() for name in ("sum", "ids", "decoded")}
-                return
-        self.answers = {"sum": [], "ids": [], "decoded": []}
+        at, size, flat = [], [], []
+        for f in found:
+            if not f.path.endswith(".parquet"):
+                continue
+            for row in pq.read_table(f.path, filesystem=system, partitioning=None).to_pylist():
+                for part, values in zip((at, size, flat), unpacked(row["packed"], *row["n"])):
+                    part.append(values)
+                self.odd |= {x["at"]: x["text"] for x in row["odd"]}
+        if at:
+            at, size, flat = map(np.concatenate, (at, size, flat))
+            order = np.argsort(at, kind="stable")
+            if (at[order] == np.arange(len(at))).all():
+                begin = np.cumsum(size) - size
+                # The flat ids, dealt again in the order of their positions.
+                self.starts = np.concatenate([[0], np.cumsum(size[order])]).astype(np.int64)
+                self.flat = flat[np.repeat(begin[order] - self.starts[:-1], size[order]) + np.arange(len(flat))]
 
     def learn(self, known: Positions) -> None:
         """Entries of the chunks met since."""
-        start = len(self.ids)
-        for at, chunk in enumerate(islice(known, start, None), start):
-            if at < len(self.answers["sum"]) and self.answers["sum"][at] == checksum(chunk):
-                ids, decoded = self.answers["ids"][at], self.answers["decoded"][at]
+        library, start = segmenter(self.model), len(self.ids)
+        fresh = list(islice(known, start, None))
+        have = max(0, min(len(fresh), len(self.starts) - 1 - start))
+        flat, at = self.flat[self.starts[start] : self.starts[start + have]].tolist() if have else [], (self.starts[start : start + have + 1] - self.starts[start]).tolist() if have else [0]
+        names, counts = library.names, []
+        for k, chunk in enumerate(fresh):
+            ids = flat[at[k] : at[k + 1]] if k < have else None
+            if ids is None or not library.spells(ids, chunk):
+                (ids,) = library.ids([chunk])
+                self.decoded += library.decoded([ids])
             else:
-                ids, _, decoded = segmenter(self.model).segment([chunk])[0]
-            self.ids.append(ids)
-            self.decoded.append(chunk.replace(MARK, " ") if decoded is None else decoded)
-        self.count = np.concatenate([self.count, np.array([x.count(",") + 1 for x in self.ids[start:]], np.int64)])
+                self.decoded.append(self.odd.get(start + k) or chunk.replace(MARK, " "))
+            self.ids.append(",".join([names[i] for i in ids]))
+            counts.append(len(ids))
+        self.count = np.concatenate([self.count, np.array(counts, np.int64)])
 
 
 def digests(places: np.ndarray, ids: list[str], decoded: list[str]) -> tuple[str, str]:
