@@ -526,29 +526,34 @@ def test_each_distinct_chunk_is_segmented_once(documents, tmp_path):
 
         from lexiloom.llm import pieces as p
 
-        real = p.Segmenter.segment
-        p.Segmenter.segment = lambda self, some: (open(f"{folder}/{o.getpid()}-{uuid.uuid4().hex}", "w").write(j.dumps(some)), real(self, some))[1]
+        real = p.Segmenter.ids
+        p.Segmenter.ids = lambda self, some: (open(f"{folder}/{o.getpid()}-{uuid.uuid4().hex}", "w").write(j.dumps(some)), real(self, some))[1]
         try:
             yield from p.segment_batches(batches, model)
         finally:
-            p.Segmenter.segment = real
+            p.Segmenter.ids = real
 
-    found = asked.mapInArrow(count, pieces.ANSWERS).count()
+    found = asked.mapInArrow(count, pieces.ANSWERS).agg(F.sum(F.col("n")[0])).first()[0]
     seen = [c for f in tmp_path.iterdir() for c in json.loads(f.read_text())]
     every = {c for _, t in texts_of(documents) for c in pieces.CHUNK.findall(pieces.MARK + t.replace(" ", pieces.MARK) if t else "")}
     assert len(seen) == len(set(seen)) and set(seen) == every and found == blocks.count() > len(seen)
 
 
-def test_answers_that_do_not_fit_are_segmented_again(spark, tmp_path):
-    library = pieces.segmenter(PIECES)
-    known = pieces.Positions()
-    known.of("some words some more")
-    rows = [(0, at, pieces.checksum(c) + (at == 1), *library.segment([c])[0][::2]) for at, c in enumerate(known)]
-    spark.createDataFrame(rows, "block long, at int, sum long, ids string, decoded string").write.partitionBy("block").parquet(str(tmp_path / "t"))
-    for block in (0, 1):
-        entries = pieces.Entries(str(tmp_path / "t"), block, PIECES)
+def test_answers_that_do_not_fit_are_segmented_again(spark, monkeypatch):
+    library, known = pieces.segmenter(PIECES), pieces.Positions()
+    known.of("some words some more \n\n é日 <s> \x00 ①")
+    chunks = list(known)
+    ids = library.ids(chunks)
+    rows = [(0, at, "other" if at == 1 else c) for at, c in enumerate(chunks)] + [(2, at, c) for at, c in enumerate(chunks[:3])]
+    table = materialise(pieces.segmented(spark.createDataFrame(rows, "block long, at int, chunk string"), PIECES), "answers", "block")
+    asked = []
+    monkeypatch.setattr(pieces.Segmenter, "ids", lambda self, some, f=pieces.Segmenter.ids: (asked.extend(some), f(self, some))[1])
+    for block, wrong in ((0, [chunks[1]]), (1, chunks), (2, chunks[3:])):
+        entries = pieces.Entries(table._lexiloom_path, block, PIECES)
         entries.learn(known)
-        assert [(a, b) for a, b in zip(entries.ids, entries.decoded)] == [library.segment([c])[0][::2] for c in known]
+        assert entries.ids == [",".join(map(str, x)) for x in ids] and entries.decoded == library.decoded(ids) and entries.count.tolist() == list(map(len, ids))
+        assert asked == wrong
+        asked.clear()
 
 
 def test_blocks_end_and_go_on(documents, monkeypatch):
@@ -567,7 +572,8 @@ def test_blocks_end_and_go_on(documents, monkeypatch):
 def test_pieces_of_long_texts_in_parts(spark, monkeypatch):
     known, text = pieces.Positions(), "  Some words\n\nand ▁ more, é 日本 " * 30
     whole = known.of(text)
-    ids, decoded = ([x[k] for x in pieces.segmenter(PIECES).segment(list(known))] for k in (0, 2))
+    found = pieces.segmenter(PIECES).ids(list(known))
+    ids, decoded = [",".join(map(str, x)) for x in found], pieces.segmenter(PIECES).decoded(found)
     made = pieces.digests(whole, ids, decoded)
     monkeypatch.setattr(pieces, "PART", 7)
     assert (pieces.Positions().of(text) == whole).all() and pieces.digests(whole, ids, decoded) == made
