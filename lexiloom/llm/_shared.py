@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def arrow_batches(spark: SparkSession, rows: int = 2000, bytes_: int = 8 << 20) -> None:
-    """Bound what one Arrow batch holds, whatever the length of its texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(bytes_))
+    """Bound what one Arrow batch holds, whatever the length of its texts. A session's smaller bounds stay as they are."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", bytes_)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,14 +12,15 @@ partitions by construction. Pieces in the order of rounds, cut where a window is
 full, fill every window but the last.
 
 Running totals are taken in two levels: rows fall into blocks (of the hash, then
-of rounds), blocks' sums are added up, and each block counts on from there. The
-number of blocks of a level is bounded, their rows are evenly many whatever the
-sources' sizes, and only ids and counts take part; token ids are written once
+of rounds), blocks' sums are added up, and each block counts on from there.
+Blocks grow in number with the rows, a block's rows are about as many whatever
+the sources' sizes, and only ids and counts take part; token ids are written once
 and meet their places by one join.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -44,7 +45,7 @@ PLAIN = re.compile("[^\0-ɏ]")
 NO_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, signs to the pattern
 MAX_WORDS, LONGEST = 600_000, 48
 PART = 1 << 20
-HASH_BLOCKS, ROUND_BLOCKS = 1024, 1024
+PER_BLOCK = 50_000  # rows of a block of the hash
 
 
 class RunTable(dict):
@@ -79,6 +80,13 @@ class WordTable(dict):
         self.letters = {byte: letter for letter, byte in byte_letters().items()}
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.check()
+
+    def check(self) -> None:
+        """This file splits as SPLIT says; another one would be counted wrongly."""
+        probe = "It's WE'LL o're 12,345.6 a_b x\u00a0y ñandú's日本 --!? \t\n (ab)cd' 'd"
+        if self.library.encode(probe, add_special_tokens=False).ids != np.frombuffer(self.plain(probe), "<u2").tolist():
+            raise ValueError("this tokenizer splits texts by another pattern")
 
     def raw(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -143,29 +151,29 @@ def schedule(rows: DataFrame, window: int = WINDOW, shares: dict[str, float] | N
 
     ``key`` must be unique. ``shares`` are the target proportions by source; by
     default the sources' own token proportions, so that all queues end together.
-    Sources without a share follow when the others' rounds are over.
+    Sources without a share follow when the others' rounds are over, in their own
+    token proportions.
     """
     source = F.coalesce(F.col("source"), F.lit(""))
-    rows = rows.withColumn("source", source).withColumn("__block", F.pmod(F.xxhash64("key"), F.lit(HASH_BLOCKS)))
-    queued = running_total(rows, ["source"], "__block", [F.xxhash64("key", F.lit(1)), F.col("key")], "n_ids", "__queue")
-    totals = rows.groupBy("source").agg(F.sum("n_ids").alias("__tokens"))
-    all_ = totals.agg(F.coalesce(F.sum("__tokens"), F.lit(0))).first()[0]
-    rounds = max(1, -(-int(all_) // window))
-    if shares:
-        given = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("source")]
-        credit = F.when(given > 0, given * F.lit(float(window)))
-    else:
-        credit = F.col("__tokens") * F.lit(float(window)) / F.lit(float(max(1, all_)))
+    rows = rows.withColumn("source", source)
+    totals = rows.groupBy("source").agg(F.sum("n_ids").alias("__tokens"), F.count("*").alias("__rows"))
+    given = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("source")] if shares else F.lit(None).cast("double")
+    totals = totals.withColumn("__given", F.when(given > 0, given * F.lit(float(window))))
+    free = F.col("__given").isNull()
+    n, rest, after = totals.agg(F.coalesce(F.sum("__rows"), F.lit(0)), F.coalesce(F.sum(F.when(free, F.col("__tokens"))), F.lit(0)), F.coalesce(F.max(F.ceil(F.col("__tokens") / F.col("__given"))), F.lit(0))).first()
+    rounds = int(after) + -(-int(rest) // window)
     # Credit covers whole tokens: by rounds, or token by token where a round has less than one.
-    timed = queued.join(totals, "source").withColumn("__credit", credit).withColumn("__end", F.col("__queue") + F.col("n_ids"))
-    pieces = """case when __credit is null then array(struct(0L as at, n_ids as n, {last}L as round))
-        when __credit >= 1 then filter(transform(sequence(greatest(1L, cast(floor(__queue / __credit) as long)), cast(ceil(__end / __credit) as long) + 1),
+    timed = totals.select("source", F.coalesce("__given", F.col("__tokens") * F.lit(float(window)) / F.lit(float(max(1, rest)))).alias("__credit"), F.when(free, F.lit(int(after))).otherwise(F.lit(0)).cast("long").alias("__after"))
+    blocks = max(1, int(n) // PER_BLOCK)
+    queued = running_total(rows.withColumn("__block", F.pmod(F.xxhash64("key"), F.lit(blocks))), ["source"], "__block", [F.xxhash64("key", F.lit(1)), F.col("key")], "n_ids", "__queue")
+    timed = queued.join(timed, "source").withColumn("__end", F.col("__queue") + F.col("n_ids"))
+    pieces = """case when __credit >= 1 then filter(transform(sequence(greatest(1L, cast(floor(__queue / __credit) as long)), cast(ceil(__end / __credit) as long) + 1),
             r -> struct(greatest(cast(floor((r - 1) * __credit + 1e-9) as long), __queue) - __queue as at,
                 least(cast(floor(r * __credit + 1e-9) as long), __end) - greatest(cast(floor((r - 1) * __credit + 1e-9) as long), __queue) as n, r as round)), p -> p.n > 0)
         else transform(sequence(0L, n_ids - 1), k -> struct(k as at, 1L as n, cast(ceil((__queue + k + 1) / __credit - 1e-9) as long) as round)) end"""
-    timed = timed.withColumn("p", F.explode(F.expr(pieces.format(last=1 << 40)))).select("key", "source", (F.col("__queue") + F.col("p.at")).alias("__queue"), "p.at", F.col("p.n").alias("n_ids"), "p.round")
-    wide = -(-rounds // ROUND_BLOCKS)
-    timed = timed.withColumn("__block", F.least(F.floor((F.col("round") - 1) / F.lit(wide)), F.lit(4 * ROUND_BLOCKS)).cast("long"))
+    timed = timed.withColumn("p", F.explode(F.expr(pieces))).select("key", "source", (F.col("__queue") + F.col("p.at")).alias("__queue"), "p.at", F.col("p.n").alias("n_ids"), (F.col("__after") + F.col("p.round")).alias("round"))
+    # As many blocks of rounds as rounds in a block, so that neither grows faster than the root of their number.
+    timed = timed.withColumn("__block", F.floor((F.col("round") - 1) / F.lit(max(1, math.isqrt(rounds)))).cast("long"))
     placed = running_total(timed.withColumn("__all", F.lit(0)), ["__all"], "__block", [F.col("round"), F.col("source"), F.col("__queue"), F.col("key")], "n_ids", "start")
     return placed.select("key", "source", "at", "n_ids", "round", "start")
 
