@@ -675,6 +675,30 @@ def test_given_shares(spark):
     assert abs(early["a"] / 1000 - 0.75) < 0.03
 
 
+def test_sources_without_a_share_follow(spark):
+    """In their own proportions, and not as one lump."""
+    rng = random.Random(3)
+    rows = [(i, "abcd"[i % 4], rng.randint(1, 40)) for i in range(2000)]
+    found = packing.schedule(spark.createDataFrame(rows, "key long, source string, n_ids long"), window=100, shares={"a": 0.5, "b": 0.5, "z": 1.0}).orderBy("start").collect()
+    assert [r["start"] for r in found] == [0, *np.cumsum([r["n_ids"] for r in found])[:-1].tolist()]
+    last = max(i for i, r in enumerate(found) if r["source"] in "ab")
+    first = min(i for i, r in enumerate(found) if r["source"] in "cd")
+    assert last < first and sum(r["n_ids"] for r in found) == sum(n for _, _, n in rows)
+    cells = collections.defaultdict(collections.Counter)
+    for r in found[first:]:
+        for t in range(r["start"] - found[first]["start"], r["start"] - found[first]["start"] + r["n_ids"]):
+            cells[t // 100][r["source"]] += 1
+    assert all(abs(c["c"] - c["d"]) <= 12 for w, c in cells.items() if w < max(cells))
+
+
+def test_another_split_is_refused(monkeypatch):
+    import regex
+
+    monkeypatch.setattr(packing, "SPLIT", regex.compile(r"\S+"))
+    with pytest.raises(ValueError):
+        packing.WordTable(WORD_BPE)
+
+
 # 8 WARC
 
 
