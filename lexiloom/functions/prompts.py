@@ -71,10 +71,10 @@ def verifier_user(word: str, feature_id: str, text: str, value: str) -> Column:
     return F.to_json(F.struct(_c(word).alias("word"), _c(feature_id).alias("feature_id"), _c(text).alias("feature"), F.format_string("%.2f", _c(value)).alias("rating")))
 
 
-def adjudicator_user(word: str, text: str, votes: str) -> Column:
+def adjudicator_user(word: str, feature_id: str, text: str, votes: str) -> Column:
     """The votes of ``votes`` (array of judge, value, confidence), one a line."""
     lines = F.transform(_c(votes), lambda v: F.concat(v["judge"], F.lit(": "), F.when(v["value"].isNull(), "none").otherwise(F.format_string("%.2f", v["value"])), F.lit(" (confidence "), F.format_string("%.2f", v["confidence"]), F.lit(")")))
-    return F.concat_ws("\n", F.concat(F.lit("Thing: "), _c(word)), F.concat(F.lit("Property: "), _c(text)), F.array_join(lines, "\n"))
+    return F.concat_ws("\n", F.concat(F.lit("Thing: "), _c(word)), F.concat(F.lit("Property "), _c(feature_id).cast("string"), F.lit(": "), _c(text)), F.array_join(lines, "\n"))
 
 
 def leaks(message: str | Column) -> Column:

@@ -65,11 +65,36 @@ def normalize_exact(df: DataFrame, column: str, out: str) -> DataFrame:
         return s.map(_python_normalize)
 
     known = F.regexp_replace(F.coalesce(_c(column), F.lit("")), KNOWN, "") == ""
-    return df.where(known).withColumn(out, normalize_word(column)).unionByName(df.where(~known).withColumn(out, slow(column)))
+    # One pass: of most rows Python sees a null only.
+    hard = df.withColumn("__slow", slow(F.when(~known, _c(column))))
+    return hard.withColumn(out, F.when(known, normalize_word(column)).otherwise(F.col("__slow"))).drop("__slow")
+
+
+@lru_cache(1)
+def casefold_table() -> tuple[str, str, dict[str, str]]:
+    """What case folding changes in lower-case text: characters, what each becomes, and those that become several.
+
+    By the rule of Unicode's case folding, as str.casefold() has it.
+    """
+    single, several = {}, {}
+    for cp in range(0x110000):
+        ch = chr(cp)
+        folded = ch.casefold()
+        if folded != ch and ch.lower() == ch:
+            (single if len(folded) == 1 else several)[ch] = folded
+    return "".join(single), "".join(single.values()), several
 
 
 def casefold(x: str | Column) -> Column:
-    return F.replace(F.lower(_c(x)), F.lit("ß"), F.lit("ss"))
+    """Full case folding. Few texts hold characters for which it is more than lower case and the German sharp s."""
+    singles, folded, several = casefold_table()
+    low = F.replace(F.lower(_c(x)), F.lit("ß"), F.lit("ss"))
+    rest = {ch: to for ch, to in several.items() if ch != "ß"}
+    full = F.translate(low, singles, folded)
+    for ch, to in rest.items():
+        full = F.replace(full, F.lit(ch), F.lit(to))
+    special = "[" + "".join(f"\\x{{{ord(ch):X}}}" for ch in (*singles, *rest)) + "]"
+    return F.when(F.regexp_like(low, F.lit(special)), full).otherwise(low)
 
 
 def normalize_feature(x: str | Column) -> Column:

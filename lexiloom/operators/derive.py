@@ -56,12 +56,15 @@ def counters(log: DataFrame, variant: str, keys: Sequence[str], *seq: str, error
     return rows.join(last, variant).withColumn("failed", F.col("responses") - F.col("valid"))
 
 
-def revalidate(log: DataFrame, keys: Sequence[str], *seq: str) -> DataFrame:
+def revalidate(log: DataFrame, keys: Sequence[str], *seq: str, word: str = "word") -> DataFrame:
     """Rows to append for responses whose last row is an error but whose raw text now parses.
 
     Nothing is changed in place; the appended rows carry the next ingest_seq of
     their response, so that they are the last ones.
     """
     failed = latest(log, keys, *seq).where(F.coalesce("parse_error", F.lit("")) != "")
-    checked = failed.withColumn("__v", validate_generation(F.col("raw_json"), F.col("word")))
-    return checked.where("__v.parse_error = ''").withColumns({"features": F.col("__v.record.features"), "parse_error": F.lit(""), "ingest_seq": F.col("ingest_seq") + 1}).drop("__v")
+    checked = failed.withColumn("__v", validate_generation(F.col("raw_json"), F.col(word)))
+    fixed = {"features": F.col("__v.record.features"), "parse_error": F.lit(""), "ingest_seq": F.col("ingest_seq") + 1}
+    if "n_features" in log.columns:
+        fixed["n_features"] = F.size("__v.record.features")
+    return checked.where("__v.parse_error = ''").withColumns(fixed).drop("__v")

@@ -2,9 +2,9 @@
 
 Undefined ratios follow each metric's own convention: precision, recall and F1
 of ``confusion`` are 0.0, those of ``verification_delta`` NaN, correlations of a
-constant NaN. Means over pairs of vectors come from sums of vectors and their
-products, so no pairs are listed for them; neighbours and rank correlations of
-all pairs go block by block.
+constant NaN. Means and linear correlations over pairs of vectors come from sums
+of vectors and their products, so no pairs are listed for them; neighbours and
+rank correlations of all pairs go block by block.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
+from lexiloom.plans.materialise import materialise
 from lexiloom.plans.running import average_ranks, running
 
 THRESHOLDS = (1.0, 1.5, 2.0, 2.5, 3.0)
@@ -101,15 +103,35 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(pearson("__x", "__y").alias("spearman"))
 
 
+def median(df: DataFrame, value: str) -> DataFrame:
+    """The exact median of a column's values that are not null, one row; null without any.
+
+    Equal values are combined before they are ordered, and no task sees them all.
+    """
+    each = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    ends = running(each, [F.col("v")], {"end": F.col("n")})
+    total = ends.agg(F.sum("n").alias("total"))
+    half = F.floor(F.col("total") / 2)
+    middle = lambda at: F.min(F.when((F.col("end") > at) & (F.col("end") - F.col("n") <= at), F.col("v")))
+    return ends.crossJoin(total).agg(((middle(F.floor((F.col("total") - 1) / 2)) + middle(half)) / 2).alias("median"))
+
+
 def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _ranks(vectors: pd.Series) -> pd.Series:
+    """Ranks of each vector's entries from 1, ties sharing the mean of theirs; each vector is sorted once."""
+    def ranks(v: np.ndarray) -> np.ndarray:
+        _, place, n = np.unique(v, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - (n - 1) / 2)[place]
+
+    return vectors.map(lambda v: None if v is None else ranks(np.asarray(v, float)))
+
+
 def word_metrics(vectors: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """Adds cosine, Pearson and Spearman of the two vectors of every row."""
-    def ranks(v: str) -> Column:
-        return F.transform(F.col(v), lambda x: F.size(F.filter(F.col(v), lambda y: y < x)) + (F.size(F.filter(F.col(v), lambda y: y == x)) + 1) / 2)
-
     def corr(a: str, b: str) -> Column:
         n = F.size(a).cast("double")
         total = lambda v: F.aggregate(F.col(v), F.lit(0.0), lambda s, x: s + x)
@@ -118,10 +140,17 @@ def word_metrics(vectors: DataFrame, gold: str = "gold", pred: str = "pred") ->
         return F.when((va > EPS) & (vb > EPS), cov / F.sqrt(va * vb)).otherwise(F.lit(NAN))
 
     out = vectors.withColumns({"__g": F.col(gold).cast("array<double>"), "__p": F.col(pred).cast("array<double>")})
-    out = out.withColumns({"__rg": ranks("__g"), "__rp": ranks("__p")})
+    out = out.withColumns({"__rg": _ranks("__g"), "__rp": _ranks("__p")})
     return out.withColumns({"cosine": _dot("__g", "__p") / (F.sqrt(_dot("__g", "__g")) * F.sqrt(_dot("__p", "__p")) + EPS), "pearson": corr("__g", "__p"), "spearman": corr("__rg", "__rp")}).drop("__g", "__p", "__rg", "__rp")
 
 
+def cosines(vectors: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """Adds cosine of the two vectors of every row, and n_gold and n_pred, how many entries of each are positive."""
+    positive = lambda v: F.size(F.filter(F.col(v), lambda x: x > 0))
+    norm = lambda v: F.sqrt(_dot(v, v)) + EPS
+    return vectors.withColumns({"cosine": _dot(gold, pred) / (norm(gold) * norm(pred)), "n_gold": positive(gold), "n_pred": positive(pred)})
+
+
 def top_positions(vector: str, k: int) -> Column:
     """Positions of the ``k`` largest entries, ties to the higher position."""
     pairs = F.transform(F.col(vector), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
@@ -133,18 +162,27 @@ def topk_recall(vectors: DataFrame, k: int = 10, gold: str = "gold", pred: str =
     return vectors.withColumn("topk_recall", F.size(F.array_intersect(top_positions(gold, k), top_positions(pred, k))) / k)
 
 
-def category_similarity(vectors: DataFrame, category: str, vector: str) -> DataFrame:
+def _unit(vector: str) -> Column:
+    """The vector at length one; its norm is computed once."""
+    return F.transform(F.array(F.col(vector).cast("array<double>")), lambda v: F.transform(F.array(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)) + EPS), lambda n: F.transform(v, lambda x: x / n))[0])[0]
+
+
+def category_similarity(vectors: DataFrame, category: str, vector: str, most: int = 10_000) -> DataFrame:
     """Mean cosine over the pairs of each two categories (and within each), with the number of pairs.
 
     Of unit vectors u, the cosines of all pairs of two groups add up to the
     product of the groups' sums; within a group, pairs of a vector with itself
-    are taken out. Only categories meet, as sums.
+    are taken out. Every two categories meet, as one sum vector each; more than
+    ``most`` categories are an error.
     """
-    unit = vectors.withColumn("__v", F.col(vector).cast("array<double>"))
-    unit = unit.withColumn("__v", F.transform("__v", lambda x: x / (F.sqrt(_dot("__v", "__v")) + EPS)))
-    parts = unit.select(F.coalesce(F.col(category).cast("string"), F.lit("unknown")).alias("c"), F.posexplode("__v").alias("i", "x")).groupBy("c", "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
-    other = parts.select(F.col("c").alias("d"), "i", F.col("s").alias("t"), F.col("n").alias("m"))
-    both = parts.join(other, "i").where("c <= d").groupBy("c", "d").agg(F.sum(F.col("s") * F.col("t")).alias("st"), F.sum("q").alias("qq"), F.max("n").alias("n"), F.max("m").alias("m"))
+    unit = vectors.select(F.coalesce(F.col(category).cast("string"), F.lit("unknown")).alias("c"), _unit(vector).alias("u"))
+    parts = unit.select("c", F.posexplode("u").alias("i", "x")).groupBy("c", "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
+    ordered = F.sort_array(F.collect_list(F.struct("i", "s")))
+    sums = materialise(parts.groupBy("c").agg(F.transform(ordered, lambda p: p["s"]).alias("s"), F.sum("q").alias("qq"), F.max("n").alias("n")), "categories")
+    if (n := sums.count()) > most:
+        raise ValueError(f"{n} categories are more than the {most} of which every two may meet")
+    other = sums.select(F.col("c").alias("d"), F.col("s").alias("t"), F.col("n").alias("m"))
+    both = sums.crossJoin(F.broadcast(other)).where("c <= d").withColumn("st", _dot("s", "t"))
     same = F.col("c") == F.col("d")
     pairs = F.when(same, F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("m"))
     total = F.when(same, (F.col("st") - F.col("qq")) / 2).otherwise(F.col("st"))
@@ -152,10 +190,82 @@ def category_similarity(vectors: DataFrame, category: str, vector: str) -> DataF
 
 
 def category_separation(similarity: DataFrame) -> DataFrame:
-    """Mean similarity within categories, between them, and their difference; all pairs count alike."""
+    """Mean similarity within categories, between them, and their difference; all pairs count alike.
+
+    Nulls where there are fewer than four items, or fewer than two categories of two or more.
+    """
     within, weight = F.col("category_a") == F.col("category_b"), F.col("n_pairs") * F.col("mean_similarity")
     mean = lambda on: F.try_divide(F.sum(F.when(on, weight)), F.sum(F.when(on, F.col("n_pairs")).cast("double")))
-    return similarity.agg(mean(within).alias("within_similarity"), mean(~within).alias("between_similarity")).withColumn("separation", F.col("within_similarity") - F.col("between_similarity"))
+    # A category of n items has n (n - 1) / 2 pairs of its own.
+    size = F.round((1 + F.sqrt(1 + 8 * F.col("n_pairs"))) / 2)
+    out = similarity.agg(mean(within).alias("w"), mean(~within).alias("b"), F.sum(F.when(within, size)).alias("items"), F.count_if(within & (F.col("n_pairs") > 0)).alias("eligible"))
+    given = lambda c: F.when((F.col("items") >= 4) & (F.col("eligible") >= 2) & F.col("w").isNotNull() & F.col("b").isNotNull(), c)
+    return out.select(given(F.col("w")).alias("within_similarity"), given(F.col("b")).alias("between_similarity"), given(F.col("w") - F.col("b")).alias("separation"))
+
+
+def _gram(vectors: DataFrame, left: str, right: str) -> DataFrame:
+    """(i, j, x): the sum over rows of the products of entries of two unit vectors; every task adds up its rows first."""
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                one = np.stack(pdf["l"]).T @ np.stack(pdf["r"])
+                total = one if total is None else total + one
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "x": total.ravel()})
+
+    rows = vectors.select(_unit(left).alias("l"), _unit(right).alias("r"))
+    return rows.mapInPandas(add, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x"))
+
+
+def pairwise_pearson(vectors: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """Correlation, over all pairs of rows, of their cosine in one set of vectors with that in the other; NaN if either is constant.
+
+    The sums over pairs follow from the vectors' sum and from sums of products of
+    their entries (their number is the square of the dimension), so no pair is listed.
+    """
+    total = lambda a, b, name: _gram(vectors, a, b).agg(F.sum(F.col("x") * F.col("x")).alias(name))
+    units = vectors.select(_unit(gold).alias("g"), _unit(pred).alias("p"))
+    own = units.agg(F.count("*").alias("n"), *[F.sum(f(a, b)).alias(f"{a}{b}{k}") for a, b in (("g", "g"), ("p", "p"), ("g", "p")) for k, f in ((2, lambda a, b: _dot(a, a) * _dot(b, b)), (1, lambda a, b: _dot(a, b)))])
+    side = lambda v, name: units.select(F.posexplode(v).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias(name))
+    all_ = own.crossJoin(total(gold, gold, "gg")).crossJoin(total(pred, pred, "pp")).crossJoin(total(gold, pred, "gp")).crossJoin(side("g", "sg")).crossJoin(side("p", "sp"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    # Sums over i < j are half of those over all i and j without i = j.
+    xy, xx, yy = ((F.col(c) - F.col(f"{c}2")) / 2 for c in ("gp", "gg", "pp"))
+    x, y = (F.col("sg") - F.col("gg1")) / 2, (F.col("sp") - F.col("pp1")) / 2
+    cov, vx, vy = xy - x * y / pairs, xx - x * x / pairs, yy - y * y / pairs
+    return all_.select(F.when((pairs >= 2) & (vx > EPS) & (vy > EPS), cov / F.sqrt(vx * vy)).otherwise(F.lit(NAN)).alias("pairwise_pearson"))
+
+
+def pair_similarities(vectors: DataFrame, key: str, gold: str = "gold", pred: str = "pred", block: int = 512, most: int = 50_000) -> DataFrame:
+    """(a, b, gold, pred): both cosines, to 12 places, of every pair of rows, a before b; its result is all pairs.
+
+    Blocks meet blocks; more than ``most`` rows are an error.
+    """
+    if (n := vectors.count()) > most:
+        raise ValueError(f"{n} rows are more than the {most} of which all pairs may be listed")
+    count = max(1, -(-n // block))
+    row = F.struct(F.col(key).cast("string").alias("k"), _unit(gold).alias("g"), _unit(pred).alias("p"))
+    blocks = materialise(vectors.select(F.pmod(F.xxhash64(key), F.lit(count)).alias("b"), row.alias("r")).groupBy("b").agg(F.collect_list("r").alias("rows")), "blocks")
+    other = blocks.select(F.col("b").alias("c"), F.col("rows").alias("others"))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for same, rows, others in zip(pdf["same"], pdf["rows"], pdf["others"]):
+                a, b = np.array([x["k"] for x in rows], object), np.array([x["k"] for x in others], object)
+                g, p = (np.stack([x[s] for x in rows]) @ np.stack([x[s] for x in others]).T for s in "gp")
+                i, j = np.triu_indices(len(a), 1) if same else (x.ravel() for x in np.indices(g.shape))
+                swap = a[i] > b[j]
+                yield pd.DataFrame({"a": np.where(swap, b[j], a[i]), "b": np.where(swap, a[i], b[j]), "gold": np.round(g[i, j], 12), "pred": np.round(p[i, j], 12)})
+
+    return blocks.join(other, F.col("b") <= F.col("c")).select((F.col("b") == F.col("c")).alias("same"), "rows", "others").mapInPandas(meet, "a string, b string, gold double, pred double")
+
+
+def pairwise_spearman(vectors: DataFrame, key: str, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """Rank correlation, over all pairs of rows, of their cosines in the two sets of vectors."""
+    pairs = materialise(pair_similarities(vectors, key, gold, pred).select("gold", "pred"), "pairs")
+    return spearman(pairs, "gold", "pred").withColumnRenamed("spearman", "pairwise_spearman")
 
 
 def prevalence(cells: DataFrame, feature: str = "feature_id", gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -180,24 +290,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     """(key, neighbours): for every query, the ``k`` other vectors of largest cosine, ties to the smaller key.
 
     Blocks of queries meet blocks of vectors; each meeting is one product of
-    matrices that keeps ``k`` per query, and these are merged.
+    matrices, a task keeps the ``k`` best of a query over all its meetings, and
+    these are merged.
     """
     left = _blocks(queries, key, vector, block).select(F.col("b").alias("qb"), F.col("rows").alias("qrows"))
     right = _blocks(vectors, key, vector, block)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best_of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for pdf in batches:
-            for q, r in zip(pdf["qrows"], pdf["rows"]):
+            for qb, q, r in zip(pdf["qb"], pdf["qrows"], pdf["rows"]):
                 qk, rk = np.array([x["k"] for x in q]), np.array([x["k"] for x in r])
                 unit = lambda rows: (m := np.stack([x["v"] for x in rows])) / (np.linalg.norm(m, axis=1, keepdims=True) + EPS)
                 order = np.argsort(rk, kind="stable")
                 rk = rk[order]
                 cos = np.round(unit(q) @ unit(r)[order].T, 12)
                 cos[qk[:, None] == rk[None, :]] = -np.inf
-                best = np.argsort(-cos, 1, kind="stable")[:, :k]
-                yield pd.DataFrame({"key": np.repeat(qk, best.shape[1]), "other": rk[best.ravel()], "cosine": np.take_along_axis(cos, best, 1).ravel()}).query("cosine > -inf")
-
-    found = left.crossJoin(right).select("qrows", "rows").mapInPandas(meet, "key long, other long, cosine double")
+                other = np.broadcast_to(rk, cos.shape)
+                if qb in best_of:
+                    cos, other = np.concatenate([best_of[qb][1], cos], 1), np.concatenate([best_of[qb][2], other], 1)
+                best = np.lexsort((other, -cos), axis=1)[:, :k]
+                best_of[qb] = qk, np.take_along_axis(cos, best, 1), np.take_along_axis(other, best, 1)
+        for qk, cos, other in best_of.values():
+            yield pd.DataFrame({"key": np.repeat(qk, cos.shape[1]), "other": other.ravel(), "cosine": cos.ravel()}).query("cosine > -inf")
+
+    found = left.crossJoin(right).select("qb", "qrows", "rows").mapInPandas(meet, "key long, other long, cosine double")
     ranked = found.withColumn("i", F.row_number().over(W.partitionBy("key").orderBy(F.desc("cosine"), "other"))).where(F.col("i") <= k)
     return ranked.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "other"))), lambda x: x["other"]).alias("neighbours")).withColumnRenamed("key", key)
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import response_id, sampling_seed
+from lexiloom.functions.prompts import generation_system, generation_user, load
+from lexiloom.functions.text import prompt_hash, response_id, sampling_seed
 from lexiloom.plans.running import numbered
 
 
@@ -33,11 +34,16 @@ def even_subset(df: DataFrame, k: int, *order: str) -> DataFrame:
     return rows.join(F.broadcast(picks.distinct()), "row_index", "left_semi").drop("row_index")
 
 
-def generation_jobs(words: DataFrame, variants: Sequence[str], replicates: int, base_seed: int, model: str, word: str = "word") -> DataFrame:
-    """Word x variant x replicate, with paired seeds and response ids. Variants and replicates are exploded, not joined."""
+def generation_jobs(words: DataFrame, variants: Sequence[str], replicates: int, base_seed: int, model: str, word: str = "word", version: str = "v3") -> DataFrame:
+    """Word x variant x replicate, with paired seeds and response ids. Variants and replicates are exploded, not joined.
+
+    The prompt's hash is of the messages as they are sent, so ids change when a prompt does.
+    """
+    for variant in variants:
+        load("generation", version, variant)
     jobs = words.withColumn("prompt_variant", F.explode(F.array(*map(F.lit, variants)))).withColumn("replicate_id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     jobs = jobs.withColumn("sampling_seed", sampling_seed(base_seed, word, "replicate_id"))
-    return jobs.withColumn("prompt_hash", F.sha2(F.concat_ws("|", "prompt_variant", word), 256)).withColumn("response_id", response_id(word, "prompt_variant", "replicate_id", F.lit(model), "sampling_seed", "prompt_hash"))
+    return jobs.withColumn("prompt_hash", prompt_hash(generation_system("prompt_variant", version), generation_user(word))).withColumn("response_id", response_id(word, "prompt_variant", "replicate_id", F.lit(model), "sampling_seed", "prompt_hash"))
 
 
 def labelling_jobs(words: DataFrame, features: DataFrame, most_features: int = 100_000) -> DataFrame:
@@ -60,10 +66,12 @@ def pending(jobs: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
 def stratified_split(df: DataFrame, key: str, stratum: Column, fraction: float, seed: str, least: int = 1) -> DataFrame:
     """Adds stratum and is_test: of each stratum, max(least, n * fraction rounded half to even) rows in hash order.
 
-    Keys must be unique. Large strata are not sorted in one task: rows get their
-    position within a stratum by blocks of the hash, whose counts add up.
+    Keys must be unique; one null key may be among them. Large strata are not
+    sorted in one task: rows get their position within a stratum by blocks of
+    the hash, 65,536 a stratum at most, whose counts add up.
     """
-    rows = df.withColumn("stratum", stratum).withColumn("__h", F.sha2(F.concat(F.lit(seed), F.lit("|"), F.col(key).cast("string")), 256)).withColumn("__block", F.substring("__h", 1, 2))
+    name = F.coalesce(F.concat(F.lit("|"), F.col(key).cast("string")), F.lit(""))
+    rows = df.withColumn("stratum", stratum).withColumn("__h", F.sha2(F.concat(F.lit(seed), name), 256)).withColumn("__block", F.substring("__h", 1, 4))
     sums = rows.groupBy("stratum", "__block").agg(F.count("*").alias("__n"))
     by = W.partitionBy("stratum")
     blocks = sums.select("stratum", "__block", F.coalesce(F.sum("__n").over(by.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"), F.sum("__n").over(by).alias("__all"))
@@ -84,7 +92,7 @@ def check_drift(config: Mapping, manifest: Mapping | None) -> None:
         raise DriftError("; ".join(f"{k}: stored {a!r}, now {b!r}" for k, (a, b) in sorted(changed.items())))
 
 
-def preflight(words: DataFrame, variants: Sequence[str], replicates: int, base_seed: int, model: str, temperature: float, done: DataFrame | None = None, manifest: Mapping | None = None, word: str = "word") -> DataFrame:
+def preflight(words: DataFrame, variants: Sequence[str], replicates: int, base_seed: int, model: str, temperature: float, done: DataFrame | None = None, manifest: Mapping | None = None, word: str = "word", version: str = "v3") -> DataFrame:
     """Counts of a generation plan, one row, without calling a model.
 
     Several replicates need a temperature over zero; a manifest must not have
@@ -93,7 +101,7 @@ def preflight(words: DataFrame, variants: Sequence[str], replicates: int, base_s
     if temperature <= 0 and replicates > 1:
         raise ValueError("replicates at temperature zero would all be the same")
     check_drift({"model": model, "base_seed": base_seed, "variants": list(variants), "replicates": replicates}, manifest)
-    jobs = generation_jobs(words, variants, replicates, base_seed, model, word)
+    jobs = generation_jobs(words, variants, replicates, base_seed, model, word, version)
     open_ = pending(jobs, done, ["response_id"]) if done is not None else jobs
     clash = jobs.groupBy(word, "prompt_variant", "sampling_seed").count().where("count > 1").agg(F.count("*").alias("seed_collisions"))
     return jobs.agg(F.count("*").alias("jobs"), F.count_distinct(word).alias("words")).crossJoin(open_.agg(F.count("*").alias("pending"))).crossJoin(clash)

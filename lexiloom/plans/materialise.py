@@ -10,13 +10,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in local tests.
-DEFAULT_DIR = "/tmp/checkpoints"
+#: Used only by a session of one machine that names no shared folder.
+LOCAL_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI or path."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "")
+    if not named and not (master == "local" or master.startswith("local[")):
+        raise ValueError("a cluster's session must name the folder that its machines share in spark.checkpoint.dir")
+    return (named or LOCAL_DIR).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.functions.json_rules import validate_judgement
-from lexiloom.operators import derive, matrix, metrics, models, resolve
+from lexiloom.functions.prompts import PROMPTS
+from lexiloom.operators import derive, matrix, metrics, resolve
 from lexiloom.plans import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,10 +41,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # The response log: documents are responses, their lines the features.
 
-_FOLD = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(f), 'ß', 'ss'), '^\s+|\s+$', '', 'g'), '\.+$', ''), '\s+', ' ', 'g'))"
+def _folded(x: str) -> str:
+    """Full case folding, character by character, by Unicode's rule."""
+    singles, to, several = T.casefold_table()
+    out = f"translate(lower({x}), '{singles}', '{to}')"
+    for ch, text in several.items():
+        out = f"replace({out}, '{ch}', '{text}')"
+    return out
+
+
+_FOLD = rf"trim(regexp_replace(regexp_replace(regexp_replace({_folded('f')}, '^\s+|\s+$', '', 'g'), '\.+$', ''), '\s+', ' ', 'g'))"
 _LONG = f"select doc_id, lang, source, i, f, {_FOLD} as norm from (select doc_id, lang, source, unnest(string_split(text, chr(10))) as f, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null)"
 
 
+def variants_sql(kind: str, version: str) -> str:
+    """The prompts of a kind as a relation of v and text."""
+    rows = [f"('{v}', '{text.replace(chr(39), chr(39) * 2)}')" for (k, w, v), text in PROMPTS.items() if (k, w) == (kind, version)]
+    return f"select * from (values {', '.join(rows)}) as t(v, text)"
+
+
 def response_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("response_id"), F.col("doc_id").alias("ingest_seq"), F.col("lang").alias("prompt_variant"), F.col("source").alias("word_normalized"), F.split("text", "\n").alias("features"))
 
@@ -89,7 +105,7 @@ def sampling_seeds(spark, sf_dir):
 
 
 @query(f"""
-with s as (select p_partkey, p_name, v, r, {_SEED} as seed, sha256(v || '|' || p_name) as h from part, (select unnest(['A', 'B', 'C']) as v), (select unnest(range(2)) as r))
+with s as (select p_partkey, p_name, v, r, {_SEED} as seed, sha256(text || chr(10) || '---' || chr(10) || '{{"target_word":"' || p_name || '"}}') as h from part, ({variants_sql("generation", "v3")}), (select unnest(range(2)) as r))
 select p_partkey, v as prompt_variant, cast(r as int) as replicate_id, seed as sampling_seed, sha256(p_name || '|' || v || '|' || r || '|some-model|' || seed || '|' || h) as response_id from s""")
 def job_plan(spark, sf_dir):
     words = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("word"))
@@ -459,6 +475,40 @@ def category_similarity(spark, sf_dir):
     return metrics.category_similarity(_vectors(spark, sf_dir), "label", "gold").where("n_pairs > 0").withColumn("mean_similarity", F.round("mean_similarity", 6))
 
 
+@query("select median(c_acctbal) as account, median(c_nationkey)::double as nation, null::double as nothing from customer")
+def medians(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer")
+    one = lambda df, column, name: metrics.median(df, column).withColumnRenamed("median", name)
+    return one(rows, "c_acctbal", "account").crossJoin(one(rows, "c_nationkey", "nation")).crossJoin(one(rows.where("c_custkey < 0"), "c_acctbal", "nothing"))
+
+
+_BOTH = "v as (select vec_id, label, embedding::double[] as g, list_transform(embedding, lambda x: floor(x::double * 10 + 0.5) / 10) as p from embeddings), both_ as (select round(list_cosine_similarity(a.g, b.g), 12) as g, round(list_cosine_similarity(a.p, b.p), 12) as p from v a join v b on a.vec_id < b.vec_id), ranked as (select g, p, rank() over (order by g) + (count(*) over (partition by g) - 1) / 2.0 as rg, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 as rp from both_)"
+
+
+@query(f"with {_BOTH} select round(corr(g, p), 6) as pairwise_pearson, round(corr(rg, rp), 6) as pairwise_spearman from ranked")
+def pairwise_similarity(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return metrics.pairwise_pearson(v).crossJoin(metrics.pairwise_spearman(v, "vec_id")).select(F.round("pairwise_pearson", 6).alias("pairwise_pearson"), F.round("pairwise_spearman", 6).alias("pairwise_spearman"))
+
+
+@query(f"""
+with {_BOTH}, {_LONG_VECTORS}, each_ as (select vec_id, list_cosine_similarity(g, p) as c, len(list_filter(g, lambda x: x > 0)) as ng, len(list_filter(p, lambda x: x > 0)) as np from v),
+pairs as (select a.label = b.label as same, list_cosine_similarity(a.g, b.g) as g, list_cosine_similarity(a.p, b.p) as p from v a join v b on a.vec_id < b.vec_id),
+n as (select a.vec_id, b.vec_id as o, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.g, b.g), 12) desc, b.vec_id) as rg, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.p, b.p), 12) desc, b.vec_id) as rp from v a join v b on a.vec_id <> b.vec_id),
+j as (select count_if(rg <= 5 and rp <= 5) / count_if(rg <= 5 or rp <= 5) as jaccard from n group by vec_id),
+m as (select i, avg(g) as g, avg(p) as p from cells group by 1)
+select count(*) as n_items, round(avg(c), 6) as mean_cosine, round(median(c), 6) as median_cosine, round(avg(ng), 6) as gold_density, round(avg(np), 6) as pred_density,
+       (select round(corr(g, p), 6) from ranked) as pairwise_pearson, (select round(corr(rg, rp), 6) from ranked) as pairwise_spearman, (select round(avg(jaccard), 6) from j) as mean_nn_jaccard, (select round(corr(g, p), 6) from m) as prevalence_pearson,
+       (select round(avg(g) filter (same), 6) from pairs) as gold_within_similarity, (select round(avg(g) filter (not same), 6) from pairs) as gold_between_similarity, (select round(avg(g) filter (same) - avg(g) filter (not same), 6) from pairs) as gold_separation,
+       (select round(avg(p) filter (same), 6) from pairs) as pred_within_similarity, (select round(avg(p) filter (not same), 6) from pairs) as pred_between_similarity, (select round(avg(p) filter (same) - avg(p) filter (not same), 6) from pairs) as pred_separation
+from each_""")
+def geometry_report(spark, sf_dir):
+    from lexiloom.operators.passes import geometry
+
+    out = geometry(_vectors(spark, sf_dir), "vec_id", "label").drop("prevalence_spearman")
+    return out.select(*[F.round(c, 6).alias(c) if c != "n_items" else F.col(c) for c in out.columns])
+
+
 @query(f"with {_PAIRS} select round(avg(s) filter (c = d), 6) as within_similarity, round(avg(s) filter (c <> d), 6) as between_similarity, round(avg(s) filter (c = d) - avg(s) filter (c <> d), 6) as separation from pairs")
 def category_separation(spark, sf_dir):
     out = metrics.category_separation(metrics.category_similarity(_vectors(spark, sf_dir), "label", "gold"))
@@ -483,53 +533,6 @@ def nn_jaccard(spark, sf_dir):
     return metrics.neighbour_jaccard(v.select("vec_id", F.col("gold").alias("v")), v.select("vec_id", F.col("pred").alias("v")), "vec_id", "v")
 
 
-# Model passes, with a client whose answers follow from the prompt.
-
-
-def _rating(user: str, digest: int) -> str:
-    import json
-
-    asked = json.loads(user)
-    if digest % 11 == 0:
-        return "no answer"
-    return json.dumps({"word": asked["word"], "feature_id": asked["feature_id"], "feature_value": digest % 5, "confidence": digest % 100 / 100, "ambiguous": digest % 7 == 0, "reason": "as asked"})
-
-
-def _listing(user: str, digest: int) -> str:
-    import json
-
-    word = json.loads(user)["target_word"]
-    body = json.dumps({"target_word": word, "features": [f"is {word}", f"has part {digest % 9}", f"IS {word}"]})
-    return body if digest % 5 else body[:-1]
-
-
-def stub_ratings() -> models.HashClient:
-    return models.HashClient(_rating)
-
-
-def stub_listings() -> models.HashClient:
-    return models.HashClient(_listing)
-
-
-@query()
-def judge_panel(spark, sf_dir):
-    pairs = read(spark, sf_dir, "part").select(F.col("p_name").alias("word"), F.col("p_partkey").alias("feature_id"), F.col("p_type").alias("feature_text"))
-    return models.judge_panel(pairs, stub_ratings)
-
-
-@query()
-def generation_run(spark, sf_dir):
-    words = read(spark, sf_dir, "part").select(F.col("p_name").alias("word")).distinct()
-    plan = jobs.generation_jobs(words, ("A", "B", "C"), 2, SEED, "stub")
-    return models.generate_features(plan, stub_listings, run_id=1)
-
-
-@query()
-def preflight(spark, sf_dir):
-    words = read(spark, sf_dir, "part").select(F.col("p_name").alias("word")).distinct()
-    return jobs.preflight(words, ("A", "B", "C"), 2, SEED, "stub", 0.8)
-
-
 @query("select date_trunc('hour', ts) as window_start, event_type, count(*) as n_rows from events group by 1, 2")
 def windowed_counts(spark, sf_dir):
     from lexiloom.streaming.ingest import windowed_counts as counted

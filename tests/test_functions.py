@@ -41,6 +41,14 @@ def test_normalize_feature(spark):
     assert column(spark, [*cases], T.normalize_feature("x")) == [*cases.values()]
 
 
+def test_casefold_of_every_character(spark):
+    """Alone, and where the character before and after it may matter."""
+    chars = [chr(cp) for cp in range(0x110000) if not 0xD800 <= cp < 0xE000 and unicodedata.category(chr(cp)) not in ("Cn", "Co")]
+    for texts in (chars, [f"A{c}b" for c in chars if c.casefold() != c], ["ΟΔΟΣ", "ὈΔΌΣ ΣΑΣ", "ﬁsh", "ŉ", "STRAẞE", "İstanbul", "Ꭰꭰ", ""]):
+        found = column(spark, texts, T.casefold("x"))
+        assert [(a, b) for a, b in zip(texts, found) if a.casefold() != b] == []
+
+
 def test_match_key(spark):
     assert column(spark, ["Bat (animal)", "bat  animal", "BAT ( animal )"], T.match_key("x")) == ["bat animal"] * 3
 
@@ -127,7 +135,7 @@ def test_prompts(spark):
     assert column(spark, ["a casserole", "the memory test", "parole board"], prompts.leaks("x")) == [False, True, False]
     assert not any(prompts.LEAKS[0] in t for t in prompts.PROMPTS.values())
     votes = spark.createDataFrame([([("A", 2.0, 0.5), ("B", None, 0.0)],)], "v array<struct<judge:string,value:double,confidence:double>>")
-    assert votes.select(prompts.adjudicator_user(F.lit("dog"), F.lit("barks"), "v")).first()[0] == "Thing: dog\nProperty: barks\nA: 2.00 (confidence 0.50)\nB: none (confidence 0.00)"
+    assert votes.select(prompts.adjudicator_user(F.lit("dog"), F.lit(3), F.lit("barks"), "v")).first()[0] == "Thing: dog\nProperty 3: barks\nA: 2.00 (confidence 0.50)\nB: none (confidence 0.00)"
 
 
 @settings(max_examples=15, deadline=None)

@@ -99,6 +99,42 @@ def test_geometry(spark):
     assert all(r["jaccard"] == 1.0 for r in M.neighbour_jaccard(df, df, "k", "v").collect())
 
 
+def test_separation_needs_two_categories_of_two(spark):
+    few = spark.createDataFrame([(0, "a", [1.0, 0.0]), (1, "a", [0.0, 1.0]), (2, "b", [1.0, 1.0])], "k long, c string, v array<double>")
+    more = few.union(spark.createDataFrame([(3, "c", [1.0, 2.0])], few.schema))
+    for df in (few, more):
+        assert tuple(M.category_separation(M.category_similarity(df, "c", "v")).first()) == (None, None, None)
+    enough = few.union(spark.createDataFrame([(3, "b", [1.0, 2.0])], few.schema))
+    assert M.category_separation(M.category_similarity(enough, "c", "v")).first()["within_similarity"] is not None
+    with pytest.raises(ValueError):
+        M.category_similarity(few, "c", "v", most=1)
+
+
+def test_median(spark):
+    rng = random.Random(8)
+    for n in (1, 2, 5, 100, 101):
+        values = [rng.choice([None, float(rng.randint(0, 6))]) for _ in range(n)]
+        known = [v for v in values if v is not None]
+        found = M.median(spark.createDataFrame([(v,) for v in values], "x double"), "x").first()["median"]
+        assert found == (float(np.median(known)) if known else None)
+
+
+def test_pairwise_correlations(spark):
+    rng = np.random.default_rng(3)
+    g = rng.normal(size=(40, 6))
+    p = np.round(g + rng.normal(size=g.shape), 0)
+    df = spark.createDataFrame([(f"w{i:02}", a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(g, p))], "w string, gold array<double>, pred array<double>").repartition(3)
+    unit = lambda v: v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)
+    at = np.triu_indices(40, 1)
+    x, y = ((unit(v) @ unit(v).T)[at] for v in (g, p))
+    assert M.pairwise_pearson(df).first()[0] == pytest.approx(np.corrcoef(x, y)[0, 1])
+    assert M.pairwise_spearman(df, "w").first()[0] == pytest.approx(np.corrcoef(ranks(np.round(x, 12)), ranks(np.round(y, 12)))[0, 1])
+    assert M.pair_similarities(df, "w", block=7).count() == len(x) and M.pair_similarities(df, "w").where("a >= b").count() == 0
+    with pytest.raises(ValueError):
+        M.pair_similarities(df, "w", most=39)
+    assert math.isnan(M.pairwise_pearson(df.limit(1)).first()[0])
+
+
 def test_prevalence_and_density(spark):
     df = spark.createDataFrame([("a", 0, 1.0, 2.0), ("a", 1, 0.0, 1.0), ("b", 0, 3.0, 2.0), ("b", 1, 0.0, 0.0), ("a", 2, 4.0, 3.0)], "word_normalized string, feature_id int, gold double, pred double")
     row = M.prevalence(df).first()

@@ -1,5 +1,6 @@
 """Job plans, compaction, running totals, components, sources and streaming."""
 
+import hashlib
 import math
 import random
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators import derive, matrix
 from lexiloom.plans import jobs
 from lexiloom.plans.components import connected_components
-from lexiloom.plans.materialise import materialise, release
+from lexiloom.plans.materialise import materialise, release, shared_dir
 from lexiloom.plans.running import average_ranks, numbered, running
 from lexiloom.sources import tables
 from lexiloom.streaming import ingest
@@ -168,7 +169,7 @@ def test_sinks(spark, tmp_path):
     for run in (1, 2):
         tables.append_log(df, str(tmp_path / "log"), run)
     log = spark.read.parquet(str(tmp_path / "log"))
-    assert sorted((r["run_id"], r["ingest_seq"] >> 32) for r in log.collect()) == [(1, 1), (2, 2)]
+    assert sorted((r["run_id"], r["ingest_seq"]) for r in log.collect()) == [(1, 1 << 40), (2, 2 << 40)]
     for kind in ("parquet", "csv", "json"):
         tables.write_table(df, str(tmp_path / kind), kind)
         tables.write_table(df, str(tmp_path / kind), kind)
@@ -180,6 +181,68 @@ def test_sinks(spark, tmp_path):
     assert tables.read_text(spark, str(tmp_path / "p.txt")) == "hello\nworld"
 
 
+@pytest.mark.parametrize("n, parts", [(0, 1), (1, 3), (8, 4), (500, 13)])
+def test_appended_rows_have_numbers_of_their_own(spark, tmp_path, n, parts):
+    df = spark.range(n).repartition(parts)
+    for run in (1, 2):
+        tables.append_log(df, str(tmp_path / "log"), run)
+    found = sorted(r["ingest_seq"] for r in spark.read.parquet(str(tmp_path / "log")).collect())
+    assert found == [(run << 40) + i for run in (1, 2) for i in range(n)]
+    with pytest.raises(ValueError):
+        tables.in_run_order(df, 1 << 23)
+
+
+def test_logs_of_several_files_follow_their_names(spark, tmp_path):
+    names = [c.split()[0] for c in tables.LOG_SCHEMA.split(", ")]
+    for f, rows in {"b": ["2", "3"], "a": ["1"] * 400, "c": ["4"]}.items():  # the larger file is not the first to be packed
+        lines = [",".join({"response_id": "r", "raw_json": x}.get(n, "") for n in names) for x in rows]
+        (tmp_path / f"{f}.csv").write_text("\n".join([",".join(names), *lines]) + "\n")
+    log = tables.read_generation_log(spark, str(tmp_path))
+    assert [r["raw_json"] for r in log.orderBy("ingest_seq").collect()] == ["1"] * 400 + ["2", "3", "4"]
+    assert log.select("ingest_seq").distinct().count() == 403
+
+
+def test_items_and_plurals_compose_from_files(spark, tmp_path):
+    (tmp_path / "items.csv").write_text("word\nSleep\nsleep\ndog\nchild\n")
+    (tmp_path / "plurals.csv").write_text("singular,plural\nChild,kids\nchild,Children\n")
+    items, plurals = tables.read_items(spark, str(tmp_path / "items.csv")), tables.read_plurals(spark, str(tmp_path / "plurals.csv"))
+    added = matrix.new_items(items, spark.createDataFrame([("dog",)], "word_normalized string"), plurals)
+    assert {(r["word_normalized"], r["word"]) for r in added.collect()} == {("sleep", "Sleep"), ("children", "child")}
+    with pytest.raises(ValueError):
+        tables.read_plurals(spark, str(tmp_path / "items.csv"))
+
+
+def test_files_are_hashed_byte_by_byte(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"x\r\n\x00")
+    assert tables.file_hashes(spark, str(tmp_path / "a.csv")).first()["sha256"] == hashlib.sha256(b"x\r\n\x00").hexdigest()
+
+
+def test_export_in_order(spark, tmp_path):
+    rows = [(i * 37 % 500,) for i in range(500)]
+    tables.write_ordered(spark.createDataFrame(rows, "i int").repartition(5), str(tmp_path / "out"), "i")
+    files = sorted(f for f in (tmp_path / "out").iterdir() if f.suffix == ".csv")
+    assert [int(x) for f in files for x in f.read_text().split("\n")[1:] if x] == [*range(500)]
+
+
+def test_null_keys_stay_in_a_split(spark):
+    df = spark.createDataFrame([("a", "x"), (None, "x"), ("b", "x")], "key string, cat string")
+    assert jobs.stratified_split(df, "key", F.col("cat"), 0.4, "s").count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError):
+        shared_dir(Session)
+    Session.conf["spark.checkpoint.dir"] = "hdfs:///x/"
+    assert shared_dir(Session) == "hdfs:///x"
+
+
 def test_matrix_forms(spark):
     wide = spark.createDataFrame([("dog", 4.0, 0.0), ("cat", None, 2.0)], "Name string, f0 double, f1 double")
     long = matrix.unpivot(wide, "Name")
