@@ -2,7 +2,8 @@
 
 Every capture is three records: a response (or, where another capture has the
 same payload, a revisit of it), a request and metadata; the last two name the
-first in WARC-Concurrent-To. Archives are gzip files with a member per record.
+first in WARC-Concurrent-To. Archives are gzip files with a member per record,
+the first of which is a warcinfo record.
 Reading lists the records of all archives and joins request, response and
 metadata through the concurrent-to identifiers into one nested row per capture.
 """
@@ -27,6 +28,7 @@ LEAST = 100  # payloads of fewer bytes are not revisited
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 LEVEL = 4
 READ = 1 << 18
+ARCHIVE = 1 << 30  # bytes after which a task goes on in another archive
 
 
 def _clean(value: str) -> str:
@@ -44,13 +46,13 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def capture_records(capture: str, page_id: int | None, url: str, payload: bytes | None, digest: str, n_bytes: int, refers_to: int | None) -> list[bytes]:
-    """Records of a capture; without a payload it is a revisit of page ``refers_to``."""
+def capture_records(capture: str, page_id: int | None, url: str, payload: bytes | None, digest: str, n_bytes: int, refers_to: int | None, refers_uri: str | None = None) -> list[bytes]:
+    """Records of a capture; without a payload it is a revisit of page ``refers_to``, captured from ``refers_uri``."""
     ids = {kind: f"urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}" for kind in ("main", "request", "metadata") for h in [hashlib.sha256(f"{capture}/{kind}".encode()).hexdigest()]}
     target = {"WARC-Target-URI": url}
     main = target | {"WARC-Payload-Digest": f"sha256:{digest}"}
     if payload is None:
-        main |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Page": str(refers_to)}
+        main |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Target-URI": refers_uri or "", "WARC-Refers-To-Date": EPOCH, "WARC-Refers-To-Page": str(refers_to)}
         first = record("revisit", ids["main"], b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n", main, "application/http; msgtype=response")
     else:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -61,6 +63,12 @@ def capture_records(capture: str, page_id: int | None, url: str, payload: bytes
     return [request, first, record("metadata", ids["metadata"], fields, beside, "application/warc-fields")]
 
 
+def information(name: str) -> bytes:
+    """The record that opens an archive."""
+    h = hashlib.sha256(f"{name}/warcinfo".encode()).hexdigest()
+    return record("warcinfo", f"urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}", b"software: lexiloom\r\nformat: WARC File Format 1.1\r\n", {"WARC-Filename": name.rpartition("/")[2]}, "application/warc-fields")
+
+
 def read_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and body of each record of a gzip archive, whose bytes come in chunks."""
     unpack, buffer = zlib.decompressobj(31), bytearray()
@@ -91,32 +99,42 @@ def read_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byte
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write captures (page_id, url, html, digest, refers_to) as archives; the files written, as (path, captures).
+    """Write captures (page_id, url, html, digest, refers_to, refers_uri) as archives; the files written, as (path, captures).
 
-    Each task writes one file under a name of its attempt and then moves it to
-    its final name, so a task that runs again replaces its own file.
+    Each task writes its files under names of its attempt and then moves them to
+    their final names, so a task that runs again replaces its own files. A file
+    ends after ARCHIVE bytes.
     """
     arrow_batches(pages.sparkSession)
-    source = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "digest", "refers_to")
+    source = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "digest", "refers_to", "refers_uri")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-        name = f"{root}/part-{task.partitionId():06d}"
-        out, n = None, 0
+        out, name, n, done = None, "", 0, []
+
+        def close() -> None:
+            out.close()
+            system.move(f"{name}.{task.taskAttemptId()}.tmp", f"{name}.warc.gz")
+            done.append((f"{name}.warc.gz", n))
+
         for batch in batches:
-            for page_id, url, html, digest, refers in zip(*[c.to_pylist() for c in batch.columns]):
+            for page_id, url, html, digest, refers, uri in zip(*[c.to_pylist() for c in batch.columns]):
+                if out is not None and out.tell() >= ARCHIVE:
+                    close()
+                    out = None
                 if out is None:
                     system.create_dir(root, recursive=True)
+                    name, n = f"{root}/part-{task.partitionId():06d}-{len(done):04d}", 0
                     out = system.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp", compression=None)
+                    out.write(member(information(f"{name}.warc.gz")))
                 body = html.encode("utf-8", "surrogatepass")
-                for r in capture_records(f"{name}/{n}", page_id, url or "", None if refers is not None else body, digest, len(body), refers):
+                for r in capture_records(f"{name}/{n}", page_id, url or "", None if refers is not None else body, digest, len(body), refers, uri):
                     out.write(member(r))
                 n += 1
         if out is not None:
-            out.close()
-            system.move(f"{name}.{task.taskAttemptId()}.tmp", f"{name}.warc.gz")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{name}.warc.gz"]), pa.array([n], pa.int64())], names=["path", "captures"])
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], names=["path", "captures"])
 
     return materialise(source.mapInArrow(run, "path string, captures long"), "archives")
 
@@ -164,15 +182,15 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def dedupe(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """Adds digest and refers_to: of equal payloads of at least ``least`` bytes, the smallest page_id (else null).
+    """Adds digest, refers_to and refers_uri: of equal payloads of at least ``least`` bytes, the smallest page_id (else null) and its url.
 
-    The smallest id itself refers to nothing. Only payloads that occur again
+    The smallest id itself refers to nothing; of several urls with it, the least counts. Only payloads that occur again
     are joined; their groups' minimum is combined before it is shuffled.
     """
     text = F.coalesce(F.col("html"), F.lit(""))
     hashed = pages.select("page_id", "url", "html").withColumn("digest", F.sha2(text.cast("binary"), 256))
-    groups = hashed.where(F.octet_length(text) >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    return hashed.join(groups, "digest", "left").withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))).drop("first")
+    groups = hashed.where(F.octet_length(text) >= least).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    return hashed.join(groups, "digest", "left").withColumn("refers_to", F.when(F.col("page_id").eqNullSafe(F.col("first.page_id")), None).otherwise(F.col("first.page_id"))).withColumn("refers_uri", F.when(F.col("refers_to").isNotNull(), F.col("first.url"))).drop("first")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
