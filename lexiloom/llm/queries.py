@@ -80,7 +80,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
+def _owners() -> str:
+    """The shard of each slot, in two hexadecimal digits."""
+    return "".join(f"{i:02x}" for i in sharding.fill([f"shard-{i}" for i in range(sharding.SHARDS)]))
+
+
 SQL: dict[str, str] = {
+    "op10_sharding": f"""
+        with slots as (select doc_id, cast(cast('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15) as ubigint) % {sharding.SLOTS} as bigint) as slot from documents),
+        owners as (select '{_owners()}' as hex)
+        select doc_id, slot, cast('0x' || substr(hex, slot * 2 + 1, 2) as int) as shard from slots, owners""",
     "op8_warc": """
         with hashed as (
             select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages
