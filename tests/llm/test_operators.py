@@ -725,6 +725,25 @@ def test_transactions_are_nested_rows(spark):
     assert row["main"]["length"] == 240 and row["main"]["uri"] == "http://x/"
 
 
+def test_archives_of_long_pages_and_clashing_columns(spark):
+    rows = [(1, "http://a/", "<p>" + "long é " * 400_000), (2, "http://b/", "<p>" + "long é " * 400_000), (3, None, "z" * 3_000_000), (4, "u", "x" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("digest", "first", "refers_to", "refers_uri", "path", "captures", "type", "n"):
+        pages = pages.withColumn(name, F.lit("clash"))
+    found = {r["page_id"]: r for r in warc.round_trip(pages.repartition(2)).collect()}
+    assert {i: (r["payload_bytes"], r["record_type"], r["refers_to"]) for i, r in found.items()} == {1: (3_200_003, "response", None), 2: (3_200_003, "revisit", 1), 3: (3_000_000, "response", None), 4: (200, "response", None)}
+    assert all(found[i]["payload_digest"] == hashlib.sha256(h.encode()).hexdigest() for i, _, h in rows)
+
+
+def test_archives_open_with_information(spark):
+    pages = warc.dedupe(spark.createDataFrame([(i, f"http://{i}/", "same" * 50) for i in (5, 4, 6)], "page_id long, url string, html string"))
+    rows = {r["page_id"]: r for r in pages.collect()}
+    assert (rows[4]["refers_to"], rows[5]["refers_to"], rows[5]["refers_uri"]) == (None, 4, "http://4/")
+    records = b"".join([warc.member(warc.information("x.warc.gz")), *map(warc.member, warc.capture_records("c", 5, "http://5/", None, "d", 200, 4, "http://4/"))])
+    kinds = [(h["WARC-Type"], h.get("WARC-Refers-To-Target-URI")) for h, _ in warc.read_records(iter([records[:50], records[50:]]))]
+    assert kinds == [("warcinfo", None), ("request", None), ("revisit", "http://4/"), ("metadata", None)]
+
+
 # 9 media
 
 
