@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,29 +44,51 @@ END_ID = 2
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = re.compile("[^\0-ɏ]")
 NO_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, signs to the pattern
-MAX_WORDS, LONGEST = 600_000, 48
+MAX_WORDS, LONGEST = 250_000, 48
+SIGNS = ".,;:!?"
+LITTLE = [struct.Struct(f"<{n}H").pack for n in range(32)]
 PART = 1 << 20
-PER_BLOCK = 50_000  # rows of a block of the hash
+PER_BLOCK, LEAST_BLOCKS = 50_000, 256  # rows of a block of the hash; blocks of small tables
 
 
-class RunTable(dict):
-    """Text between white space -> the ids of its words, which never reach across white space."""
+class Recent(dict):
+    """A bounded table: when it holds MAX_WORDS entries these become the elder ones, of which those in use come back."""
 
-    def __init__(self, words: WordTable):
+    def __init__(self):
         super().__init__()
-        self.words = words
+        self.elder: dict[str, bytes] = {}
 
-    def __missing__(self, run: str) -> bytes:
-        words = self.words
-        ids = b"".join([words[w] for w in SPLIT.findall(run)])
-        if len(run) <= LONGEST:
+    def make(self, key: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> bytes:
+        if (ids := self.elder.get(key)) is None:
+            ids = self.make(key)
+        if len(key) <= LONGEST:
             if len(self) >= MAX_WORDS:
+                self.elder = dict(self)
                 self.clear()
-            self[run] = ids
+            self[key] = ids
         return ids
 
 
-class WordTable(dict):
+class RunTable(Recent):
+    """Text between white space -> the ids of its words, which never reach across white space."""
+
+    def __init__(self, words: WordTable):
+        super().__init__()
+        self.words = words
+
+    def make(self, run: str) -> bytes:
+        # Letters alone are one word, and one sign after them is another.
+        if run.isalpha():
+            return self.words.make(run)
+        if run[-1] in SIGNS and run[:-1].isalpha():
+            return self[run[:-1]] + self[run[-1]] if len(run) > 1 else self.words.make(run)
+        return b"".join([self.words[w] for w in SPLIT.findall(run)])
+
+
+class WordTable(Recent):
     """word -> its ids as little-endian unsigned 16-bit numbers."""
 
     def __init__(self, path: str):
@@ -88,18 +111,14 @@ class WordTable(dict):
         if self.library.encode(probe, add_special_tokens=False).ids != np.frombuffer(self.plain(probe), "<u2").tolist():
             raise ValueError("this tokenizer splits texts by another pattern")
 
-    def raw(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
+    def make(self, word: str) -> bytes:
         """A word of normal text needs the library's merges alone, on its bytes' letters."""
         letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        ids = np.array([token.id for token in self.merges.tokenize(letters)], "<u2").tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+        ids = [token.id for token in self.merges.tokenize(letters)]
+        return LITTLE[len(ids)](*ids) if len(ids) < len(LITTLE) else np.array(ids, "<u2").tobytes()
+
+    def raw(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special strings. Its normal form is the library's; where that only lower-cases, str does it."""
@@ -164,7 +183,7 @@ def schedule(rows: DataFrame, window: int = WINDOW, shares: dict[str, float] | N
     rounds = int(after) + -(-int(rest) // window)
     # Credit covers whole tokens: by rounds, or token by token where a round has less than one.
     timed = totals.select("source", F.coalesce("__given", F.col("__tokens") * F.lit(float(window)) / F.lit(float(max(1, rest)))).alias("__credit"), F.when(free, F.lit(int(after))).otherwise(F.lit(0)).cast("long").alias("__after"))
-    blocks = max(1, int(n) // PER_BLOCK)
+    blocks = max(LEAST_BLOCKS, int(n) // PER_BLOCK)
     queued = running_total(rows.withColumn("__block", F.pmod(F.xxhash64("key"), F.lit(blocks))), ["source"], "__block", [F.xxhash64("key", F.lit(1)), F.col("key")], "n_ids", "__queue")
     timed = queued.join(timed, "source").withColumn("__end", F.col("__queue") + F.col("n_ids"))
     pieces = """case when __credit >= 1 then filter(transform(sequence(greatest(1L, cast(floor(__queue / __credit) as long)), cast(ceil(__end / __credit) as long) + 1),
