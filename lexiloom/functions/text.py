@@ -90,11 +90,15 @@ def casefold(x: str | Column) -> Column:
     singles, folded, several = casefold_table()
     low = F.replace(F.lower(_c(x)), F.lit("ß"), F.lit("ss"))
     rest = {ch: to for ch, to in several.items() if ch != "ß"}
-    full = F.translate(low, singles, folded)
-    for ch, to in rest.items():
-        full = F.replace(full, F.lit(ch), F.lit(to))
-    special = "[" + "".join(f"\\x{{{ord(ch):X}}}" for ch in (*singles, *rest)) + "]"
-    return F.when(F.regexp_like(low, F.lit(special)), full).otherwise(low)
+    # A loop over the pairs, as a nest of a hundred calls would be too large a method to be compiled.
+    pairs = F.array(*[F.array(F.lit(ch), F.lit(to)) for ch, to in rest.items()])
+    full = F.aggregate(pairs, F.translate(low, singles, folded), lambda text, pair: F.replace(text, pair[0], pair[1]))
+    special = sorted(map(ord, (*singles, *rest)))
+    few = [cp for cp in special if cp < 0x300]
+    # Most texts are told by a class that is quick to test; only others are searched for each of the characters.
+    written = lambda cps: "".join(f"\\x{{{cp:X}}}" for cp in cps)
+    likely = F.regexp_like(low, F.lit(f"[{written(few)}\\x{{300}}-\\x{{10FFFF}}]"))
+    return F.when(likely & F.regexp_like(low, F.lit(f"[{written(special)}]")), full).otherwise(low)
 
 
 def normalize_feature(x: str | Column) -> Column:
