@@ -293,6 +293,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
     matrices, a task keeps the ``k`` best of a query over all its meetings, and
     these are merged.
     """
+    kind = vectors.schema[key].dataType.simpleString()
     left = _blocks(queries, key, vector, block).select(F.col("b").alias("qb"), F.col("rows").alias("qrows"))
     right = _blocks(vectors, key, vector, block)
 
@@ -309,12 +310,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: in
                 other = np.broadcast_to(rk, cos.shape)
                 if qb in best_of:
                     cos, other = np.concatenate([best_of[qb][1], cos], 1), np.concatenate([best_of[qb][2], other], 1)
-                best = np.lexsort((other, -cos), axis=1)[:, :k]
+                place = other if other.dtype != object else np.unique(other, return_inverse=True)[1].reshape(other.shape)
+                best = np.lexsort((place, -cos), axis=1)[:, :k]
                 best_of[qb] = qk, np.take_along_axis(cos, best, 1), np.take_along_axis(other, best, 1)
         for qk, cos, other in best_of.values():
             yield pd.DataFrame({"key": np.repeat(qk, cos.shape[1]), "other": other.ravel(), "cosine": cos.ravel()}).query("cosine > -inf")
 
-    found = left.crossJoin(right).select("qb", "qrows", "rows").mapInPandas(meet, "key long, other long, cosine double")
+    found = left.crossJoin(right).select("qb", "qrows", "rows").mapInPandas(meet, f"key {kind}, other {kind}, cosine double")
     ranked = found.withColumn("i", F.row_number().over(W.partitionBy("key").orderBy(F.desc("cosine"), "other"))).where(F.col("i") <= k)
     return ranked.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "other"))), lambda x: x["other"]).alias("neighbours")).withColumnRenamed("key", key)
 

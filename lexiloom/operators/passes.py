@@ -152,3 +152,48 @@ def geometry(vectors: DataFrame, item: str, category: str | None = None, gold: s
         shown = [F.col(c).alias(f"{side}_{c}") for c in ("within_similarity", "between_similarity", "separation")]
         out = out.crossJoin(found.select(*(shown if category else [F.lit(None).cast("double").alias(f"{side}_{c}") for c in ("within_similarity", "between_similarity", "separation")])))
     return out
+
+
+class Holdout(NamedTuple):
+    labelling: Labelling
+    cells: DataFrame  # word_normalized, feature_id, gold, pred
+    report: DataFrame  # one row of scores
+
+
+def _scored(cells: DataFrame, found: Labelling) -> DataFrame:
+    """Gold cells (word_normalized, feature_id, value) with the resolved value of their pair; pairs that failed are left out."""
+    answers = found.resolutions.select(F.col("word").alias("word_normalized"), "feature_id", F.col("final_value").alias("pred"), *[c for c in ("pre_verification_value", "verification_status") if c in found.resolutions.columns])
+    gold = cells.select("word_normalized", "feature_id", F.coalesce("value", F.lit(0.0)).alias("gold"))
+    return materialise(gold.join(answers, ["word_normalized", "feature_id"]).where("pred is not null"), "scored")
+
+
+def _pairs(cells: DataFrame) -> DataFrame:
+    return cells.select(F.col("word_normalized").alias("word"), "feature_id", "feature_text").dropDuplicates(["word", "feature_id"])
+
+
+def holdout_cells(matrix_cells: DataFrame, factory: Callable[[], models.Client], fraction: float = 0.2, seed: str = "cells", verify: bool = True) -> Holdout:
+    """Label a part of the cells of a matrix (sources.tables.read_matrix), positive and zero ones apart, and score it.
+
+    The report has the confusion of all cells, ROC-AUC and average precision.
+    """
+    key = F.concat_ws("|", "word_normalized", F.col("feature_id").cast("string"))
+    stratum = F.when(F.col("value") > 0, "positive").otherwise("zero")
+    picked = materialise(jobs.stratified_split(matrix_cells.withColumn("__key", key), "__key", stratum, fraction, seed).where("is_test").drop("__key", "stratum", "is_test"), "holdout")
+    found = run_labelling(_pairs(picked), factory, verify=verify)
+    cells = _scored(picked, found)
+    report = metrics.confusion(cells).crossJoin(metrics.roc_auc(cells, score="pred").select("roc_auc")).crossJoin(metrics.average_precision(cells, score="pred").select("average_precision"))
+    return Holdout(found, cells, report)
+
+
+def holdout_words(matrix_cells: DataFrame, categories: DataFrame | None, factory: Callable[[], models.Client], fraction: float = 0.2, seed: str = "words", verify: bool = True) -> Holdout:
+    """Label all cells of a part of the words of a matrix, by category (word_normalized, category), and compare the geometry."""
+    words = matrix_cells.select("word_normalized").distinct()
+    named = words.join(categories.groupBy("word_normalized").agg(F.min("category").alias("category")), "word_normalized", "left") if categories is not None else words.withColumn("category", F.lit(None).cast("string"))
+    picked = materialise(jobs.stratified_split(named, "word_normalized", F.coalesce("category", F.lit("unknown")), fraction, seed).where("is_test").select("word_normalized", "category"), "holdout")
+    cells = matrix_cells.join(picked.select("word_normalized"), "word_normalized", "left_semi")
+    found = run_labelling(_pairs(cells), factory, verify=verify)
+    scored = _scored(cells, found)
+    n = matrix_cells.agg(F.coalesce(F.max("feature_id"), F.lit(-1)) + 1).first()[0]
+    side = lambda value: matrix.vectors(scored, "word_normalized", n, value=value).withColumnRenamed("vector", value)
+    vectors = side("gold").join(side("pred"), "word_normalized").join(picked, "word_normalized")
+    return Holdout(found, scored, geometry(vectors, "word_normalized", "category" if categories is not None else None))

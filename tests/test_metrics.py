@@ -94,6 +94,8 @@ def test_geometry(spark):
     want = {i: [*np.argsort(-cos[i], kind="stable")[:5]] for i in range(60)}
     for block in (16, 1024):
         assert {r["k"]: r["neighbours"] for r in M.nearest(df, df, "k", "v", 5, block).collect()} == want
+    named = df.selectExpr("printf('w%02d', k) as k", "v")  # keys that are texts
+    assert {r["k"]: r["neighbours"] for r in M.nearest(named, named, "k", "v", 5, 16).collect()} == {f"w{i:02}": [f"w{j:02}" for j in v] for i, v in want.items()}
     few = df.where("k < 3")
     assert all(len(r["neighbours"]) == 2 and r["k"] not in r["neighbours"] for r in M.nearest(few, few, "k", "v", 5).collect())
     assert all(r["jaccard"] == 1.0 for r in M.neighbour_jaccard(df, df, "k", "v").collect())
