@@ -27,3 +27,10 @@ def fold_of(doc_id: str | Column = "doc_id") -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns as they are, whatever others the table carries."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def beside(keep: tuple[str, ...], name: str = "__text") -> str:
+    """A name that is none of ``keep``."""
+    while name in keep:
+        name += "_"
+    return name

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm._shared import arrow_batches
+from lexiloom.llm._shared import arrow_batches, beside
 
 DIM = 4096
 PIECE = 1 << 20
@@ -213,7 +213,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     """
     arrow_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    source = df.select(*keep, F.col(text).alias("__text"))
+    source = df.select(*keep, F.col(text).alias(beside(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm._shared import arrow_batches
+from lexiloom.llm._shared import arrow_batches, beside
 from lexiloom.plans.materialise import materialise
 
 UNIT = 576
@@ -159,7 +159,7 @@ def to_image(payload: bytes) -> bytes:
 def store(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n_bytes and media (the image's bytes), written to the shared folder."""
     arrow_batches(df.sparkSession)
-    source = df.select(*keep, F.col(text).alias("__text"))
+    source = df.select(*keep, F.col(text).alias(beside(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +176,7 @@ def describe(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_
     An image that is null or cannot be decoded has nulls.
     """
     arrow_batches(df.sparkSession)
-    source = df.select(*keep, F.col(media).alias("__media"))
+    source = df.select(*keep, F.col(media).alias(beside(keep)))
     nothing = (None,) * 10
 
     def one(data: bytes | None) -> tuple:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm._shared import arrow_batches
+from lexiloom.llm._shared import arrow_batches, beside
 from lexiloom.plans.components import connected_components
 from lexiloom.plans.materialise import materialise, release
 
@@ -98,7 +98,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = 3) -> DataFrame:
     """``keep`` and the fingerprint (fp, a signed long) of every row; a null text counts as empty."""
     arrow_batches(df.sparkSession)
-    source = df.select(*keep, F.col(text).alias("__text"))
+    source = df.select(*keep, F.col(text).alias(beside(keep)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm._shared import arrow_batches
+from lexiloom.llm._shared import arrow_batches, beside
 
 # White space of the pattern's \s, and the contractions' letters.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -424,7 +424,7 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", keep: tuple[
     the table are not read. ``tokenizer`` is the path of a byte-level BPE file.
     """
     arrow_batches(df.sparkSession)
-    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    source = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(beside(keep)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm._shared import arrow_batches
+from lexiloom.llm._shared import arrow_batches, beside
 
 WORD = re.compile(r"[^\W_]+")
 PIECE = 1 << 16  # words of a long text that are handled at once
@@ -422,7 +422,7 @@ def score(df: DataFrame, model: Field, text: str = "text", keep: tuple[str, ...]
     """
     arrow_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    source = df.select(*keep, F.col(text).alias("__text"))
+    source = df.select(*keep, F.col(text).alias(beside(keep)))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,6 +60,12 @@ def test_one_of_each(spark, documents, awkward, nothing):
     assert simhash.deduplicate(nothing).count() == 0
 
 
+def test_recall_on_whole_documents(spark):
+    """Every group that all pairs of sf0.01 make, and no other: recall and precision of 1 against brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    check_kept(docs, simhash.deduplicate(docs))
+
+
 def test_near_copies_of_every_kind(spark):
     """Large and small groups with changed words, upper case and endings, among texts of their own."""
     rng = random.Random(8)
@@ -157,6 +163,15 @@ def test_run_gives_the_last_stage(spark, small, steps):
     assert run.agg(F.sum("length")).first() == steps[-1][2].agg(F.sum("length")).first()
 
 
+def test_the_awkward_table_passes_every_stage(spark, small, awkward):
+    docs, extra = awkward.drop("toxic"), [c for c in awkward.columns if c not in (*COLUMNS, "toxic")]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.materialise(stage(spark, docs, small), "awkward")
+        assert after.columns == [*COLUMNS, *extra] and 0 < after.count() <= docs.count(), name
+        docs = after
+    check_packing([(r["doc_id"], r["text"]) for r in docs.collect()], corpus_pipeline.STAGES[-1][1](spark, docs, small).collect())
+
+
 def test_empty_tables_pass(spark, small, nothing):
     docs = nothing.select(*COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
