@@ -17,16 +17,23 @@ from lexiloom.llm._shared import fold_of
 from lexiloom.plans.materialise import materialise
 
 
+def filtered(docs: DataFrame, found, condition: str) -> DataFrame:
+    """The rows of ``docs`` that ``found``, an operator of (docs, text, keep), gives the condition, whatever their columns are called."""
+    names = tuple(f"c{i}" for i in range(len(docs.columns)))
+    rows = found(docs.toDF(*names), names[docs.columns.index("text")], names)
+    return rows.where(condition).select(*names).toDF(*docs.columns)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID does not reject."""
     model = language_id.fit(docs.where(fold_of() != 0))
-    return language_id.identify(docs, model, keep=tuple(docs.columns)).where("not rejected").select(*docs.columns)
+    return filtered(docs, lambda df, text, keep: language_id.identify(df, model, text, keep), "not rejected")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not scored as toxic."""
     model = queries.toxic_field(spark, sf_dir, docs)
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    return filtered(docs, lambda df, text, keep: toxicity.score(df, model, text, keep), "predicted = 0")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
