@@ -26,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +44,25 @@ END_ID = 2
 # The pattern of the vocabulary file's splitter.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = re.compile("[^\0-ɏ]")
-NO_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split, signs to the pattern
-MAX_WORDS, LONGEST = 250_000, 48
+NO_SPACE = "\x1c\x1d\x1e\x1f"  # white space to str.split, signs to the pattern
+MAX_WORDS, LONGEST = 400_000, 48
 SIGNS = ".,;:!?"
 LITTLE = [struct.Struct(f"<{n}H").pack for n in range(32)]
 PART = 1 << 20
 PER_BLOCK, LEAST_BLOCKS = 50_000, 256  # rows of a block of the hash; blocks of small tables
 
 
+def simple(text: str) -> bool:
+    """Whether all characters lie below U+0250, which is known at once for texts in Latin-1."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not PLAIN.search(text)
+
+
 class Recent(dict):
     """A bounded table: when it holds MAX_WORDS entries these become the elder ones, of which those in use come back."""
 
@@ -113,7 +125,8 @@ class WordTable(Recent):
 
     def make(self, word: str) -> bytes:
         """A word of normal text needs the library's merges alone, on its bytes' letters."""
-        letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        # Letters of ASCII stand for their own bytes.
+        letters = word if word.isascii() and word.isalpha() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
         ids = [token.id for token in self.merges.tokenize(letters)]
         return LITTLE[len(ids)](*ids) if len(ids) < len(LITTLE) else np.array(ids, "<u2").tobytes()
 
@@ -122,9 +135,10 @@ class WordTable(Recent):
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special strings. Its normal form is the library's; where that only lower-cases, str does it."""
-        low = self.library.normalizer.normalize_str(text) if PLAIN.search(text) else text.lower()
-        if len(low) <= PART and not NO_SPACE.search(low):
-            return b"".join(map(self.runs.__getitem__, low.split()))
+        low = text.lower() if simple(text) else self.library.normalizer.normalize_str(text)
+        if len(low) <= PART and not any(c in low for c in NO_SPACE):
+            runs = low.split()
+            return b"".join(itemgetter(*runs)(self.runs)) if len(runs) > 1 else b"".join(map(self.runs.__getitem__, runs))
         return b"".join(self[m[0]] for m in SPLIT.finditer(low))
 
     def ids(self, text: str) -> bytes:
