@@ -23,8 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_DIR).rstrip("/")
 
 
+#: Paths that this driver has made and not deleted.
+MADE: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lexiloom-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lexiloom-{tag}-{uuid.uuid4().hex}"
+    MADE.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    if path in MADE:
+        MADE.remove(path)
 
 
 def materialise(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
@@ -42,6 +55,10 @@ def release(df: DataFrame) -> None:
     path = getattr(df, "_lexiloom_path", None)
     if path is None:
         return
-    spark = df.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this driver has made, once the results that read it have been consumed."""
+    for path in [*MADE]:
+        _delete(spark, path)

@@ -17,6 +17,8 @@ from lexiloom.functions.json_rules import validate_judgement
 from lexiloom.functions.prompts import PROMPTS
 from lexiloom.operators import derive, matrix, metrics, resolve
 from lexiloom.plans import jobs
+from lexiloom.plans.materialise import fresh_path
+from lexiloom.streaming.ingest import current, ingest, run_windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -306,12 +308,15 @@ def lure_coverage(spark, sf_dir):
 
 
 @query(r"""
-with k as (select p_partkey, p_type, lower(strip_accents(trim(p_type))) as w, row_number() over (partition by lower(strip_accents(trim(p_type))) order by p_partkey) as rn from part)
-select w as word_normalized, p_type as word from k where rn = 1 and w <> '' and w not in (select lower(strip_accents(trim(p_type))) from part where p_size = 1)""")
+with items as (select c_custkey as i, c_name as word from customer union all select c_custkey + 1000000000, ' ' || upper(c_name) || ' ' from customer),
+k as (select word, lower(strip_accents(trim(word))) as w, row_number() over (partition by lower(strip_accents(trim(word))) order by i) as rn from items)
+select w as word_normalized, word from k where rn = 1 and w not in (select lower(strip_accents(trim(c_name))) from customer where c_acctbal > 0)""")
 def expand_items(spark, sf_dir):
-    part = read(spark, sf_dir, "part")
-    known = part.where("p_size = 1").select(T.normalize_word("p_type").alias("word_normalized"))
-    return matrix.new_items(part.select(F.col("p_type").alias("word"), F.col("p_partkey").alias("input_seq")), known).select("word_normalized", "word")
+    customer = read(spark, sf_dir, "customer")
+    known = customer.where("c_acctbal > 0").select(T.normalize_word("c_name").alias("word_normalized"))
+    again = customer.select(F.concat(F.lit(" "), F.upper("c_name"), F.lit(" ")).alias("word"), (F.col("c_custkey") + 1_000_000_000).alias("input_seq"))
+    items = customer.select(F.col("c_name").alias("word"), F.col("c_custkey").alias("input_seq")).union(again)
+    return matrix.new_items(items, known).select("word_normalized", "word")
 
 
 @query("""
@@ -535,6 +540,19 @@ def nn_jaccard(spark, sf_dir):
 
 @query("select date_trunc('hour', ts) as window_start, event_type, count(*) as n_rows from events group by 1, 2")
 def windowed_counts(spark, sf_dir):
-    from lexiloom.streaming.ingest import windowed_counts as counted
-
-    return counted(read(spark, sf_dir, "events"), "ts", "event_type")
+    """As a stream, over a few files, one a step."""
+    events = read(spark, sf_dir, "events").select("ts", "event_type")
+    source, table, checkpoint = (fresh_path(spark, tag) for tag in ("events", "windows", "progress"))
+    events.repartition(3).write.parquet(source)
+    return run_windowed_counts(spark, source, events.schema, table, checkpoint, "ts", "event_type")
+
+
+@query("select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by 1")
+def stream_ingest(spark, sf_dir):
+    """A log that grows between two runs of a stream, compacted: the last row of each key."""
+    events = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    source, table, checkpoint = (fresh_path(spark, tag) for tag in ("log", "table", "progress"))
+    for rest in (0, 1):
+        events.where(F.col("event_id") % 2 == rest).write.mode("append").parquet(source)
+        ingest(spark, source, events.schema, table, checkpoint, ["user_id"], "event_id")
+    return current(spark, table, ["user_id"], "event_id").select("user_id", "event_id", "event_type")

@@ -35,3 +35,15 @@ def windowed_counts(stream: DataFrame, ts: str, by: str, width: str = "1 hour",
     """Rows per window of event time and key; later than ``late`` is left out. Times without a zone are the session's, and come back as such."""
     kind = stream.schema[ts].dataType.simpleString()
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n_rows")).select(F.col("window.start").cast(kind).alias("window_start"), by, "n_rows")
+
+
+def run_windowed_counts(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, ts: str, by: str, files: int = 1) -> DataFrame:
+    """``windowed_counts`` over a folder as a stream, ``files`` a step, until what is there has been read; the counts of all windows.
+
+    Every step replaces the table by all counts so far, so a step that runs again changes nothing.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files)).parquet(source)
+    counted = windowed_counts(stream, ts, by)
+    sink = lambda batch, number: batch.write.mode("overwrite").parquet(table)
+    counted.writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counted.schema).parquet(table)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators import derive, matrix
 from lexiloom.plans import jobs
 from lexiloom.plans.components import connected_components
-from lexiloom.plans.materialise import materialise, release, shared_dir
+from lexiloom.plans.materialise import MADE, fresh_path, materialise, release, shared_dir, sweep
 from lexiloom.plans.running import average_ranks, numbered, running
 from lexiloom.sources import tables
 from lexiloom.streaming import ingest
@@ -229,6 +229,18 @@ def test_null_keys_stay_in_a_split(spark):
     assert jobs.stratified_split(df, "key", F.col("cat"), 0.4, "s").count() == 3
 
 
+def test_tables_are_swept(spark, monkeypatch):
+    import os
+
+    monkeypatch.setattr("lexiloom.plans.materialise.MADE", mine := [])
+    one, two = materialise(spark.range(3), "one"), materialise(spark.range(3), "two")
+    assert len(mine) == 2 and fresh_path(spark, "never made") in mine and MADE is not mine
+    release(one)
+    assert len(mine) == 2 and os.path.exists(two._lexiloom_path)
+    sweep(spark)
+    assert not mine and not os.path.exists(two._lexiloom_path)
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Conf(dict):
         def get(self, key, default=None):
