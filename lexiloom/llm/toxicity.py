@@ -39,7 +39,7 @@ WORD = re.compile(r"[^\W_]+")
 PIECE = 1 << 16  # words of a long text that are handled at once
 LEAST_STRENGTH = 12.0
 OWN, BESIDE = 1 << 16, 1 << 13  # hashed weights of a word's own features, and of a neighbour
-STRIDE = 512  # tokens of a part
+STRIDE, CELLS = 512, 1 << 18  # tokens of a part, and of parts that pass side by side
 MAX_WORDS = 400_000
 APART, TWICE = 4, 2.0  # one in so many texts is kept for the calibration, and how often a toxic one counts there
 
@@ -185,61 +185,77 @@ class Parts:
         self.size = size[order]
         self.start = ((np.cumsum(lengths) - lengths)[owner] + at * STRIDE)[order]
         self.opens = (at == 0)[order]
-        self.width = int(self.size[0]) if len(owner) else 0
-        self.alive = len(owner) - np.searchsorted(self.size[::-1], np.arange(self.width), side="right")
         # Parts by their number in the sequence, with the part before: borders are found one number after another.
         self.later = [(place[(here := np.flatnonzero(at == k))], place[here - 1]) for k in range(1, int(many.max(initial=0)))]
-        self.on = np.arange(self.width) < self.size[:, None]
-        self.cell = np.where(self.on, self.start[:, None] + np.arange(self.width), 0)
-
-    def ratios(self, e: np.ndarray, m: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray]:
-        """Of each token, the forward and the backward message: toxic over clean, emissions ``e`` being so too."""
-        lanes = np.ascontiguousarray(np.where(self.on, e[self.cell], 1.0).T) if self.n else np.ones((0, 0))
-        ahead, back = np.empty(lanes.shape), np.empty(lanes.shape)
+        # Parts that pass side by side: of about one length, CELLS cells at most.
+        self.groups, i = [], 0
+        while i < len(self.size):
+            j = min(len(self.size), i + max(1, CELLS // int(self.size[i])))
+            self.groups.append((i, j))
+            i = j
+
+    def steps(self, i: int, j: int) -> list[int]:
+        """How many of the parts of a group have a token at each place."""
+        size = self.size[i:j]
+        return (j - i - np.searchsorted(size[::-1], np.arange(int(size[0])), side="right")).tolist()
+
+    def lanes(self, e: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The emissions of a group's parts, a column for each; which places hold tokens; and where those stand."""
+        place = np.arange(int(self.size[i]))
+        on = place < self.size[i:j, None]
+        cell = self.start[i:j, None] + place
+        out = np.ones(on.shape)
+        flat = cell[on]
+        out[on] = e[flat]
+        return np.ascontiguousarray(out.T), on, flat
+
+    def borders(self, e: np.ndarray, m: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray]:
+        """The forward message into each part and the backward message at its end."""
         count = len(self.size)
         enter, leave = np.zeros(count), np.ones(count)
-        if self.later:
-            # Transfer matrices of the parts: rows are the state before a part, columns its last one.
-            t = np.broadcast_to(np.eye(2), (count, 2, 2)).copy()
-            for k, n in enumerate(self.alive):
-                step = t[:n] @ m
-                step[:, :, 1] *= lanes[k, :n, None]
-                t[:n] = step / step.sum((1, 2), keepdims=True)
-            begin = np.ones((count, 2))  # message out of each part
-            opening = np.ones((count, 2))
-            opening[:, 1] = first * lanes[0]
-            # The first part of a sequence has no move before its first token.
-            head = np.broadcast_to(np.eye(2), (count, 2, 2)).copy()
-            for k, n in enumerate(self.alive[1:], 1):
-                step = head[:n] @ m
+        if not self.later:
+            return enter, leave
+        # Transfer matrices: rows are the state before a part (of a sequence's first part: at its first token), columns its last one.
+        t, out = np.broadcast_to(np.eye(2), (count, 2, 2)).copy(), np.ones((count, 2))
+        for i, j in self.groups:
+            lanes, opens = self.lanes(e, i, j)[0], self.opens[i:j]
+            out[i:j, 1] = first * lanes[0]
+            for k, n in enumerate(self.steps(i, j)):
+                step = t[i : i + n] @ m
                 step[:, :, 1] *= lanes[k, :n, None]
-                head[:n] = step / step.sum((1, 2), keepdims=True)
-            begin = np.einsum("ni,nij->nj", opening, head)
-            for here, prior in self.later:
-                enter[here] = begin[prior, 1] / begin[prior, 0]
-                begin[here] = np.einsum("ni,nij->nj", np.stack([np.ones(len(here)), enter[here]], 1), t[here])
-            ends = np.ones((count, 2))
-            for here, prior in self.later[::-1]:
-                got = np.einsum("nij,nj->ni", t[here], ends[here])
-                ends[prior] = got / got[:, :1]
-            leave = ends[:, 1].copy()
-        r = enter
-        for k, n in enumerate(self.alive):
-            r[:n] = lanes[k, :n] * (m[0, 1] + r[:n] * m[1, 1]) / (m[0, 0] + r[:n] * m[1, 0])
-            if k == 0:
-                r[self.opens] = first * lanes[0, self.opens]
-            ahead[k, :n] = r[:n]
-        b = leave
-        for k in range(self.width - 1, -1, -1):
-            n = self.alive[k]
-            back[k, :n] = b[:n]
-            x = lanes[k, :n] * b[:n]
-            b[:n] = (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x)
-        flat = self.cell[self.on]
-        out = np.empty(self.n), np.empty(self.n)
-        for one, lane in zip(out, (ahead, back)):
-            one[flat] = lane.T[self.on]
-        return out
+                if k == 0:
+                    step[opens] = np.eye(2)
+                t[i : i + n] = step / step.sum((1, 2), keepdims=True)
+        out = np.einsum("ni,nij->nj", out, t)
+        for here, prior in self.later:
+            enter[here] = out[prior, 1] / out[prior, 0]
+            out[here] = np.einsum("ni,nij->nj", np.stack([np.ones(len(here)), enter[here]], 1), t[here])
+        ends = np.ones((count, 2))
+        for here, prior in self.later[::-1]:
+            got = np.einsum("nij,nj->ni", t[here], ends[here])
+            ends[prior] = got / got[:, :1]
+        return enter, ends[:, 1].copy()
+
+    def ratios(self, e: np.ndarray, m: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token, the forward and the backward message: toxic over clean, emissions ``e`` being so too."""
+        forward, backward = np.empty(self.n), np.empty(self.n)
+        enter, leave = self.borders(e, m, first)
+        for i, j in self.groups:
+            lanes, on, flat = self.lanes(e, i, j)
+            opens, r, b = self.opens[i:j], enter[i:j], leave[i:j]
+            ahead, back, steps = np.empty(lanes.shape), np.empty(lanes.shape), self.steps(i, j)
+            for k, n in enumerate(steps):
+                r[:n] = lanes[k, :n] * (m[0, 1] + r[:n] * m[1, 1]) / (m[0, 0] + r[:n] * m[1, 0])
+                if k == 0:
+                    r[opens] = first * lanes[0, opens]
+                ahead[k, :n] = r[:n]
+            for k in range(len(steps) - 1, -1, -1):
+                n = steps[k]
+                back[k, :n] = b[:n]
+                x = lanes[k, :n] * b[:n]
+                b[:n] = (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x)
+            forward[flat], backward[flat] = ahead.T[on], back.T[on]
+        return forward, backward
 
 
 def scores(ids: np.ndarray, starts: np.ndarray, own: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -259,10 +275,11 @@ def train_field(lines: list[tuple[np.ndarray, np.ndarray]], words: list[str], ro
     model = Field()
     if not lines:
         return model
-    features = [hashed(w) for w in words]
-    flat, many = np.concatenate([np.array(f) for f in features]), np.array([len(f) for f in features])
+    features = [np.array(hashed(w), np.int32) for w in words]
+    flat, many = np.concatenate(features), np.array([len(f) for f in features])
     beside = np.array([neighbour(w) for w in words])
-    ids, truth = np.concatenate([x for x, _ in lines]), np.concatenate([y for _, y in lines]).astype(float)
+    del features
+    ids, truth = np.concatenate([x for x, _ in lines]), np.concatenate([y for _, y in lines])
     lengths = np.array([len(x) for x, _ in lines])
     starts = np.cumsum(lengths) - lengths
     inside = np.ones(len(ids), bool)
