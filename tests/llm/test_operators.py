@@ -407,8 +407,9 @@ def test_messages_equal_forward_backward(monkeypatch):
     lengths = np.array([3, 0, 7, 8, 50, 1, 14, 0, 200])
     e, m = np.exp(rng.normal(size=lengths.sum()) * 2), np.exp(rng.normal(size=(2, 2)))
     expected = np.concatenate([plain_marginals(e[k : k + n], m, 0.7) for k, n in zip(np.cumsum(lengths) - lengths, lengths) if n])
-    for stride in (1, 7, 512):
+    for stride, cells in ((1, 4), (7, 30), (512, 1 << 18), (512, 1)):
         monkeypatch.setattr(toxicity, "STRIDE", stride)
+        monkeypatch.setattr(toxicity, "CELLS", cells)
         r, b = toxicity.Parts(lengths).ratios(e, m, 0.7)
         np.testing.assert_allclose(r * b / (1 + r * b), expected, rtol=1e-9)
 
