@@ -225,7 +225,7 @@ def pack(df: DataFrame, tokenizer: str, text: str = "text", source: str = "sourc
     # The row number is unique and, once written, lasting.
     ids = materialise(tokenise(named, tokenizer, "__t", (*inner, "source")).withColumn("key", F.monotonically_increasing_id()), "ids")
     placed = schedule(ids.select("key", "source", "n_ids"), window, shares).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "n_ids", "start"))).alias("__places"))
-    joined = ids.select("key", *inner, "n_ids", "ids").join(placed.hint("shuffle_hash"), "key").drop("key")
+    joined = ids.select("key", *inner, "n_ids", "ids").join(placed, "key").drop("key")
     k = len(keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
