@@ -41,7 +41,7 @@ def _copy(to, *left_out):
         source = f"{ROOT}/{name}"
         if os.path.isdir(source):
             shutil.copytree(source, to / name, ignore=shutil.ignore_patterns("__pycache__", *left_out))
-        elif name not in left_out:
+        elif name not in left_out and os.path.exists(source):
             shutil.copy(source, to / name)
 
 
@@ -60,6 +60,7 @@ def test_imports_without_llm(tmp_path, left_out):
     assert done.returncode == 0, done.stderr
 
 
+@pytest.mark.skipif(entry.llm is None, reason="the subpackage is not there")
 def test_a_broken_subpackage_is_an_error(tmp_path):
     _copy(tmp_path)
     (tmp_path / "lexiloom" / "llm" / "iblt.py").write_text("import lexiloom.llm.nothing_of_this_name\n")
