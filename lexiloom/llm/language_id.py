@@ -28,7 +28,8 @@ PIECE = 1 << 20
 BUCKETS = 32
 UNKNOWN = "und"
 SHORTEST, LONGEST = 1, 11  # pieces of 2, 4, .. 2048 characters
-QUANTILE, MARGIN, ENOUGH = 0.01, 0.75, 20
+QUANTILE, MARGIN = 0.01, 0.75
+ENOUGH, FULL = 20, 200  # texts of a language, and texts and pieces of about one length, whose quantile tells something
 
 
 @dataclass
@@ -108,7 +109,7 @@ def pieces(text: str) -> Iterator[str]:
 def floors(cosines: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The least cosine that is not rejected, by bucket; buckets of too few texts take that of the next shorter or, if there is none, longer one."""
     counts = np.bincount(size, minlength=BUCKETS)
-    full = np.flatnonzero(counts >= min(ENOUGH, counts.max()))
+    full = np.flatnonzero(counts >= min(FULL, max(ENOUGH, counts.max() // 2), counts.max()))
     own = np.array([MARGIN * np.quantile(cosines[size == b], QUANTILE) for b in full])
     return np.maximum(0.0, own[np.maximum(np.searchsorted(full, np.arange(BUCKETS), "right") - 1, 0)])
 
