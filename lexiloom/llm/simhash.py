@@ -243,7 +243,7 @@ def components(df: DataFrame, text: str = "text", key: str = "doc_id", shingle:
 SAMPLES = 8
 SAMPLE_SIZE = 2
 HEAVY = 4096
-BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 18, 2048
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 18, 512
 
 
 def sampled(hashes: np.ndarray) -> list[int]:

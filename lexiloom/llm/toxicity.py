@@ -20,6 +20,7 @@ of a half and more are its spans.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -82,7 +83,7 @@ def features_of(word: str) -> list[str]:
     return [word, *["^" + word[:k] for k in range(3, min(9, n))], *["$" + word[-k:] for k in range(4, min(7, n))]]
 
 
-def _frequent(sets: list[set[str]], least: float) -> dict[str, int]:
+def _frequent(sets: list[frozenset[str]], least: float) -> dict[str, int]:
     """Features in at least ``least`` of the sets of words, with the number of sets.
 
     Counted by length: a longer beginning or end only where the one that is
@@ -114,14 +115,17 @@ def toxic_features(docs: list[tuple[str, int]], most: int = 1000) -> set[str]:
     seen: dict[str, int] = {}
     for text, label in docs:
         seen[text] = max(label, seen.get(text, 0))
-    lines: set[str] = set()
-    words = ([], [])
+    lines: set[bytes] = set()
+    words, known = ([], []), {}
     for text, label in sorted(seen.items()):
-        fresh = [x for x in text.lower().split("\n") if x not in lines]  # copies of a document count once
-        lines.update(fresh)
-        words[label].append({w for x in fresh for w in WORD.findall(x)})
+        fresh = [(d, x) for x in text.lower().split("\n") if (d := hashlib.md5(x.encode("utf-8", "surrogatepass")).digest()) not in lines]  # copies of a document count once
+        lines.update(d for d, _ in fresh)
+        words[label].append(frozenset([known.setdefault(w, w) for _, x in fresh for w in WORD.findall(x)]))
+    del lines
     toxic = _frequent(words[1], max(3, 0.02 * len(words[1])))
-    clean = Counter(f for ws in words[0] for f in {f for w in ws for f in features_of(w) if f in toxic})
+    clean: Counter = Counter()
+    for ws in words[0]:
+        clean.update({f for w in ws for f in features_of(w) if f in toxic})
     n = [max(1, len(words[k])) for k in (0, 1)]
     rare = {f: c for f, c in toxic.items() if clean[f] / n[0] <= 0.2 * c / n[1]}
     total = n[0] + n[1]
@@ -275,10 +279,10 @@ def train_field(lines: list[tuple[np.ndarray, np.ndarray]], words: list[str], ro
     model = Field()
     if not lines:
         return model
-    features = [np.array(hashed(w), np.int32) for w in words]
-    flat, many = np.concatenate(features), np.array([len(f) for f in features])
+    many = np.array([len(features_of(w)) + 2 for w in words])
+    flat = np.fromiter((k for w in words for k in hashed(w)), np.int32, many.sum())
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), many)
     beside = np.array([neighbour(w) for w in words])
-    del features
     ids, truth = np.concatenate([x for x, _ in lines]), np.concatenate([y for _, y in lines])
     lengths = np.array([len(x) for x, _ in lines])
     starts = np.cumsum(lengths) - lengths
@@ -292,17 +296,22 @@ def train_field(lines: list[tuple[np.ndarray, np.ndarray]], words: list[str], ro
     moment, spread = [0.0] * 5, [0.0] * 5
     for t in range(1, rounds + 1):
         own, before, after, move, first = params
-        e = np.exp(scores(ids, starts, np.bincount(np.repeat(np.arange(len(words)), many), own[flat], len(words)), before[beside], after[beside]))
+        e = np.exp(scores(ids, starts, np.bincount(owner, own[flat], len(words)), before[beside], after[beside]))
         m = np.exp(move)
         r, b = parts.ratios(e, m, float(np.exp(first[0])))
         p = r * b / (1 + r * b)
         off = truth - p
-        a, x = r[pair - 1], e[pair] * b[pair]
-        cells = np.stack([np.full(len(pair), m[0, 0]), m[0, 1] * x, a * m[1, 0], a * m[1, 1] * x])
-        expected = (cells / cells.sum(0)).sum(1).reshape(2, 2)
+        expected = np.zeros(4)
+        for k in range(0, len(pair), CELLS):
+            at = pair[k : k + CELLS]
+            a, x = r[at - 1], e[at] * b[at]
+            cells = np.stack([np.full(len(at), m[0, 0]), m[0, 1] * x, a * m[1, 0], a * m[1, 1] * x])
+            expected += (cells / cells.sum(0)).sum(1)
+        expected = expected.reshape(2, 2)
+        del r, b, e, p
         by_word = np.bincount(ids, off, len(words))
         grads = [
-            np.bincount(flat, np.repeat(by_word, many), OWN),
+            np.bincount(flat, by_word[owner], OWN),
             np.bincount(beside[ids[pair - 1]], off[pair], BESIDE),
             np.bincount(beside[ids[pair]], off[pair - 1], BESIDE),
             real - expected,
@@ -383,11 +392,16 @@ def calibration(numbers: np.ndarray) -> np.ndarray:
 def labelled_lines(docs: list[tuple[str, int]], marks: set[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[str]]:
     """Lines as (numbers of words, labels of tokens), equal ones once, and the words; tokens with one of ``marks`` are toxic if their document is."""
     known = Vocabulary()
-    found = {(tuple(known.read(line).tolist()), label) for t, label in docs for line in t.split("\n")}
+    found = {(known.read(line).astype("<i4").tobytes(), label) for t, label in docs for line in t.split("\n")}
     words = list(known)
     marked = np.array([any(f in marks for f in features_of(w)) for w in words], bool)
-    lines = {(x, label and any(marked[k] for k in x)) for x, label in found}
-    return [(np.array(x, np.int64), marked[list(x)] & bool(label)) for x, label in sorted(lines) if x], words
+    lines = set()
+    for x, label in found:
+        ids = np.frombuffer(x, "<i4")
+        if len(ids):
+            lines.add((x, bool(label and marked[ids].any())))
+    del found
+    return [(ids, marked[ids] & label) for x, label in sorted(lines) for ids in [np.frombuffer(x, "<i4")]], words
 
 
 def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_class: int = 1500, max_chars: int = 20_000) -> Field:
