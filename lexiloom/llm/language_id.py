@@ -11,6 +11,7 @@ the sample's texts of that language, and pieces of them, of about that length.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -139,7 +140,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str | Column
     rows = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not sizes:
-        return Model([], np.zeros(0, int), np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), np.zeros((0, BUCKETS)))
+        return learn([], clusters)
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, per_language / max(1, n)))])
     picked = rows.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < share[F.col("lang")]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
@@ -153,11 +154,19 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str | Column
                     parts.append([_pack(c) for x in pieces(t) if (c := profile(x)) is not None])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(blobs, pa.binary()), pa.array(parts, pa.list_(pa.binary()))], names=["lang", "grams", "pieces"])
 
-    names, blobs, parts = [], [], []
-    for r in sorted((r["lang"], bytes(r["grams"]), [bytes(x) for x in r["pieces"]]) for r in picked.mapInArrow(profiles, "lang string, grams binary, pieces array<binary>").collect()):
-        names.append(r[0])
-        blobs.append(r[1])
-        parts.append(r[2])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns])]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(rows, clusters))])], names=["model"])
+
+    # The sample is bounded, so one task holds it; the driver sees the model alone.
+    found = picked.mapInArrow(profiles, "lang string, grams binary, pieces array<binary>").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else learn([], clusters)
+
+
+def learn(rows: list[tuple[str, bytes, list[bytes]]], clusters: int) -> Model:
+    """The model of (language, packed counts of a text, those of its pieces)."""
+    rows = sorted(rows)
+    names, blobs, parts = ([r[k] for r in rows] for k in range(3))
     counts = _unpack(blobs)
     names = np.array(names, dtype=object)
     known = sorted(set(names))

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -410,7 +411,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str
     About ``per_class`` labels of either kind are picked by a hash of ``key``; a
     key that is labelled both ways counts as toxic, and of several texts with a
     key, that of the least hash is read. These bounded ids are broadcast, so the
-    texts are not shuffled. Texts of more than ``max_chars`` characters are not
+    texts are not shuffled, and the bounded sample is learned from in one task. Texts of more than ``max_chars`` characters are not
     learned from. The field is trained on all lines of three quarters of the
     texts that are left, equal lines with equal labels counting once; the score
     is calibrated on the other quarter (by a hash of the text; on all, if either
@@ -425,7 +426,19 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str
     picked = documents.sparkSession.createDataFrame([tuple(r) for r in picked.collect()], picked.schema)
     whole = documents.select(F.col(key).alias("__key"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     picked = whole.join(F.broadcast(picked), "__key").groupBy("__key").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
-    docs = sorted((r["text"], r["label"]) for r in picked.collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = [d for batch in batches for d in zip(*[c.to_pylist() for c in batch.columns])]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(docs))])], names=["model"])
+
+    # The sample is bounded, so one task holds it; the driver sees the weights alone.
+    found = picked.select("text", "label").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else learn([])
+
+
+def learn(docs: list[tuple[str, int]]) -> Field:
+    """A field of texts and their labels."""
+    docs = sorted(docs)
     if len({x for _, x in docs}) < 2:
         return Field(line=np.array([8.0 if docs and docs[0][1] else -8.0, 0, 0, 0]))
     marks = toxic_features(docs)
