@@ -485,17 +485,26 @@ def test_most_texts_have_a_score_of_their_own(spark):
     assert scores.most_common(1)[0][1] < 0.05 * sum(scores.values())
 
 
-def test_the_field_learns_from_all_lines(spark, monkeypatch):
-    """More marked lines than 1200, a marked word late in a long line, and very long labelled texts reach the training."""
+def test_the_field_learns_from_all_lines(monkeypatch):
+    """More marked lines than 1200, and marked words late in long lines reach the training."""
     word = lambda i: "".join("bcdfghjklm"[int(c)] + "a" for c in str(i))
-    docs = [(f"{'so ' * (i % 40)}idiot {'and ' * (i // 40)}{word(i)}", 1) for i in range(1400)] + [(f"{'nice ' * 300}idiot end", 1), ("fine " * 3900 + "idiot", 1), ("x" * 30_000, 1)] + [(f"kind {word(i)} words", 0) for i in range(1400)]
-    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(docs)], "doc_id long, text string, toxic int")
+    docs = [(f"{'so ' * (i % 40)}idiot {'and ' * (i // 40)}{word(i)}", 1) for i in range(1400)] + [(f"{'nice ' * 300}idiot end", 1), ("fine " * 3900 + "idiot", 1)] + [(f"kind {word(i)} words", 0) for i in range(1400)]
     taken = []
     monkeypatch.setattr(toxicity, "train_field", lambda lines, words, train=toxicity.train_field: taken.extend(lines) or train(lines, words, rounds=2))
-    toxicity.fit(df, df, per_class=5000)
+    toxicity.learn(docs)
     assert sum(y.any() for _, y in taken) > 1000 and any(len(x) == 302 and y[300] for x, y in taken) and any(len(x) == 3901 and y[-1] for x, y in taken)
 
 
+def test_very_long_texts_are_not_learned_from(spark):
+    """Of a key with several texts one is, and a key without a text none."""
+    docs = toxic_texts()
+    rows = [(i, t, x) for i, (t, x) in enumerate(docs)] + [(0, "another text", docs[0][1]), (9000, "x" * 30_000, 1), (9001, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    again = toxicity.fit(df, df)
+    assert again.learned and toxicity.Chain(again).read(["you idiot go"])[0][0, 0] > 0.5
+    assert not toxicity.fit(df.where("doc_id > 8999"), df).learned
+
+
 # 6 SentencePiece
 
 
