@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lexiloom.operators import metrics as M
@@ -137,6 +138,35 @@ def test_pairwise_correlations(spark):
     assert math.isnan(M.pairwise_pearson(df.limit(1)).first()[0])
 
 
+def test_pairwise_spearman_of_many_rows_lists_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    unit = lambda v: v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)
+
+    def exact(v):
+        x = np.round((unit(v) @ unit(v).T)[np.triu_indices(len(v), 1)], 12)
+        _, place, n = np.unique(x, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - (n - 1) / 2)[place]
+
+    def check(g, p):
+        df = spark.createDataFrame(pd.DataFrame({"w": np.arange(len(g)), "gold": g.tolist(), "pred": p.tolist()}))
+        return M.pairwise_spearman(df, "w", **({"listed": 10} if len(g) < 4000 else {})).first()[0]
+
+    def listed(*args, **more):
+        raise AssertionError("pairs are listed")
+
+    monkeypatch.setattr(M, "pair_similarities", listed)
+    g = rng.normal(size=(4001, 5))
+    p = np.round(g + rng.normal(size=g.shape), 0)
+    p[p.sum(1) == 0, 0] = 1.0
+    assert check(g, p) == pytest.approx(np.corrcoef(exact(g), exact(p))[0, 1], abs=1e-8)
+    # Copies, near copies and vectors of zeros: few steps of the range hold nearly all pairs.
+    g, p = np.repeat(g[:3], 100, 0), np.repeat(p[:3], 100, 0)
+    g[:250] += rng.normal(size=(250, 5)) * 1e-5
+    p[:40] = 0.0
+    assert check(g, p) == pytest.approx(np.corrcoef(exact(g), exact(p))[0, 1], abs=1e-5)
+    assert math.isnan(check(np.ones((20, 3)), rng.normal(size=(20, 3))))
+
+
 def test_prevalence_and_density(spark):
     df = spark.createDataFrame([("a", 0, 1.0, 2.0), ("a", 1, 0.0, 1.0), ("b", 0, 3.0, 2.0), ("b", 1, 0.0, 0.0), ("a", 2, 4.0, 3.0)], "word_normalized string, feature_id int, gold double, pred double")
     row = M.prevalence(df).first()
